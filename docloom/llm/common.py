@@ -87,14 +87,23 @@ def even_keys(n: int) -> np.ndarray:
     return keys
 
 
-def documents(df: DataFrame, *more: str) -> DataFrame:
-    """(doc_key, doc_id, text, *more): see the module's docstring.  Null texts become empty."""
+def identified(df: DataFrame, *more: str) -> tuple[DataFrame, bool]:
+    """(doc_key, doc_id, text, *more), and whether doc_key is a number of our own: see the module's docstring.  Null texts become empty."""
     kept = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *[F.col(c) for c in more])
     odd = df.select("doc_id").groupBy("doc_id").count().filter("count > 1 or doc_id is null")
     if odd.isEmpty():
-        return kept.filter("doc_id is not null").withColumn("doc_key", F.col("doc_id"))
+        return kept.filter("doc_id is not null").withColumn("doc_key", F.col("doc_id")), False
     ordered = kept.orderBy(F.col("doc_id").asc_nulls_last(), "text", *more)
-    return checkpointed(ordered.withColumn("doc_key", F.monotonically_increasing_id()))
+    return checkpointed(ordered.withColumn("doc_key", F.monotonically_increasing_id())), True
+
+
+def documents(df: DataFrame, *more: str) -> DataFrame:
+    return identified(df, *more)[0]
+
+
+def named(out: DataFrame, names: DataFrame | None) -> DataFrame:
+    """``out`` with doc_id in place of doc_key; names: (doc_key, doc_id) where they differ."""
+    return out.withColumnRenamed("doc_key", "doc_id") if names is None else names.join(out, "doc_key").drop("doc_key")
 
 
 # --------------------------------------------------------------------------------------------- numpy side

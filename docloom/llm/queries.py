@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from docloom.llm import substring_dedup, suffix_dedup
+from docloom.llm import mixing, packing, quality_rules, substring_dedup, suffix_dedup, token_store
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1,
+    "op2_token_store": token_store.op2,
     "op3_suffix_dedup": suffix_dedup.op3,
+    "op4_quality_rules": quality_rules.op4,
+    "op5_source_mixing": mixing.op5,
+    "op10_pattern_packing": packing.op10,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op5_source_mixing": mixing.ORACLE}
