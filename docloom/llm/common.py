@@ -51,6 +51,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """``df`` planned once: every pass over it reads the same shuffle files, which Spark makes again if an executor is lost."""
+    spark = df.sparkSession
+    once = df._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(once, df._jdf.schema(), False), spark)
+
+
 def buckets(df: DataFrame) -> int:
     """Partitions of a packed exchange: the session's shuffle partitions, more for more input."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -77,7 +77,8 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     rows = kept.join(taken, kept["doc_key"] == taken["key_taken"])
     rows = rows.withColumn("part", F.explode(F.transform(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int")), lambda i: F.least(F.col("size"), F.col("taken") - (i - 1) * F.col("size")))))
     first_words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("part").cast("int")), " ")
-    return rows.withColumn("text", F.when(F.col("part") < F.col("size"), first_words).otherwise(F.col("text"))).select(*names)
+    rows = rows.withColumn("text", F.when(F.col("part") < F.col("size"), first_words).otherwise(F.col("text")))
+    return (rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else rows).select(*names)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

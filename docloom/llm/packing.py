@@ -16,7 +16,7 @@ two steps (a count for each length and hash slice, then a rank in the slice), so
 ranked by many tasks.
 
 Defined cases: null text is empty and packs its end id alone; rows with a repeated or null doc_id are documents of their own; an
-empty table gives no rows; ties go by doc_key and piece; other columns are ignored.
+empty table gives no rows; ties go by doc_id, row and piece; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,19 +47,23 @@ def _cut(path: str, end: int, size: int):
             for a, b in c.pieces(batch["text"]):
                 part = batch.slice(a, b - a)
                 rows = []
-                for key, got in zip(part["doc_key"].to_pylist(), enc(part["text"].to_pylist()), strict=True):
+                for key, doc, got in zip(part["doc_key"].to_pylist(), part["doc_id"].to_pylist(), enc(part["text"].to_pylist()), strict=True):
                     ids = np.r_[got.astype("<u4"), np.array([end], "<u4")]
                     bounds = [0, *range(len(ids) % size or size, len(ids) + 1, size)]
-                    rows += [(key, i, lo, hi - lo, zlib.crc32(ids[lo:hi].tobytes())) for i, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False))]
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_key", "piece", "start", "length", "ids_crc32"])
+                    rows += [(key, doc, i, lo, hi - lo, zlib.crc32(ids[lo:hi].tobytes())) for i, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False))]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_key", "doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
 
-def cut_pieces(rows: DataFrame, vocabulary: str, end: int = END, size: int = SIZE) -> DataFrame:
-    """(doc_key, piece, start, length, ids_crc32) of identified rows."""
-    return rows.select("doc_key", "text").mapInArrow(_cut(vocabulary, end, size), "doc_key long, piece int, start long, length long, ids_crc32 long")
+_PIECE = "doc_key long, doc_id long, piece int, start long, length long, ids_crc32 long"
+
+
+def cut_pieces(docs: DataFrame, vocabulary: str, end: int = END, size: int = SIZE) -> DataFrame:
+    """(doc_key, doc_id, piece, start, length, ids_crc32); doc_key numbers the rows."""
+    rows = docs.select(F.monotonically_increasing_id().alias("doc_key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(_cut(vocabulary, end, size), _PIECE)
 
 
 def _best_fit(have: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
@@ -175,7 +179,7 @@ def _place(table: list[tuple[int, int, int, int, int, int]]):
                 inside = rank[at] - row[:, 0]
                 sequence[at] = row[:, 2] + inside // row[:, 3]
                 offset[at] = row[:, 4] + inside % row[:, 3] * x
-            names = ["doc_key", "piece", "start", "length", "ids_crc32"]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     return run
@@ -183,16 +187,14 @@ def _place(table: list[tuple[int, int, int, int, int, int]]):
 
 def pack(docs: DataFrame, vocabulary: str | None = None, end: int = END, size: int = SIZE) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of docs(doc_id, text)."""
-    rows, numbered = c.identified(docs)
-    cut = c.checkpointed(cut_pieces(rows, vocabulary or default_vocabulary(), end, size).withColumn("slice", F.pmod(F.xxhash64("doc_key", "piece"), F.lit(max(SLICES, c.buckets(rows))))))
+    cut = c.checkpointed(cut_pieces(docs, vocabulary or default_vocabulary(), end, size).withColumn("slice", F.pmod(F.xxhash64("doc_key", "piece"), F.lit(max(SLICES, c.buckets(docs))))))
     counts = cut.groupBy("length", "slice").count()
     have = np.zeros(size + 1, np.int64)
     for row in counts.groupBy("length").agg(F.sum("count").alias("n")).collect():  # at most ``size`` rows
         have[row["length"]] = row["n"]
     before = counts.select("length", "slice", (F.sum("count").over(Window.partitionBy("length").orderBy("slice")) - F.col("count")).alias("before"))
-    ranked = cut.join(before, ["length", "slice"]).withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("length", "slice").orderBy("doc_key", "piece")) - 1)
-    placed = ranked.mapInArrow(_place(slots(plan(have, size))), "doc_key long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    return c.named(placed, rows.select("doc_key", "doc_id") if numbered else None)
+    ranked = cut.join(before, ["length", "slice"]).withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("length", "slice").orderBy("doc_id", "doc_key", "piece")) - 1)
+    return ranked.mapInArrow(_place(slots(plan(have, size))), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

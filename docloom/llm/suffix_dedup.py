@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docloom.llm import common as c
@@ -199,7 +200,9 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from c.give_back(keys[again], places[again], 0, np.ones(len(again), np.uint64))
 
 
-def _remove(span: int):
+def _remove(span: int, columns: list[str] | None = None):
+    """columns: return these, the text without its repeats, instead of the measures."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, gone, spans, kept = [], [], [], []
@@ -218,21 +221,38 @@ def _remove(span: int):
                 gone.append(total[-1] - len(text))
                 spans.append(runs)
                 kept.append(text)
+            if columns:
+                clean = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())
+                new = {"text": clean, "n_chars": pc.utf8_length(clean).cast(pa.int64())}
+                yield pa.RecordBatch.from_arrays([new[n] if n in new else batch[n] for n in columns], columns)
+                continue
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(x, pa.int64()) for x in (total, gone, spans)), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
 
 
-def dedup_suffixes(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept binary) for every row of docs(doc_id, text)."""
-    rows = c.documents(docs).select("doc_key", "doc_id", "text")
+def _found(rows: DataFrame, span: int) -> DataFrame:
+    """(doc_key, found): the repeated places of documents that have some."""
+    rows = rows.select("doc_key", "doc_id", "text")
     n = c.buckets(rows)
     slots = c.even_keys(n)
     phrases = rows.mapInArrow(_parse(span, n, slots), c.FACTS).repartition(n, "bucket")
     entries = phrases.mapInArrow(_dictionary, c.PLACES)
     names = rows.join(c.by_document(entries), "doc_key", "left").filter("found is not null").mapInArrow(_names(span, n, slots), c.FACTS)
-    repeats = names.repartition(n, "bucket").mapInArrow(_ranked, c.PLACES)
-    return rows.join(c.by_document(repeats), "doc_key", "left").mapInArrow(_remove(span), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return c.by_document(names.repartition(n, "bucket").mapInArrow(_ranked, c.PLACES))
+
+
+def dedup_suffixes(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept binary) for every row of docs(doc_id, text)."""
+    rows = c.documents(docs).select("doc_key", "doc_id", "text")
+    return rows.join(_found(rows, span), "doc_key", "left").mapInArrow(_remove(span), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def clean_texts(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """docs, with their columns, without repeats: text (less what a cut leaves of a code point) and n_chars are new."""
+    names = docs.columns
+    rows = c.documents(docs, *[n for n in names if n not in ("doc_id", "text")])
+    return rows.join(_found(rows, span), "doc_key", "left").mapInArrow(_remove(span, names), docs.schema)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
