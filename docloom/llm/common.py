@@ -269,36 +269,36 @@ def groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(values) else np.zeros(0, np.int64)
 
 
-PLACES = "doc_key long, kind int, places binary, more binary"
-_PLACES = pa.schema([("doc_key", pa.int64()), ("kind", pa.int32()), ("places", pa.binary()), ("more", pa.binary())])
-
-
-def give_back(keys: np.ndarray, places: np.ndarray, kind: int, more: np.ndarray | None = None, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
-    """One row for each key with its places, in order."""
-    if not len(keys):
-        return
+def give_back(n: int, bucket_keys: np.ndarray, keys: np.ndarray, places: np.ndarray, *more: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Facts on their way back to documents: one row for each bucket of documents."""
     order = np.lexsort((places, keys))
     keys, places = keys[order], places[order]
-    more = more[order] if more is not None else None
-    new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    ends = np.r_[new[1:], len(keys)]
-    for at in range(0, len(new), rows):
-        span = list(zip(new[at : at + rows], ends[at : at + rows], strict=True))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(keys[new[at : at + rows]], pa.int64()),
-                pa.array([kind] * len(span), pa.int32()),
-                pa.array([small(np.diff(places[a:b], prepend=0)) for a, b in span], pa.binary()),
-                pa.array([small(more[a:b]) if more is not None else None for a, b in span], pa.binary()),
-            ],
-            schema=_PLACES,
-        )
+    yield from send(bucket_of(mix(keys.astype(np.uint64)), n), n, bucket_keys, keys, places, *(x[order] for x in more))
 
 
-def places_of(blob: bytes) -> np.ndarray:
-    return np.cumsum(large(blob).astype(np.int64))
+FOUND = "doc_key long, places binary, more array<binary>"
+_FOUND = pa.schema([("doc_key", pa.int64()), ("places", pa.binary()), ("more", pa.list_(pa.binary()))])
+
 
+def _merge(n_more: int, rows: int = 20_000):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, places, more = receive(batches, n_more)
+        order = np.lexsort((places, keys))
+        keys, places, more = keys[order], places[order], [x[order] for x in more]
+        new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        ends = np.r_[new[1:], len(keys)]
+        for at in range(0, len(new), rows):
+            spans = list(zip(new[at : at + rows].tolist(), ends[at : at + rows].tolist(), strict=True))
+            columns = keys[new[at : at + rows]], [small(np.diff(places[a:b], prepend=0)) for a, b in spans], [[small(x[a:b]) for x in more] for a, b in spans]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _FOUND, strict=True)], schema=_FOUND)
 
-def by_document(given: DataFrame) -> DataFrame:
-    """(doc_key, found): all that came back for a document, at most a few rows for each of its buckets."""
-    return given.groupBy("doc_key").agg(F.collect_list(F.struct("kind", "places", "more")).alias("found"))
+    return run
+
+
+def by_document(given: DataFrame, n: int, n_more: int = 0) -> DataFrame:
+    """(doc_key, places, more): all that came back for a document, in one row."""
+    return given.repartition(n, "bucket").mapInArrow(_merge(n_more), FOUND)
+
+
+def places_of(blob: bytes) -> np.ndarray:
+    return np.cumsum(large(blob).astype(np.int64))

@@ -51,7 +51,7 @@ def _probes(window: int, n: int, keys_of_buckets: np.ndarray):
     return run
 
 
-def _hits(window: int):
+def _hits(window: int, n: int, slots: np.ndarray):
     block = (window + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +66,7 @@ def _hits(window: int):
         hit = keys > np.repeat(first, sizes)
         met = np.repeat(np.logical_or.reduceat(hit, new), sizes)
         kept = hit | (indexed & met)
-        yield from c.give_back(keys[kept], places[kept], 0)
+        yield from c.give_back(n, slots, keys[kept], places[kept])
 
     return run
 
@@ -83,11 +83,10 @@ def _windows(window: int, n: int, keys_of_buckets: np.ndarray):
                 h = c.grams(c.word_hashes(data, starts, ends), window, 2)
                 near = np.zeros(len(starts) + 1, np.int64)
                 first_word = np.cumsum(counts) - counts
-                for i, found in enumerate(part["found"].to_pylist()):
-                    for x in found:
-                        at = c.places_of(x["places"])
-                        np.add.at(near, first_word[i] + np.maximum(at + block - window, 0), 1)
-                        np.add.at(near, first_word[i] + np.maximum(np.minimum(at, counts[i] - window), -1) + 1, -1)
+                for i, found in enumerate(part["places"].to_pylist()):
+                    at = c.places_of(found)
+                    np.add.at(near, first_word[i] + np.maximum(at + block - window, 0), 1)
+                    np.add.at(near, first_word[i] + np.maximum(np.minimum(at, counts[i] - window), -1) + 1, -1)
                 doc = np.repeat(np.arange(len(counts)), counts)
                 place = np.arange(len(doc)) - first_word[doc]
                 pick = np.flatnonzero((np.cumsum(near)[: len(doc)] > 0) & (place + window <= counts[doc]))
@@ -96,29 +95,31 @@ def _windows(window: int, n: int, keys_of_buckets: np.ndarray):
     return run
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, places, (h,) = c.receive(batches, 1)
-    if not len(keys):
-        return
-    order, new = c.groups(h)
-    keys, places = keys[order], places[order]
-    again = keys > np.repeat(np.minimum.reduceat(keys, new), np.diff(np.r_[new, len(h)]))
-    yield from c.give_back(keys[again], places[again], 0)
+def _repeats(n: int, slots: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, places, (h,) = c.receive(batches, 1)
+        if not len(keys):
+            return
+        order, new = c.groups(h)
+        keys, places = keys[order], places[order]
+        again = keys > np.repeat(np.minimum.reduceat(keys, new), np.diff(np.r_[new, len(h)]))
+        yield from c.give_back(n, slots, keys[again], places[again])
+
+    return run
 
 
 def _remove(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, gone, kept_text = [], [], []
-            for text, found in zip(batch["text"].to_pylist(), batch["found"].to_pylist(), strict=True):
+            for text, found in zip(batch["text"].to_pylist(), batch["places"].to_pylist(), strict=True):
                 words = text.encode("utf-8", "replace").split()
                 total.append(len(words))
                 if found:
                     cover = np.zeros(len(words) + 1, np.int64)
-                    for x in found:
-                        at = c.places_of(x["places"])
-                        np.add.at(cover, at, 1)
-                        np.add.at(cover, at + window, -1)
+                    at = c.places_of(found)
+                    np.add.at(cover, at, 1)
+                    np.add.at(cover, at + window, -1)
                     keep = np.cumsum(cover)[:-1] == 0
                     words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
                 gone.append(total[-1] - len(words))
@@ -134,10 +135,11 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     n = c.buckets(rows)
     slots = c.even_keys(n)
     facts = rows.mapInArrow(_probes(window, n, slots), c.FACTS)
-    hits = facts.repartition(n, "bucket").mapInArrow(_hits(window), c.PLACES)
-    facts = rows.select("doc_key", "doc_id", "text").join(c.by_document(hits), "doc_key", "left").filter("found is not null").mapInArrow(_windows(window, n, slots), c.FACTS)
-    repeats = facts.repartition(n, "bucket").mapInArrow(_repeats, c.PLACES)
-    return rows.select("doc_key", "doc_id", "text").join(c.by_document(repeats), "doc_key", "left").mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_text string")
+    hits = c.by_document(facts.repartition(n, "bucket").mapInArrow(_hits(window, n, slots), c.FACTS), n)
+    texts = rows.select("doc_key", "doc_id", "text")
+    facts = texts.join(hits, "doc_key", "left").filter("places is not null").mapInArrow(_windows(window, n, slots), c.FACTS)
+    repeats = c.by_document(facts.repartition(n, "bucket").mapInArrow(_repeats(n, slots), c.FACTS), n)
+    return texts.join(repeats, "doc_key", "left").mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

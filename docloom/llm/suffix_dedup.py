@@ -136,8 +136,12 @@ def _parse(span: int, n: int, slots: np.ndarray):
     return run
 
 
-def _dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0: phrases all of whose places are repeated.  Kind 1: phrases whose places must be ranked."""
+def _dictionary(n: int, slots: np.ndarray):
+    """Phrases with their kind: 1: all places are repeated; 2: places must be ranked; 3: both, as others are ranked with them."""
+    return lambda batches: _entries(batches, n, slots)
+
+
+def _entries(batches: Iterator[pa.RecordBatch], n: int, slots: np.ndarray) -> Iterator[pa.RecordBatch]:
     keys, places, (trigger, name, size) = c.receive(batches, 3)
     if not len(keys):
         return
@@ -150,8 +154,8 @@ def _dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     entries = np.bincount(group, weights=new_entry)[group]
     once = np.bincount(group, weights=new_entry & ~often)[group] > 0
     rank = (entries > 1) & new_entry & once
-    yield from c.give_back(keys[often], places[often], 0, size[often])
-    yield from c.give_back(keys[rank], places[rank], 1, size[rank])
+    told = often | rank
+    yield from c.give_back(n, slots, keys[told], places[told], size[told], (often + 2 * rank)[told].astype(np.uint64))
 
 
 def _names(span: int, n: int, slots: np.ndarray):
@@ -161,18 +165,14 @@ def _names(span: int, n: int, slots: np.ndarray):
                 part = batch.slice(a, b - a)
                 data, offsets = c.text_bytes(part["text"])
                 ids = part["doc_key"].to_numpy()
-                for i, found in enumerate(part["found"].to_pylist()):
-                    sets = [[], []]
-                    for x in found:
-                        sets[x["kind"]].append((c.places_of(x["places"]), c.large(x["more"]).astype(np.int64)))
-                    key = ids[i : i + 1]
-                    if sets[0]:  # what is settled goes on to the last step
-                        at, size = (np.concatenate(y) for y in zip(*sets[0], strict=True))
-                        order = np.argsort(at, kind="stable")
-                        bucket = np.full(len(at), int(c.bucket_of(c.mix(key.astype(np.uint64)), n)[0]))
-                        yield from c.send(bucket, n, slots, np.repeat(key, len(at)), at[order], size[order].astype(np.uint64), np.zeros(len(at), np.uint64))
-                    if sets[1]:
-                        at, size = (np.concatenate(y) for y in zip(*sets[1], strict=True))
+                for i, (found, more) in enumerate(zip(part["places"].to_pylist(), part["more"].to_pylist(), strict=True)):
+                    at, (size, kind) = c.places_of(found), (c.large(x).astype(np.int64) for x in more)
+                    key, done, rank = ids[i : i + 1], kind != 2, kind > 1
+                    if done.any():  # what is settled goes on to the last step
+                        bucket = np.full(done.sum(), int(c.bucket_of(c.mix(key.astype(np.uint64)), n)[0]))
+                        yield from c.send(bucket, n, slots, np.repeat(key, len(bucket)), at[done], size[done].astype(np.uint64), np.zeros(len(bucket), np.uint64))
+                    at, size = at[rank], size[rank]
+                    if len(at):
                         flat = np.unique(np.repeat(at, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
                         text, half = data[offsets[i] : offsets[i + 1]], span // 2
                         lo = 0
@@ -187,17 +187,20 @@ def _names(span: int, n: int, slots: np.ndarray):
     return run
 
 
-def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, places, (value, kind) = c.receive(batches, 2)
-    if not len(keys):
-        return
-    settled = kind == 0
-    yield from c.give_back(keys[settled], places[settled], 0, value[settled])
-    keys, places, value = keys[~settled], places[~settled], value[~settled]
-    if len(keys):
-        order, new = c.groups(value)
-        again = order[np.repeat(np.diff(np.r_[new, len(value)]) > 1, np.diff(np.r_[new, len(value)]))]
-        yield from c.give_back(keys[again], places[again], 0, np.ones(len(again), np.uint64))
+def _ranked(n: int, slots: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, places, (value, kind) = c.receive(batches, 2)
+        if not len(keys):
+            return
+        repeated, size = kind == 0, np.where(kind == 0, value, np.uint64(1))
+        open_ = np.flatnonzero(~repeated)
+        if len(open_):
+            order, new = c.groups(value[open_])
+            often = np.diff(np.r_[new, len(open_)]) > 1
+            repeated[open_[order]] = np.repeat(often, np.diff(np.r_[new, len(open_)]))
+        yield from c.give_back(n, slots, keys[repeated], places[repeated], size[repeated])
+
+    return run
 
 
 def _remove(span: int, columns: list[str] | None = None):
@@ -206,15 +209,14 @@ def _remove(span: int, columns: list[str] | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, gone, spans, kept = [], [], [], []
-            for text, found in zip(batch["text"].cast(pa.large_binary()).to_pylist(), batch["found"].to_pylist(), strict=True):
+            for text, found, more in zip(batch["text"].cast(pa.large_binary()).to_pylist(), batch["places"].to_pylist(), batch["more"].to_pylist(), strict=True):
                 total.append(len(text))
                 runs = 0
                 if found:
                     cover = np.zeros(len(text) + 1, np.int64)
-                    for x in found:
-                        at = c.places_of(x["places"])
-                        np.add.at(cover, at, 1)
-                        np.add.at(cover, at + c.large(x["more"]).astype(np.int64) + span - 1, -1)
+                    at = c.places_of(found)
+                    np.add.at(cover, at, 1)
+                    np.add.at(cover, at + c.large(more[0]).astype(np.int64) + span - 1, -1)
                     out = np.cumsum(cover)[:-1] > 0
                     runs = int((out & ~np.r_[False, out[:-1]]).sum())
                     text = np.frombuffer(text, np.uint8)[~out].tobytes()
@@ -232,14 +234,14 @@ def _remove(span: int, columns: list[str] | None = None):
 
 
 def _found(rows: DataFrame, span: int) -> DataFrame:
-    """(doc_key, found): the repeated places of documents that have some."""
+    """(doc_key, places, more): the repeated places of documents that have some, and how many follow each."""
     rows = rows.select("doc_key", "doc_id", "text")
     n = c.buckets(rows)
     slots = c.even_keys(n)
     phrases = rows.mapInArrow(_parse(span, n, slots), c.FACTS).repartition(n, "bucket")
-    entries = phrases.mapInArrow(_dictionary, c.PLACES)
-    names = rows.join(c.by_document(entries), "doc_key", "left").filter("found is not null").mapInArrow(_names(span, n, slots), c.FACTS)
-    return c.by_document(names.repartition(n, "bucket").mapInArrow(_ranked, c.PLACES))
+    entries = c.by_document(phrases.mapInArrow(_dictionary(n, slots), c.FACTS), n, 2)
+    names = rows.join(entries, "doc_key", "left").filter("places is not null").mapInArrow(_names(span, n, slots), c.FACTS)
+    return c.by_document(names.repartition(n, "bucket").mapInArrow(_ranked(n, slots), c.FACTS), n, 1)
 
 
 def dedup_suffixes(docs: DataFrame, span: int = SPAN) -> DataFrame:
