@@ -103,7 +103,8 @@ def edits(rows: DataFrame) -> DataFrame:
     width = max(1, (high - low + 1) * GROUP // n) if n else 1
     grp = F.floor((F.col("doc_key").cast("double") - F.lit(float(low or 0))) / F.lit(float(width)))
     base = rows.select("doc_key", "doc_id", "text", grp.alias("grp")).repartition(c.buckets(rows), "grp")
-    heads = base.groupBy("grp").agg(F.min_by("text", "doc_key").alias("head"))
+    # all columns of base, so that this reads the exchange that the window reads
+    heads = base.groupBy("grp").agg(F.min_by(F.struct("text", "doc_id"), "doc_key").alias("first")).select("grp", F.col("first.text").alias("head"))
     after = _successors(rows.select(grp.alias("grp")).distinct())
     nexts = after.join(heads.withColumnRenamed("grp", "head_grp"), F.col("next_grp") == F.col("head_grp")).select(F.col("grp").alias("of"), "head")
     led = base.withColumn("lead", F.lead("text").over(Window.partitionBy("grp").orderBy("doc_key")))
