@@ -1,10 +1,346 @@
-"""Registered queries and their DuckDB counterparts."""
+"""Registered queries and their DuckDB counterparts.
+
+The supplied prose has no headings, articles or questions of its own, so queries put some in by rule: a line's number in its
+document decides what it becomes, in Spark and in SQL alike.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from docloom.config import ChunkConfig
+from docloom.functions import ids, text as t
+from docloom.operators import doctype, legacy, noise, post, quality, sections, templates
+from docloom.plans import chunking
+from docloom.sources import table
+from docloom.sources.text import text_blocks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("document_id"), "text")
+
+
+def _decorated(spark: SparkSession, sf: str, rule: Callable[[Column, Column], Column]) -> DataFrame:
+    lines = F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), lambda x, i: rule(F.trim(x), i))
+    return _docs(spark, sf).select("document_id", F.array_join(lines, "\n").alias("text"))
+
+
+def _book_line(x: Column, i: Column) -> Column:
+    return F.when(i % 5 == 0, F.concat(F.lit("Chapter "), F.floor(i / 5 + 1).cast("string"))).when(i % 5 == 3, F.concat(F.lit("- "), x)).otherwise(x)
+
+
+def _law_line(x: Column, i: Column) -> Column:
+    return F.when(i % 6 == 0, F.concat(F.lit("Chapter "), F.floor(i / 6 + 1).cast("string"))).when(i % 6 == 1, F.concat(F.lit("Article "), i.cast("string"))).when(i % 6 == 3, F.concat(F.lit("(a) "), x)).otherwise(x)
+
+
+def _manual_line(x: Column, i: Column) -> Column:
+    return F.when(i % 6 == 0, F.concat(F.lit("Section "), F.floor(i / 6 + 1).cast("string"))).when(i % 6 == 2, F.concat(F.lit("Step "), i.cast("string"), F.lit(" "), x)).when(i % 6 == 4, F.concat(F.lit("WARNING "), x)).otherwise(x)
+
+
+def _paper_line(x: Column, i: Column) -> Column:
+    return F.when(i == 0, "Abstract").when(i == 2, "1 Introduction").when(i % 6 == 5, "References").otherwise(x)
+
+
+_PARTS = r"""
+lines AS (
+  SELECT CAST(doc_id AS VARCHAR) AS document_id, unnest(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS raw, generate_subscripts(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), 1) - 1 AS i
+  FROM documents),
+blocks AS (
+  SELECT document_id, i, CASE WHEN i % 5 = 0 THEN 'Chapter ' || (i // 5 + 1) WHEN i % 5 = 3 THEN '- ' || trim(raw) ELSE trim(raw) END AS text,
+    CASE WHEN i % 5 = 0 THEN 'heading' WHEN i % 5 = 3 THEN 'list_item' ELSE 'paragraph' END AS block_type, 'Chapter ' || (i // 5 + 1) AS heading,
+    CAST(len(regexp_extract_all(CASE WHEN i % 5 = 0 THEN 'Chapter ' || (i // 5 + 1) ELSE raw END, '[a-zA-Z0-9]+(?:[-''][a-zA-Z0-9]+)*')) AS BIGINT) AS latin
+  FROM lines)"""
+
+
+@query("SELECT doc_id, sha256(text) AS document_id FROM documents")
+def doc_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", ids.document_id(F.col("text")).alias("document_id"))
+
+
+@query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{f900}-\x{faff}\x{20000}-\x{2a6df}]')) + len(regexp_extract_all(text, '[a-zA-Z0-9]+(?:[-''][a-zA-Z0-9]+)*')) * 13 // 10 AS BIGINT) AS tokens FROM documents""")
+def token_estimate(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", t.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query(r"""SELECT * FROM (VALUES (1, 8), (2, 3), (3, 0), (4, 2)) v(k, tokens)""")
+def token_estimate_cjk(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, "第一条 本合同 policy 2025"), (2, "a-b 中𠀀"), (3, " ——"), (4, "naïve")], "k int, x string")
+    return rows.select("k", t.estimate_tokens(F.col("x")).cast("int").alias("tokens"))
+
+
+@query(f"""WITH {_PARTS} SELECT document_id, CAST(i AS INTEGER) AS reading_order, block_type, heading, left(sha256('block:' || document_id || ':1:' || i || ':' || block_type), 32) AS block_id FROM blocks""")
+def line_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return text_blocks(_decorated(spark, sf, _book_line)).select("document_id", "reading_order", "block_type", t.heading_joined(F.col("heading_path")).alias("heading"), "block_id")
+
+
+@query(f"""WITH {_PARTS} SELECT document_id, left(sha256('section:' || document_id || ':' || heading), 32) AS section_id, heading AS title, CAST(1 AS INTEGER) AS level, count(*) AS n_blocks FROM blocks GROUP BY ALL""")
+def section_table(spark: SparkSession, sf: str) -> DataFrame:
+    return sections.section_table(sections.heading_paths(text_blocks(_decorated(spark, sf, _book_line)))).select("document_id", "section_id", "title", "level", "n_blocks")
+
+
+@query("""SELECT * FROM (VALUES (0, '1 X', 1, '1 X'), (1, '1.1 Y', 2, '1 X > 1.1 Y'), (2, '1.1.1 Z', 3, '1 X > 1.1 Y > 1.1.1 Z'), (3, 'some text.', NULL, '1 X > 1.1 Y > 1.1.1 Z'), (4, '2 W', 1, '2 W'), (5, '2025 年 8 月', NULL, '2 W')) v(reading_order, text, heading_level, heading)""")
+def heading_levels(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame([("d", 1, i, "paragraph", x, []) for i, x in enumerate(["1 X", "1.1 Y", "1.1.1 Z", "some text.", "2 W", "2025 年 8 月"])], "document_id string, page_number int, reading_order int, block_type string, text string, heading_path array<string>")
+    return sections.heading_paths(rows).select("reading_order", "text", "heading_level", t.heading_joined(F.col("heading_path")).alias("heading"))
+
+
+_RULES = "\n".join(
+    f"WHEN len(list_filter([{', '.join(chr(39) + w + chr(39) for w in words)}], lambda w: contains(low, w))) > 0 THEN list_filter([{', '.join(chr(39) + w + chr(39) for w in words)}], lambda w: contains(low, w))" for words in doctype.KEYWORDS.values()
+)
+_KINDS = "\n".join(f"WHEN len(list_filter([{', '.join(chr(39) + w + chr(39) for w in words)}], lambda w: contains(low, w))) > 0 THEN '{name}'" for name, words in doctype.KEYWORDS.items())
+_SAMPLE = """
+lines AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, unnest(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS x, generate_subscripts(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), 1) AS i FROM documents),
+sums AS (SELECT *, coalesce(sum(length(trim(x))) OVER (PARTITION BY document_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lines),
+samples AS (SELECT document_id, string_agg(trim(x), chr(10) ORDER BY i) FILTER (before < 12000) AS sample FROM sums GROUP BY 1)"""
+
+
+@query(f"""WITH {_SAMPLE}, d AS (SELECT document_id, lower(sample) AS low FROM samples), s AS (SELECT document_id, CASE {_KINDS} ELSE 'generic_structured' END AS document_type, CASE {_RULES} END AS hits FROM d)
+SELECT document_id, document_type, CAST(round(100 * CASE WHEN hits IS NULL THEN 0.3 ELSE least(0.9, 0.55 + 0.1 * len(hits)) END) AS INTEGER) AS percent, coalesce(array_to_string(hits, ','), 'fallback') AS signals FROM s""")
+def doc_type_detection(spark: SparkSession, sf: str) -> DataFrame:
+    return doctype.detect(text_blocks(_docs(spark, sf))).select("document_id", "document_type", F.round(F.col("confidence") * 100).cast("int").alias("percent"), F.array_join("signals", ",").alias("signals"))
+
+
+@query(f"""WITH {_SAMPLE} SELECT document_id, length(sample) AS n, sha256(sample) AS digest FROM samples""")
+def sample_12000(spark: SparkSession, sf: str) -> DataFrame:
+    return doctype.samples(text_blocks(_docs(spark, sf))).select("document_id", F.length("sample").cast("long").alias("n"), F.sha2("sample", 256).alias("digest"))
+
+
+def _pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as documents, turns as pages."""
+    return spark.read.parquet(f"{sf}/conversations.parquet").select(F.col("conv_id").cast("string").alias("document_id"), (F.col("turn") + 1).cast("int").alias("page_number"), "role", "text")
+
+
+def _page_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    box = lambda y: F.struct(F.lit(0.0).alias("x0"), F.lit(y).alias("y0"), F.lit(500.0).alias("x1"), F.lit(y + 20.0).alias("y1"))
+    parts = F.array(
+        F.struct(F.lit("Report CONFIDENTIAL").alias("text"), box(10.0).alias("bbox")), F.struct(F.col("text"), box(300.0).alias("bbox")), F.struct(F.concat(F.lit("See you on page "), F.col("page_number").cast("string"), F.lit(" ....... 7")).alias("text"), box(400.0).alias("bbox")),
+        F.struct(F.col("page_number").cast("string").alias("text"), box(800.0).alias("bbox")),
+    )
+    return _pages(spark, sf).select("document_id", "page_number", F.posexplode(parts).alias("reading_order", "x")).select("document_id", "page_number", "reading_order", F.lit("paragraph").alias("block_type"), "x.text", "x.bbox")
+
+
+@query("""WITH p AS (SELECT CAST(conv_id AS VARCHAR) AS document_id, count(DISTINCT turn) AS pages, count(*) AS n FROM conversations GROUP BY 1)
+SELECT document_id, 'page_number' AS noise_reason, n FROM p UNION ALL SELECT document_id, 'toc_dot_leader', n FROM p UNION ALL SELECT document_id, 'repeated_page_edge', n FROM p WHERE pages >= 2 UNION ALL SELECT document_id, 'content', CASE WHEN pages >= 2 THEN n ELSE 2 * n END FROM p""")
+def noise_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    marked = noise.mark_noise(_page_blocks(spark, sf))
+    return marked.groupBy("document_id", F.coalesce("noise_reason", F.lit("content")).alias("noise_reason")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH p AS (SELECT CAST(conv_id AS VARCHAR) AS document_id, count(*) AS pages FROM conversations GROUP BY 1) SELECT document_id, 'header' AS zone, 'Weekly report #' AS norm FROM p WHERE pages >= 3 UNION ALL SELECT document_id, 'footer', '- # -' FROM p WHERE pages >= 3""")
+def header_footer(spark: SparkSession, sf: str) -> DataFrame:
+    page = F.concat(F.lit("Weekly  report "), F.col("page_number").cast("string"), F.lit("\nfirst "), F.md5("text"), F.lit("\nsecond "), F.md5(F.concat("text", F.lit("a"))), F.lit("\nthird "), F.md5(F.concat("text", F.lit("b"))), F.lit("\n- "), F.col("page_number").cast("string"), F.lit(" -"))
+    found = noise.header_footer_lines(_pages(spark, sf).select("document_id", "page_number", page.alias("text")))
+    return found.filter("norm rlike '^(Weekly|- )'")
+
+
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(trim(text, chr(10) || ' '), '[0-9]+', '#', 'g'), '\s+', ' ', 'g') AS norm FROM documents""")
+def normalized_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", t.normalized_line(F.col("text")).alias("norm"))
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM documents""")
+def clean_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Page markers that are put in come out again."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    spoiled = F.concat(F.lit("Page 3 of 9\n20240\n"), F.col("text"), F.lit("\n第 4 页 共 9 页\n\n\n\n12345678"))
+    return docs.select("doc_id", F.trim(F.regexp_replace(t.clean_chunk_text(spoiled), r"\s+", " ")).alias("flat"))
+
+
+@query(r"""WITH p AS (SELECT CAST(conv_id AS VARCHAR) AS document_id, CAST(turn + 1 AS INTEGER) AS page_number, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body FROM conversations),
+g AS (SELECT *, CASE WHEN body <> '' AND last_value(CASE WHEN body <> '' THEN regexp_matches(body, '[。！？；.!?;）)」』"]$') END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 2 ELSE 0 END AS gap FROM p),
+e AS (SELECT *, sum(gap + length(body)) OVER (PARTITION BY document_id ORDER BY page_number) AS stop FROM g)
+SELECT document_id, page_number, CAST(stop - length(body) AS BIGINT) AS "start", CAST(stop AS BIGINT) AS "end" FROM e""")
+def page_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    return legacy.page_offsets(_pages(spark, sf))
+
+
+@query("""SELECT 'supplier' AS document_id, CAST(s_suppkey - 1 AS INTEGER) AS reading_order, 'Sheet: supplier' || chr(10) || 'Row: ' || (s_suppkey + 1) || chr(10) || 's_suppkey: ' || s_suppkey || chr(10) || 's_name: ' || trim(s_name) || chr(10) || 's_nationkey: ' || s_nationkey AS text FROM supplier""")
+def table_row_text(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/supplier.parquet").withColumn("at", F.col("s_suppkey") - 1)
+    return table.sheet_blocks(rows, "supplier", "at", ["s_suppkey", "s_name", "s_nationkey"]).select("document_id", "reading_order", "text")
+
+
+@query("""SELECT * FROM (VALUES (1, 'A|column_2|A_3'), (2, 'column_1|x|y')) v(k, headers)""")
+def table_headers(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, ["A", "", "A"]), (2, [" ", "x", "y"])], "k int, cells array<string>")
+    return rows.select("k", F.array_join(table.headers(F.col("cells")), "|").alias("headers"))
+
+
+_PACKED = f"""WITH RECURSIVE {_PARTS},
+numbered AS (SELECT *, row_number() OVER (PARTITION BY document_id, heading ORDER BY i) AS rn FROM blocks),
+fold AS (
+  SELECT document_id, heading, i, rn, 0 AS child_no, latin AS total, text, block_type FROM numbered WHERE rn = 1
+  UNION ALL
+  SELECT n.document_id, n.heading, n.i, n.rn, CASE WHEN (f.total + n.latin) * 13 // 10 > 60 THEN f.child_no + 1 ELSE f.child_no END, CASE WHEN (f.total + n.latin) * 13 // 10 > 60 THEN n.latin ELSE f.total + n.latin END, n.text, n.block_type
+  FROM fold f JOIN numbered n ON n.document_id = f.document_id AND n.heading = f.heading AND n.rn = f.rn + 1),
+children AS (
+  SELECT document_id, heading, child_no, string_agg(text, chr(10) || chr(10) ORDER BY rn) AS body, count(*) AS n_blocks, bool_and(block_type = 'list_item') AS lists FROM fold GROUP BY ALL),
+texts AS (SELECT *, CASE WHEN starts_with(body, heading) THEN body ELSE heading || chr(10) || chr(10) || body END AS text FROM children)"""
+
+
+@query(_PACKED + """ SELECT document_id, heading, CAST(child_no AS INTEGER) AS child_index, CASE WHEN lists THEN 'list' ELSE 'text' END AS chunk_type, n_blocks, text, CAST(len(regexp_extract_all(text, '[a-zA-Z0-9]+(?:[-''][a-zA-Z0-9]+)*')) * 13 // 10 AS BIGINT) AS token_count FROM texts""")
+def generic_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    children = templates.chunk(text_blocks(_decorated(spark, sf, _book_line)), "generic_structured", ChunkConfig(child_max_tokens=60))[1]
+    return children.select("document_id", t.heading_joined(F.col("heading_path")).alias("heading"), "child_index", "chunk_type", F.size("source_block_ids").cast("long").alias("n_blocks"), "text", "token_count")
+
+
+@query(f"""WITH {_PARTS} SELECT document_id, heading AS title, left(sha256('parent:' || document_id || ':' || left(sha256('template-section:' || document_id || ':' || heading), 32)), 32) AS parent_id, string_agg(text, chr(10) || chr(10) ORDER BY i) AS text FROM blocks GROUP BY document_id, heading""")
+def generic_parents(spark: SparkSession, sf: str) -> DataFrame:
+    return templates.chunk(text_blocks(_decorated(spark, sf, _book_line)), "generic_structured")[0].select("document_id", "title", "parent_id", "text")
+
+
+@query(_PACKED + """, m AS (SELECT *, len(regexp_extract_all(text, '[a-zA-Z0-9]+(?:[-''][a-zA-Z0-9]+)*')) * 13 // 10 AS tokens FROM texts)
+SELECT document_id, count(DISTINCT heading) AS parent_count, count(*) AS child_count, CAST(0 AS BIGINT) AS orphan_child_count, count(*) FILTER (tokens > 60) AS over_max_token_child_count, CAST(max(tokens) AS BIGINT) AS max_tokens, CAST(min(tokens) AS BIGINT) AS min_tokens, CAST(sum(tokens) / count(*) AS DOUBLE) AS avg_tokens FROM m GROUP BY 1""")
+def quality_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    config = ChunkConfig(child_max_tokens=60)
+    found = quality.metrics(*templates.chunk(text_blocks(_decorated(spark, sf, _book_line)), "generic_structured", config), config)
+    return found.select("document_id", "parent_count", "child_count", "orphan_child_count", "over_max_token_child_count", F.col("max_tokens_per_child").alias("max_tokens"), F.col("min_tokens_per_child").alias("min_tokens"), F.col("avg_tokens_per_child").alias("avg_tokens"))
+
+
+@query(_PACKED + """ SELECT 'block_type' AS what, block_type AS value, count(*) AS n FROM blocks GROUP BY 2 UNION ALL SELECT 'chunk_type', CASE WHEN lists THEN 'list' ELSE 'text' END, count(*) FROM children GROUP BY 2""")
+def distributions(spark: SparkSession, sf: str) -> DataFrame:
+    blocks = text_blocks(_decorated(spark, sf, _book_line))
+    return quality.distributions(blocks, templates.chunk(blocks, "generic_structured", ChunkConfig(child_max_tokens=60))[1])
+
+
+@query(_PACKED + """ SELECT document_id, heading, CAST(child_no AS INTEGER) AS child_index FROM texts WHERE contains(lower(text), 'chapter 2')""")
+def chunk_search(spark: SparkSession, sf: str) -> DataFrame:
+    children = templates.chunk(text_blocks(_decorated(spark, sf, _book_line)), "generic_structured", ChunkConfig(child_max_tokens=60))[1]
+    return quality.search(children, "Chapter 2").select("document_id", t.heading_joined(F.col("heading_path")).alias("heading"), "child_index")
+
+
+@query(r"""WITH w AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, regexp_extract_all(text, '\S+') AS w FROM documents), n AS (SELECT *, CASE WHEN len(w) <= 100 THEN 1 ELSE CAST(ceil((len(w) - 100) / 80.0) AS INTEGER) + 1 END AS n FROM w WHERE len(w) > 0),
+e AS (SELECT document_id, w, unnest(range(n)) AS k FROM n) SELECT document_id, CAST(k AS INTEGER) AS chunk_index, array_to_string(w[k * 80 + 1 : k * 80 + 100], ' ') AS text FROM e""")
+def sliding_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return legacy.sliding_windows(_docs(spark, sf), 100, 20)
+
+
+@query(f"""WITH RECURSIVE {_PARTS}, u AS (SELECT document_id, i, latin * 13 // 10 AS tokens FROM blocks), fold AS (
+  SELECT document_id, i, CAST(0 AS BIGINT) AS n, tokens AS total, tokens FROM u WHERE i = 0 UNION ALL
+  SELECT u.document_id, u.i, CASE WHEN f.total + u.tokens > 400 THEN f.n + 1 ELSE f.n END, CASE WHEN f.total + u.tokens > 400 THEN u.tokens ELSE f.total + u.tokens END, u.tokens FROM fold f JOIN u ON u.document_id = f.document_id AND u.i = f.i + 1)
+SELECT document_id, CAST(n AS INTEGER) AS chunk_index, count(*) AS n_blocks, CAST(sum(tokens) AS BIGINT) AS tokens FROM fold GROUP BY ALL""")
+def paragraph_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return legacy.paragraph_chunks(text_blocks(_decorated(spark, sf, _book_line)))
+
+
+@query("""SELECT * FROM (VALUES (1, '| K |' || chr(10) || '| --- |' || chr(10) || '|  |'), (2, '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 & 2 |  |'), (3, 'no rows')) v(k, md)""")
+def html_table_md(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, "<table><tr><th>K</th></tr></table>"), (2, "<table><tr><td>a</td><td> b </td></tr><tr></tr><tr><td>1 &amp; <b>2</b></td></tr></table>"), (3, "<p>no rows</p>")], "k int, html string")
+    return rows.select("k", t.html_table_markdown(F.col("html")).alias("md"))
+
+
+@query("""SELECT * FROM (VALUES (1, 'Engine'), (2, 'Troubleshooting'), (3, NULL), (4, '理赔')) v(k, hint)""")
+def domain_hint(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, "Check the COOLANT level"), (2, "generator fault"), (3, "nothing"), (4, "给付")], "k int, x string")
+    return rows.select("k", t.domain_hint(F.col("x")).alias("hint"))
+
+
+def _template_query(name: str, blocks: Callable[[SparkSession, str], DataFrame], template: str) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        children = templates.chunk(blocks(spark, sf), template, ChunkConfig(child_max_tokens=120))[1]
+        return children.select("document_id", "child_index", "chunk_type", t.heading_joined(F.col("heading_path")).alias("heading"), F.size("source_block_ids").alias("n_blocks"), "token_count", "article", "text")
+
+    run.__name__ = name
+    query()(run)
+
+
+def _qa_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    marked = F.concat(F.when(F.col("role") == "user", "Q: ").otherwise("A: "), F.col("text"))
+    pages = _pages(spark, sf).select("document_id", "page_number", F.lit(0).alias("reading_order"), F.lit("paragraph").alias("block_type"), marked.alias("text"), F.array().cast("array<string>").alias("heading_path"))
+    return pages.withColumn("block_id", ids.block_id(F.col("document_id"), F.col("page_number"), F.col("reading_order"), F.col("block_type")))
+
+
+def _sheet(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/supplier.parquet").withColumn("at", F.col("s_suppkey") - 1)
+    return table.sheet_blocks(rows, "supplier", "at", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"])
+
+
+_template_query("contract_chunks", lambda s, d: text_blocks(_decorated(s, d, _law_line)), "contract_terms")
+_template_query("laws_chunks", lambda s, d: text_blocks(_decorated(s, d, _law_line)), "laws")
+_template_query("book_chunks", lambda s, d: text_blocks(_decorated(s, d, _book_line)), "book")
+_template_query("paper_chunks", lambda s, d: text_blocks(_decorated(s, d, _paper_line)), "paper")
+_template_query("manual_chunks", lambda s, d: text_blocks(_decorated(s, d, _manual_line)), "manual")
+_template_query("qa_chunks", _qa_blocks, "qa")
+_template_query("picture_chunks", _qa_blocks, "picture_pdf")
+_template_query("table_row_groups", _sheet, "table_data")
+
+
+@query()
+def article_parts(spark: SparkSession, sf: str) -> DataFrame:
+    children = templates.chunk(text_blocks(_decorated(spark, sf, _law_line)), "contract_terms", ChunkConfig(child_max_tokens=60))[1]
+    return templates.article_parts(children).select("document_id", "parent_id", "child_index", "article", "part_index", "part_count")
+
+
+@query()
+def media_context(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.when(F.col("reading_order") % 7 == 4, "table").when(F.col("reading_order") % 7 == 5, "caption").otherwise(F.col("block_type"))
+    blocks = sections.heading_paths(text_blocks(_decorated(spark, sf, _book_line))).withColumn("block_type", kind)
+    return post.media_context(blocks).drop("block_id")
+
+
+@query()
+def chunk_packages(spark: SparkSession, sf: str) -> DataFrame:
+    """Children of whole packages, each document by the template of its type, after all passes."""
+    children = chunking.chunk_blocks(text_blocks(_decorated(spark, sf, _book_line)))[1]
+    return children.select("document_id", "chunk_id", "chunk_type", "template", "text", "token_count", "part_index", "part_count")
+
+
+@query()
+def boundary_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as pages, cut in two by a hyphen, and joined again."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    pages = _pages(spark, sf).filter("length(text) > 20").select(
+        "document_id", F.posexplode(F.array(F.concat(F.substring("text", F.lit(1), half), F.lit("x-")), F.concat(F.lit("x"), F.substring(F.col("text"), half + 1, F.length("text"))))).alias("k", "text"), "page_number"
+    )
+    children = pages.select("document_id", F.col("document_id").alias("parent_id"), F.concat_ws(":", "document_id", "page_number", "k").alias("chunk_id"), (F.col("page_number") * 2 + F.col("k")).cast("int").alias("child_index"), F.lit("text").alias("chunk_type"), "text", (F.col("page_number") * 2 + F.col("k")).cast("int").alias("page_start"), (F.col("page_number") * 2 + F.col("k")).cast("int").alias("page_end"), F.array(F.concat_ws(":", "document_id", "page_number", "k")).alias("source_block_ids"), t.estimate_tokens(F.col("text")).alias("token_count"), F.lit(0).alias("parent_order"))
+    return post.repair_boundaries(children).select("document_id", "chunk_id", "text", "page_start", "page_end", "token_count", "repairs")
+
+
+@query()
+def package_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """Faults that are put into packages: children without a parent, and children that a parent lists but that aren't there."""
+    blocks = text_blocks(_decorated(spark, sf, _book_line))
+    parents, children = templates.chunk(blocks, "generic_structured", ChunkConfig(child_max_tokens=60))
+    lists = children.groupBy("parent_id").agg(F.sort_array(F.collect_list("chunk_id")).alias("child_chunk_ids"))
+    kept = children.filter("child_index <> 1").withColumn("parent_id", F.when(F.col("child_index") == 2, F.concat("parent_id", F.lit("?"))).otherwise(F.col("parent_id")))
+    return quality.validate(parents.join(lists, "parent_id"), kept, blocks).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query()
+def risk_samples(spark: SparkSession, sf: str) -> DataFrame:
+    children = templates.chunk(text_blocks(_decorated(spark, sf, _book_line)), "generic_structured", ChunkConfig(child_max_tokens=60))[1]
+    return quality.risk_samples(children).select("document_id", "place", "token_count", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("""WITH w AS (SELECT row_number() OVER (ORDER BY doc_id) AS pos, lang AS code, 'document ' || doc_id AS message FROM documents) SELECT code, count(*) AS n, min(pos) AS first_pos, array_to_string(list_slice(list(message ORDER BY pos), 1, 3), ',') AS examples FROM w GROUP BY code""")
+def warning_groups(spark: SparkSession, sf: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    warnings = docs.select((F.col("doc_id") + 1).alias("pos"), F.col("lang").alias("code"), F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("message"))
+    return quality.warning_groups(warnings).select("code", "n", "first_pos", F.array_join("examples", ",").alias("examples"))
+
+
+@query()
+def stream_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents file as a stream, all that is available now."""
+    from docloom.streaming.stream import chunk_stream
+
+    top = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='docloom-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    chunk_stream(spark, f"{sf}/documents.parque*", f"{top}/out", f"{top}/state").awaitTermination()
+    return spark.read.parquet(f"{top}/out").select("document_id", "chunk_type", "text", "token_count")
