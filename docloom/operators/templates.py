@@ -57,12 +57,13 @@ def _child_kind() -> Column:
     return F.when(_media(), F.col("block_type")).otherwise(F.lit("text"))
 
 
-_no, _yes = F.lit(False), F.lit(True)
+def _no() -> Column:
+    return F.lit(False)
 
 
 def _generic(c: ChunkConfig) -> Plan:
     depth = 1 if c.parent_granularity == "chapter" else 2
-    return Plan("Document", F.size("heading_path") > 0, F.array_join(F.slice("heading_path", 1, depth), " > "), _no, _no, _media(), _child_kind())
+    return Plan("Document", F.size("heading_path") > 0, F.array_join(F.slice("heading_path", 1, depth), " > "), _no(), _no(), _media(), _child_kind())
 
 
 def _contract(c: ChunkConfig) -> Plan:
@@ -87,7 +88,7 @@ def _paper(c: ChunkConfig) -> Plan:
     line, title = F.col("line"), F.lower(F.col("parent_title"))
     whole = title.contains("abstract") | title.contains("references")
     kind = F.when(_media(), F.col("block_type")).when(title.contains("abstract"), "paper_abstract").when(title.contains("references"), "paper_references").otherwise("paper_text")
-    return Plan("Front Matter", (F.col("block_type") == "heading") | t.matches(line, PAPER_SECTION, True), line, _no, whole, _media(), kind)
+    return Plan("Front Matter", (F.col("block_type") == "heading") | t.matches(line, PAPER_SECTION, True), line, _no(), whole, _media(), kind)
 
 
 def _book(c: ChunkConfig) -> Plan:
@@ -96,7 +97,7 @@ def _book(c: ChunkConfig) -> Plan:
     named = F.startswith(low, F.lit("preface")) | F.startswith(low, F.lit("appendix")) | F.startswith(low, F.lit("chapter")) | F.startswith(low, F.lit("part "))
     listing = low.isin("contents", "table of contents", "目录", "index", "索引")
     kind = F.when(_media(), F.col("block_type")).otherwise(F.lit("book_section"))
-    return Plan("Front Matter", t.matches(line, BOOK_CHAPTER, True) | (heading & named), line, heading, _no, _media(), kind, None, ~listing, True)
+    return Plan("Front Matter", t.matches(line, BOOK_CHAPTER, True) | (heading & named), line, heading, _no(), _media(), kind, None, ~listing, True)
 
 
 def _manual(c: ChunkConfig) -> Plan:
@@ -111,18 +112,18 @@ def _manual(c: ChunkConfig) -> Plan:
 
 
 def _table(c: ChunkConfig) -> Plan:
-    return Plan("Table", F.size("heading_path") > 0, F.element_at("heading_path", 1), _no, _no, _no, F.lit("table_row_group"))
+    return Plan("Table", F.size("heading_path") > 0, F.element_at("heading_path", 1), _no(), _no(), _no(), F.lit("table_row_group"))
 
 
 def _picture(c: ChunkConfig) -> Plan:
     kind = F.when(_media(), "image_context").otherwise("ocr_text")
-    return Plan("Page", _yes, F.concat(F.lit("Page "), F.col("page_number").cast("string")), _no, _no, _media(), kind)
+    return Plan("Page", F.lit(True), F.concat(F.lit("Page "), F.col("page_number").cast("string")), _no(), _no(), _media(), kind)
 
 
 def _qa(c: ChunkConfig) -> Plan:
     question = t.matches(F.col("line"), QUESTION, True)
     heading = (F.col("block_type") == "heading") & ~question
-    return Plan("QA", heading, F.col("line"), question, _yes, _no, F.lit("qa_pair"), None, ~heading, True)
+    return Plan("QA", heading, F.col("line"), question, F.lit(True), _no(), F.lit("qa_pair"), None, ~heading, True)
 
 
 PLANNERS: dict[str, Callable[[ChunkConfig], Plan]] = {
