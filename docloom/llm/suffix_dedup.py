@@ -165,24 +165,32 @@ def _names(span: int, n: int, slots: np.ndarray):
                 part = batch.slice(a, b - a)
                 data, offsets = c.text_bytes(part["text"])
                 ids = part["doc_key"].to_numpy()
+                settled, ranked = [[], [], []], [[], [], []]  # text, place, and how many follow or the name
                 for i, (found, more) in enumerate(zip(part["places"].to_pylist(), part["more"].to_pylist(), strict=True)):
                     at, (size, kind) = c.places_of(found), (c.large(x).astype(np.int64) for x in more)
-                    key, done, rank = ids[i : i + 1], kind != 2, kind > 1
-                    if done.any():  # what is settled goes on to the last step
-                        bucket = np.full(done.sum(), int(c.bucket_of(c.mix(key.astype(np.uint64)), n)[0]))
-                        yield from c.send(bucket, n, slots, np.repeat(key, len(bucket)), at[done], size[done].astype(np.uint64), np.zeros(len(bucket), np.uint64))
+                    done, rank = kind != 2, kind > 1
+                    for out, x in zip(settled, (np.full(done.sum(), i), at[done], size[done]), strict=True):
+                        out.append(x)
                     at, size = at[rank], size[rank]
-                    if len(at):
-                        flat = np.unique(np.repeat(at, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
-                        text, half = data[offsets[i] : offsets[i + 1]], span // 2
-                        lo = 0
-                        while lo < len(flat):  # following places in stretches, so that a long text isn't hashed in one go
-                            hi = np.searchsorted(flat, flat[lo] + PART)
-                            roll = _rolling(text[flat[lo] : flat[hi - 1] + span], half)
-                            p = flat[lo:hi] - flat[lo]
-                            h = c.mix(roll[p] * _power(half) + roll[p + half])
-                            yield from c.send(c.bucket_of(h, n), n, slots, np.repeat(key, len(p)), flat[lo:hi], h, np.ones(len(p), np.uint64))
-                            lo = hi
+                    if not len(at):
+                        continue
+                    flat = np.unique(np.repeat(at, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
+                    text, half = data[offsets[i] : offsets[i + 1]], span // 2
+                    lo = 0
+                    while lo < len(flat):  # in stretches of places that are near, so what lies between others isn't hashed
+                        gaps = np.flatnonzero(np.diff(flat[lo:]) > 4 * span)
+                        hi = min(lo + int(gaps[0]) + 1 if len(gaps) else len(flat), int(np.searchsorted(flat, flat[lo] + PART)))
+                        roll = _rolling(text[flat[lo] : flat[hi - 1] + span], half)
+                        p = flat[lo:hi] - flat[lo]
+                        for out, x in zip(ranked, (np.full(len(p), i), flat[lo:hi], c.mix(roll[p] * _power(half) + roll[p + half])), strict=True):
+                            out.append(x)
+                        lo = hi
+                for kind, found in enumerate((settled, ranked)):  # what is settled goes on to the last step
+                    if found[0]:
+                        doc, at, value = (np.concatenate(x) for x in found)
+                        key, value = ids[doc], value.astype(np.uint64)
+                        bucket = c.bucket_of(value if kind else c.mix(key.astype(np.uint64)), n)
+                        yield from c.send(bucket, n, slots, key, at, value, np.full(len(at), kind, np.uint64))
 
     return run
 
