@@ -18,6 +18,9 @@ CACHE_CUTS = 400_000
 #: What the splitting pattern of the byte-level vocabularies calls white space.
 _WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _CUT = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
+#: White space other than a single space between words or a single line end between lines.
+_IRREGULAR = re.compile(f"[{_WHITE.replace(' ', '').replace(chr(10), '')}]|[ {chr(10)}][ {chr(10)}]|\\A[ {chr(10)}]|[ {chr(10)}]\\Z")
+_MARKED = re.compile(r"([^\W_]+)([.,!?;:]+)")
 
 _encoders: dict[str, Encoder] = {}
 
@@ -29,7 +32,11 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """Encodes texts with a byte-level vocabulary file of the tokenizers library; ids come as little-endian bytes."""
+    """Encodes texts with a byte-level vocabulary file of the tokenizers library; ids come as little-endian bytes.
+
+    Most texts have single spaces between words and single line ends between lines: they are cut by str.split, and a word after a
+    space is looked up by itself (``spaced``).  Others are cut by pattern.  A full cache becomes the old one, from which entries come back.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -37,21 +44,61 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.cache: dict[str, bytes] = {}
+        self.kind = f"<u{self.width}"
+        self.plain: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
+        self.old: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+        self.line_end = self._encode(["\n"])[0]
+
+    def _encode(self, cuts: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(cuts), 10_000):
+            out += [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(cuts[at : at + 10_000], add_special_tokens=False)]
+        return out
+
+    def _learn(self, wanted: set[str], known: dict[str, bytes], old: dict[str, bytes], before: str) -> None:
+        wanted.difference_update(known)
+        back = wanted.intersection(old) if old else ()
+        known.update((x, old[x]) for x in back)
+        wanted.difference_update(back)
+        # a word and the marks after it are always cut apart, so the word is looked up without them
+        split = {x: m.groups() for x in wanted if (m := _MARKED.fullmatch(x))}
+        new = [x for x in wanted if x not in split]
+        new += {w for w, _ in split.values() if w not in known}.difference(wanted)
+        known.update(zip(new, self._encode([before + x for x in new]), strict=True))
+        marks = list({m for _, m in split.values()})
+        after = dict(zip(marks, self._encode(marks), strict=True))
+        known.update((x, known[w] + after[m]) for x, (w, m) in split.items())
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text."""
-        cuts = [_CUT.findall(t) for t in texts]
-        if len(self.cache) > CACHE_CUTS:
-            self.cache.clear()
-        new = list(set(chain.from_iterable(cuts)).difference(self.cache))
-        kind = f"<u{self.width}"
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for cut, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[cut] = np.array(got.ids, kind).tobytes()
-        look = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(look, x)), kind) for x in cuts]
+        if len(self.plain) + len(self.spaced) > CACHE_CUTS:
+            self.old = self.plain, self.spaced
+            self.plain, self.spaced = {}, {}
+        cuts: list[list] = []
+        plain: set[str] = set()
+        spaced: set[str] = set()
+        for text in texts:
+            if _IRREGULAR.search(text) or not text:
+                cut = _CUT.findall(text)
+                plain.update(cut)
+                cuts.append([None, cut])
+            else:
+                lines = [line.split(" ") for line in text.split("\n")]
+                plain.update(line[0] for line in lines)
+                spaced.update(chain.from_iterable(line[1:] for line in lines))
+                cuts.append(lines)
+        self._learn(plain, self.plain, self.old[0], "")
+        self._learn(spaced, self.spaced, self.old[1], " ")
+        first, rest = self.plain.__getitem__, self.spaced.__getitem__
+        out = []
+        for lines in cuts:
+            if lines[0] is None:
+                joined = b"".join(map(first, lines[1]))
+            else:
+                joined = self.line_end.join(first(line[0]) + b"".join(map(rest, line[1:])) for line in lines)
+            out.append(np.frombuffer(joined, self.kind))
+        return out
 
 
 def encoder(path: str) -> Encoder:
