@@ -131,7 +131,8 @@ def _parse(span: int, n: int, slots: np.ndarray):
                     if cut.any():
                         raise AssertionError("a phrase begins beyond its part")
                     doc = np.searchsorted(offsets, first, "right") - 1
-                    yield from c.send(c.bucket_of(trigger, n), n, slots, ids[doc], first - offsets[doc], trigger & np.uint64(0xFFFFFFFFFFFF), name, size.astype(np.uint64))
+                    # the smallest of many hashes isn't spread evenly; mixed again it is
+                    yield from c.send(c.bucket_of(c.mix(trigger), n), n, slots, ids[doc], first - offsets[doc], trigger & np.uint64(0xFFFFFFFFFFFF), name, size.astype(np.uint64))
 
     return run
 
