@@ -80,7 +80,8 @@ def within(queries: DataFrame, found: DataFrame, radius: int = RADIUS) -> DataFr
         own = df.select(F.col("fingerprint").alias(name)).distinct()
         return own.select(name, F.posexplode(F.array(*[F.col(name).bitwiseAND(signed(m)) for m in tables])).alias(f"{name}_table", f"{name}_key"))
 
-    q, t = keyed(queries, "query"), keyed(found, "fingerprint")
+    # both sides grow with the input, and Spark's estimate of the keyed queries misses that each is there once for each table
+    q, t = keyed(queries, "query"), keyed(found, "fingerprint").hint("merge")
     differ = F.col("query").bitwiseXOR(F.col("fingerprint"))
     first = F.coalesce(*[F.when(differ.bitwiseAND(signed(m)) == 0, F.lit(i)) for i, m in enumerate(tables)])
     joined = q.join(t, (q["query_table"] == t["fingerprint_table"]) & (q["query_key"] == t["fingerprint_key"]) & (F.bit_count(differ) <= radius) & (first == q["query_table"]))
