@@ -47,7 +47,7 @@ def _cut(path: str, end: int, size: int):
             for a, b in c.pieces(batch["text"]):
                 part = batch.slice(a, b - a)
                 rows = []
-                for key, doc, got in zip(part["doc_key"].to_pylist(), part["doc_id"].to_pylist(), enc(part["text"].to_pylist()), strict=True):
+                for key, doc, got in zip(part["doc_key"].to_pylist(), part["doc_id"].to_pylist(), enc(part["text"]), strict=True):
                     ids = np.r_[got.astype("<u4"), np.array([end], "<u4")]
                     bounds = [0, *range(len(ids) % size or size, len(ids) + 1, size)]
                     rows += [(key, doc, i, lo, hi - lo, zlib.crc32(ids[lo:hi].tobytes())) for i, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False))]

@@ -125,7 +125,7 @@ def _encode(path: str, end: int, shard_ids: int):
         for batch in batches:
             for a, b in c.pieces(batch["text"]):
                 part = batch.slice(a, b - a)
-                for key, got in zip(part["doc_key"].to_pylist(), enc(part["text"].to_pylist()), strict=True):
+                for key, got in zip(part["doc_key"].to_pylist(), enc(part["text"]), strict=True):
                     if keys and total + len(got) + 1 > shard_ids:
                         yield shard()
                         keys, ids, total, made = [], [], 0, made + 1

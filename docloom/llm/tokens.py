@@ -1,26 +1,34 @@
 """Token ids of whole texts, fast.
 
-The library's encoder spends most of its time on words that it has met before.  A text is cut where no token can span (before a
-single space that joins two words, and around other white space, exactly as the vocabulary's own splitting does), and the
-ids of each cut are kept.  Cuts that are new to a worker are encoded by the tokenizers library, many at a time.  The cache
-is bounded: it starts afresh beyond CACHE_CUTS.
+The library's encoder spends most of its time on words that it has met before.  Texts are cut where no token can span: before white
+space that follows something else, and before an ASCII mark that follows a Latin letter.  The vocabulary's splitting never joins
+the one to the other and never looks back, so a cut has the same ids alone as in its text.  Cuts are slices of the texts'
+own bytes; equal ones of a piece are brought together by Arrow's dictionary, and only those that a worker hasn't met go to
+the tokenizers library, many at a time.  The cache is bounded: beyond CACHE_CUTS it becomes the old one, from which cuts that
+come up again are taken back, and the one before is dropped.
 """
 
 from __future__ import annotations
 
-import re
-from itertools import chain
-
 import numpy as np
+import pyarrow as pa
+
+from docloom.llm import common as c
 
 #: Cuts that a Python worker remembers.
-CACHE_CUTS = 400_000
-#: What the splitting pattern of the byte-level vocabularies calls white space.
-_WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-_CUT = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
-#: White space other than a single space between words or a single line end between lines.
-_IRREGULAR = re.compile(f"[{_WHITE.replace(' ', '').replace(chr(10), '')}]|[ {chr(10)}][ {chr(10)}]|\\A[ {chr(10)}]|[ {chr(10)}]\\Z")
-_MARKED = re.compile(r"([^\W_]+)([.,!?;:]+)")
+CACHE_CUTS = 500_000
+#: Bytes that surely are white space, and those that may be.
+_BEFORE = np.zeros(256, bool)
+_BEFORE[[0x09, 0x0A, 0x0D, 0x20]] = True
+_AFTER = np.zeros(256, bool)
+_AFTER[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+#: Last three bytes of white space beyond ASCII; of two-byte characters, the last two.
+_WIDE = np.array(sorted(int.from_bytes(chr(x).encode(), "big") for x in [0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200E), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]))
+
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
 _encoders: dict[str, Encoder] = {}
 
@@ -31,12 +39,28 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class Encoder:
-    """Encodes texts with a byte-level vocabulary file of the tokenizers library; ids come as little-endian bytes.
+def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where cuts of texts begin; every text that isn't empty begins one."""
+    edge = _BEFORE[data]
+    edge[1:] &= ~_AFTER[data[:-1]]
+    at = np.flatnonzero(edge)
+    wide = at[(at > 2) & (data[at - 1] >= 0x80)]
+    if len(wide):
+        two = data[wide - 2].astype(np.int64) << 8 | data[wide - 1]
+        white = np.isin(two, _WIDE) | np.isin(data[wide - 3].astype(np.int64) << 16 | two, _WIDE)
+        edge[wide[white]] = False
+    letter = _LETTER[data]
+    # two-byte letters of Latin-1: all with this first byte but the signs of multiplication and division
+    letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    edge[1:] |= letter[:-1] & _MARK[data[1:]]
+    # with fewer than three bytes before it, white space is not told from other characters: no cut
+    edge[:3] = False
+    edge[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    return np.flatnonzero(edge)
 
-    Most texts have single spaces between words and single line ends between lines: they are cut by str.split, and a word after a
-    space is looked up by itself (``spaced``).  Others are cut by pattern.  A full cache becomes the old one, from which entries come back.
-    """
+
+class Encoder:
+    """Encodes texts with a byte-level vocabulary file of the tokenizers library; ids come as little-endian bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -45,60 +69,41 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        self.plain: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-        self.old: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
-        self.line_end = self._encode(["\n"])[0]
-
-    def _encode(self, cuts: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(cuts), 10_000):
-            out += [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(cuts[at : at + 10_000], add_special_tokens=False)]
-        return out
-
-    def _learn(self, wanted: set[str], known: dict[str, bytes], old: dict[str, bytes], before: str) -> None:
-        wanted.difference_update(known)
-        back = wanted.intersection(old) if old else ()
-        known.update((x, old[x]) for x in back)
-        wanted.difference_update(back)
-        # a word and the marks after it are always cut apart, so the word is looked up without them
-        split = {x: m.groups() for x in wanted if (m := _MARKED.fullmatch(x))}
-        new = [x for x in wanted if x not in split]
-        new += {w for w, _ in split.values() if w not in known}.difference(wanted)
-        known.update(zip(new, self._encode([before + x for x in new]), strict=True))
-        marks = list({m for _, m in split.values()})
-        after = dict(zip(marks, self._encode(marks), strict=True))
-        known.update((x, known[w] + after[m]) for x, (w, m) in split.items())
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _learn(self, wanted: list[bytes]) -> None:
+        if len(self.known) > CACHE_CUTS:
+            self.known, self.old = {}, self.known
+        new = [x for x in wanted if x not in self.known]
+        if self.old:
+            self.known.update((x, self.old[x]) for x in new if x in self.old)
+            new = [x for x in new if x not in self.old]
+        for at in range(0, len(new), 10_000):
+            some = new[at : at + 10_000]
+            found = self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)
+            self.known.update((x, np.array(y.ids, self.kind).tobytes()) for x, y in zip(some, found, strict=True))
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of every text."""
-        if len(self.plain) + len(self.spaced) > CACHE_CUTS:
-            self.old = self.plain, self.spaced
-            self.plain, self.spaced = {}, {}
-        cuts: list[list] = []
-        plain: set[str] = set()
-        spaced: set[str] = set()
-        for text in texts:
-            if _IRREGULAR.search(text) or not text:
-                cut = _CUT.findall(text)
-                plain.update(cut)
-                cuts.append([None, cut])
-            else:
-                lines = [line.split(" ") for line in text.split("\n")]
-                plain.update(line[0] for line in lines)
-                spaced.update(chain.from_iterable(line[1:] for line in lines))
-                cuts.append(lines)
-        self._learn(plain, self.plain, self.old[0], "")
-        self._learn(spaced, self.spaced, self.old[1], " ")
-        first, rest = self.plain.__getitem__, self.spaced.__getitem__
-        out = []
-        for lines in cuts:
-            if lines[0] is None:
-                joined = b"".join(map(first, lines[1]))
-            else:
-                joined = self.line_end.join(first(line[0]) + b"".join(map(rest, line[1:])) for line in lines)
-            out.append(np.frombuffer(joined, self.kind))
-        return out
+        data, offsets = c.text_bytes(texts)
+        if not len(data):
+            return [np.zeros(0, self.kind)] * len(texts)
+        at = cuts(data, offsets)
+        ends = np.r_[at, len(data)].astype(np.int64)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        self._learn(distinct)
+        blobs = [self.known[x] for x in distinct]
+        ids = np.frombuffer(b"".join(blobs), self.kind)
+        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.width
+        code = words.indices.to_numpy()
+        n = size[code]
+        stop = np.cumsum(n)
+        # the i-th id of a cut is the i-th after its first in ``ids``
+        out = ids[np.repeat((np.cumsum(size) - size)[code] - (stop - n), n) + np.arange(stop[-1])]
+        bounds = np.r_[0, stop][np.searchsorted(at, offsets)].tolist()
+        return [out[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 def encoder(path: str) -> Encoder:

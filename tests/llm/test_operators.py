@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,11 +98,11 @@ def test_encoder_is_the_library():
     parts = ["a", "B", "é", "中", " ", "  ", "\n", "\t", "\x1c", "\x85", " ", "　", "'s", "12", ".", "!?", "🙂", "<|endoftext|>", " '", "​"]
     for _ in range(3000):
         x = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
-        assert enc([x])[0].tolist() == whole.encode(x, add_special_tokens=False).ids, repr(x)
+        assert enc(pa.array([x]))[0].tolist() == whole.encode(x, add_special_tokens=False).ids, repr(x)
 
 
 def ids_of(text, end):
-    return [*tokens.encoder(tokens.default_vocabulary())([text or ""])[0].tolist(), end]
+    return [*tokens.encoder(tokens.default_vocabulary())(pa.array([text or ""]))[0].tolist(), end]
 
 
 def test_store_round_trip(spark, docs):
