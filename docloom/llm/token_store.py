@@ -162,13 +162,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = np.frombuffer(row["payload"], f"<u{row['id_bytes']}").astype("<u4")
             at, size = at.astype(np.int64), size.astype(np.int64)
             crc = [zlib.crc32(ids[a : a + s].tobytes()) for a, s in zip(at, size, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(at + row["before"]), pa.array(size), pa.array(crc, pa.int64())], ["doc_key", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), row["shard"])), pa.array(keys), pa.array(at), pa.array(size), pa.array(crc, pa.int64())], ["of", "doc_key", "at", "n_tokens", "ids_crc32"])
 
 
 def read_store(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_key, start, n_tokens, ids_crc32) of all documents, each found through its shard's index."""
-    shards = spark.read.parquet(folder).join(shard_starts(spark, folder), "shard")
-    return shards.mapInArrow(_read, "doc_key long, start long, n_tokens long, ids_crc32 long")
+    """(doc_key, start, n_tokens, ids_crc32) of all documents, each found through its shard's index.  Payloads stay where they are read."""
+    found = spark.read.parquet(folder).select("shard", "id_bytes", "payload", "keys", "index").mapInArrow(_read, "of long, doc_key long, at long, n_tokens long, ids_crc32 long")
+    starts = shard_starts(spark, folder)
+    return found.join(starts, found["of"] == starts["shard"]).select("doc_key", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def lookup(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
