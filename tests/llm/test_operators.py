@@ -101,6 +101,18 @@ def test_encoder_is_the_library():
         assert enc(pa.array([x]))[0].tolist() == whole.encode(x, add_special_tokens=False).ids, repr(x)
 
 
+def test_encoder_with_a_full_cache(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_CUTS", 3)
+    enc = tokens.Encoder(tokens.default_vocabulary())
+    rng = random.Random(2)
+    for _ in range(40):
+        texts = [words(rng, rng.randrange(6)) for _ in range(4)]
+        want = [x.ids for x in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in enc(pa.array(texts))] == want
+    assert [len(x) for x in enc(pa.array(["", None]))] == [0, 0]
+    assert enc(pa.array([], pa.string())) == []
+
+
 def ids_of(text, end):
     return [*tokens.encoder(tokens.default_vocabulary())(pa.array([text or ""]))[0].tolist(), end]
 
