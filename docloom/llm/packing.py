@@ -42,7 +42,7 @@ MOST_PATTERNS = 6000
 
 def _cut(path: str, end: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, special=True)
         for batch in batches:
             for a, b in c.pieces(batch["text"]):
                 part = batch.slice(a, b - a)

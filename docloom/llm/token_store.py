@@ -110,7 +110,7 @@ def _encode(path: str, end: int, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = encoder(path)
+        enc = encoder(path, special=True)
         task, made = TaskContext.get().partitionId(), 0
         keys, ids, total = [], [], 0
 

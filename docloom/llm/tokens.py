@@ -6,10 +6,16 @@ the one to the other and never looks back, so a cut has the same ids alone as in
 own bytes; equal ones of a piece are brought together by Arrow's dictionary, and only those that a worker hasn't met go to
 the tokenizers library, many at a time.  The cache is bounded: beyond CACHE_CUTS it becomes the old one, from which cuts that
 come up again are taken back, and the one before is dropped.
+
+Added tokens (``<|endoftext|>``): the library takes them out of a text before it splits the rest, so a cut begins and ends at each
+and none is inside.  With ``special`` the ids are those of the file's tokenizer as it is, which is what the queries use; without it
+the content of a special token is encoded like any other text.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 
@@ -30,7 +36,7 @@ _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _MARK = np.zeros(256, bool)
 _MARK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def default_vocabulary() -> str:
@@ -62,11 +68,16 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes texts with a byte-level vocabulary file of the tokenizers library; ids come as little-endian bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        added = [x for x in self.tokenizer.get_added_tokens_decoder().values() if special or not x.special]
+        # where several begin, the library takes the longest
+        self.added = re.compile(b"|".join(re.escape(x) for x in sorted((x.content.encode() for x in added), key=len, reverse=True))) if added else None
+        #: Whether a token is found by its content alone; if not, texts that hold one are not cut.
+        self.plain = self.tokenizer.normalizer is None and len({x.normalized for x in added}) < 2 and not any(x.single_word or x.lstrip or x.rstrip for x in added)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.known: dict[bytes, bytes] = {}
@@ -84,12 +95,28 @@ class Encoder:
             found = self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)
             self.known.update((x, np.array(y.ids, self.kind).tobytes()) for x, y in zip(some, found, strict=True))
 
+    def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """cuts(), but whole added tokens."""
+        at, blob = cuts(data, offsets), data.tobytes()
+        if self.added is None or not self.added.search(blob):
+            return at
+        bounds, spans = offsets.tolist(), []
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            found = [x.span() for x in self.added.finditer(blob, a, b)]
+            spans += found if self.plain or not found else [(a, b)]
+        edge = np.zeros(len(data) + 1, bool)
+        edge[at] = True
+        for a, b in spans:
+            edge[a:b] = False
+            edge[[a, b]] = True
+        return np.flatnonzero(edge[:-1])
+
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of every text."""
         data, offsets = c.text_bytes(texts)
         if not len(data):
             return [np.zeros(0, self.kind)] * len(texts)
-        at = cuts(data, offsets)
+        at = self._cuts(data, offsets)
         ends = np.r_[at, len(data)].astype(np.int64)
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
         distinct = words.dictionary.to_pylist()
@@ -106,10 +133,11 @@ class Encoder:
         return [out[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
+def encoder(path: str, special: bool = False) -> Encoder:
+    """special: special tokens' contents in texts become those tokens, as in the file's tokenizer unless it is told otherwise."""
+    if (path, special) not in _encoders:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+        _encoders[path, special] = Encoder(path, special)
+    return _encoders[path, special]

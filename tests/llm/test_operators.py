@@ -101,6 +101,51 @@ def test_encoder_is_the_library():
         assert enc(pa.array([x]))[0].tolist() == whole.encode(x, add_special_tokens=False).ids, repr(x)
 
 
+def test_encoder_with_added_tokens():
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokens.default_vocabulary())
+    enc = tokens.encoder(tokens.default_vocabulary(), special=True)
+    assert enc(pa.array(["hello <|endoftext|> world"]))[0].tolist() == [31373, 220, 50256, 995]
+    rng = random.Random(3)
+    parts = ["a", "B", "é", "中", " ", "  ", "\n", "'s", "12", ".", "<|endoftext|>", "<|endof", "text|>", "<|", "|>", "　"]
+    for _ in range(500):  # many texts at once: no token across two of them
+        some = ["".join(rng.choice(parts) for _ in range(rng.randrange(9))) for _ in range(8)]
+        assert [x.tolist() for x in enc(pa.array(some))] == [x.ids for x in whole.encode_batch(some, add_special_tokens=False)], some
+
+
+def test_encoder_with_added_tokens_that_look_around(tmp_path):
+    from tokenizers import AddedToken, Tokenizer
+
+    whole = Tokenizer.from_file(tokens.default_vocabulary())
+    whole.add_special_tokens([AddedToken("<w>", lstrip=True, rstrip=True), AddedToken("<w><v>", single_word=True)])
+    whole.save(str(tmp_path / "more.json"))
+    enc = tokens.encoder(str(tmp_path / "more.json"), special=True)
+    rng = random.Random(4)
+    for _ in range(500):
+        some = ["".join(rng.choice(["a", " ", "  ", ".", "<w>", "<v>", "<w><v>", "<|endoftext|>"]) for _ in range(rng.randrange(9))) for _ in range(4)]
+        assert [x.tolist() for x in enc(pa.array(some))] == [x.ids for x in whole.encode_batch(some, add_special_tokens=False)], some
+
+
+def test_store_and_packing_of_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokens.default_vocabulary())
+    rows = [(1, "hello <|endoftext|> world"), (2, "x" + "<|endoftext|>" * 1500), (3, "after")]
+    data = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = token_store.store_folder(spark, "added")
+    token_store.write_store(data, folder)
+    got = {r.doc_key: (r.start, r.n_tokens, r.ids_crc32) for r in token_store.read_store(spark, folder).collect()}
+    pieces = {(r.doc_id, r.start): (r.length, r.ids_crc32) for r in packing.pack(data).collect()}
+    at, crc = 0, lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    for d, t in rows:
+        ids = whole.encode(t, add_special_tokens=False).ids
+        assert got[d] == (at, len(ids) + 1, crc([*ids, 0]))
+        at += len(ids) + 1
+        first = (len(ids) + 1) % 1024 or 1024
+        assert pieces[d, 0] == (first, crc([*ids, 2][:first]))
+
+
 def test_encoder_with_a_full_cache(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_CUTS", 3)
     enc = tokens.Encoder(tokens.default_vocabulary())
