@@ -146,8 +146,8 @@ def noise_reasons(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH p AS (SELECT CAST(conv_id AS VARCHAR) AS document_id, count(*) AS pages FROM conversations GROUP BY 1) SELECT document_id, 'header' AS zone, 'Weekly report #' AS norm FROM p WHERE pages >= 3 UNION ALL SELECT document_id, 'footer', '- # -' FROM p WHERE pages >= 3""")
 def header_footer(spark: SparkSession, sf: str) -> DataFrame:
     page = F.concat(F.lit("Weekly  report "), F.col("page_number").cast("string"), F.lit("\nfirst "), F.md5("text"), F.lit("\nsecond "), F.md5(F.concat("text", F.lit("a"))), F.lit("\nthird "), F.md5(F.concat("text", F.lit("b"))), F.lit("\n- "), F.col("page_number").cast("string"), F.lit(" -"))
-    found = noise.header_footer_lines(_pages(spark, sf).select("document_id", "page_number", page.alias("text")))
-    return found.filter("norm rlike '^(Weekly|- )'")
+    pages = _pages(spark, sf).withColumn("text", F.coalesce("text", F.lit("")))
+    return noise.header_footer_lines(pages.select("document_id", "page_number", page.alias("text")))
 
 
 @query(r"""SELECT doc_id, regexp_replace(regexp_replace(trim(text, chr(10) || ' '), '[0-9]+', '#', 'g'), '\s+', ' ', 'g') AS norm FROM documents""")
@@ -304,9 +304,9 @@ def chunk_packages(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def boundary_repair(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns as pages, cut in two by a hyphen, and joined again."""
+    """Turns as pages, cut in two by a hyphen, and joined again.  An empty or null turn is a page of the two marks alone."""
     half = F.floor(F.length("text") / 2).cast("int")
-    pages = _pages(spark, sf).filter("length(text) > 20").select(
+    pages = _pages(spark, sf).withColumn("text", F.coalesce("text", F.lit(""))).select(
         "document_id", F.posexplode(F.array(F.concat(F.substring("text", F.lit(1), half), F.lit("x-")), F.concat(F.lit("x"), F.substring(F.col("text"), half + 1, F.length("text"))))).alias("k", "text"), "page_number"
     )
     children = pages.select("document_id", F.col("document_id").alias("parent_id"), F.concat_ws(":", "document_id", "page_number", "k").alias("chunk_id"), (F.col("page_number") * 2 + F.col("k")).cast("int").alias("child_index"), F.lit("text").alias("chunk_type"), "text", (F.col("page_number") * 2 + F.col("k")).cast("int").alias("page_start"), (F.col("page_number") * 2 + F.col("k")).cast("int").alias("page_end"), F.array(F.concat_ws(":", "document_id", "page_number", "k")).alias("source_block_ids"), t.estimate_tokens(F.col("text")).alias("token_count"), F.lit(0).alias("parent_order"))

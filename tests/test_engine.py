@@ -1,5 +1,8 @@
 """The chunking engine on small examples."""
 
+import re
+from collections import Counter
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -168,3 +171,42 @@ def test_queries_match_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_other_queries_have_rows(spark, name):
     assert catalog.QUERIES[name](spark, SF).limit(1).count() == 1
+
+
+def turns(spark, folder):
+    """Conversations with short, empty, null and equal turns; their texts by conversation."""
+    given = {1: ["Hi", "", None, "a longer turn of many words here.", "ok."], 2: ["the same turn", "the same turn", "the same turn", "No"], 3: ["."], 4: ["x", "y", "z"]}
+    data = [(c, i, "user", x) for c, xs in given.items() for i, x in enumerate(xs)]
+    spark.createDataFrame(data, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    return {c: [x or "" for x in xs] for c, xs in given.items()}
+
+
+def test_boundary_repair_has_every_turn(spark, tmp_path):
+    given, want = turns(spark, tmp_path), []
+    for c, xs in given.items():
+        children = []
+        for i, x in enumerate(xs):
+            for k, part in enumerate((x[: len(x) // 2] + "x-", "x" + x[len(x) // 2 :])):
+                name, page = f"{c}:{i + 1}:{k}", 2 * (i + 1) + k
+                children.append({"document_id": str(c), "parent_id": str(c), "chunk_id": name, "child_index": page, "chunk_type": "text", "text": part, "page_start": page, "page_end": page, "source_block_ids": [name], "token_count": 0, "parent_order": 0})
+        want += [(r["document_id"], r["chunk_id"], r["text"], r["page_start"], r["page_end"], r["repairs"]) for r in post.repair(children)]
+    found = catalog.QUERIES["boundary_repair"](spark, f"file://{tmp_path}")
+    got = rows(found, "document_id", "chunk_id", "text", "page_start", "page_end", "repairs")
+    assert sorted(got) == sorted(want)
+    assert ("3", "3:1:0", "xx.", 2, 3, 1) in got  # one mark, cut into "x-" and "x."
+    for c in given:  # every page is in exactly one child
+        assert sorted(p for r in got if r[0] == str(c) for p in range(r[3], r[4] + 1)) == list(range(2, 2 * len(given[c]) + 2))
+
+
+def test_header_footer_has_every_repeated_line(spark, tmp_path):
+    from hashlib import md5
+
+    given, want = turns(spark, tmp_path), set()
+    for c, xs in given.items():
+        pages = [["Weekly report #", *(f"{name} {md5((x + more).encode()).hexdigest()}" for name, more in (("first", ""), ("second", "a"), ("third", "b"))), "- # -"] for x in xs]
+        pages = [[re.sub("[0-9]+", "#", line) for line in page] for page in pages]
+        for zone, part in (("header", slice(0, 3)), ("footer", slice(-3, None))):
+            n = Counter(line for page in pages for line in page[part])
+            want |= {(str(c), zone, line) for line, k in n.items() if len(pages) >= 3 and k >= max(len(pages) // 2, 2)}
+    got = rows(catalog.QUERIES["header_footer"](spark, f"file://{tmp_path}"), "document_id", "zone", "norm")
+    assert sorted(got) == sorted(want) and sum(not r[2].startswith(("Weekly", "-")) for r in got) == 8
