@@ -3,7 +3,8 @@
 Document identity
     Operators work on ``(doc_key, text)``.  ``doc_key`` is the doc_id itself when ids are unique and not
     null.  Otherwise (repeated or null ids) every row is a document of its own: rows are ordered by doc_id
-    (nulls last) and text, and numbered in that order, so ties have a defined, repeatable order.
+    (nulls last), text and the other columns asked for, and numbered from 0 in that order, so ties have a defined,
+    repeatable order and a row's number doesn't depend on how Spark cut the order into partitions.
 
 Packed exchange
     Sequence operators shuffle very many small facts (a hash, a document, a position).  One SQL row for each
@@ -101,7 +102,14 @@ def identified(df: DataFrame, *more: str) -> tuple[DataFrame, bool]:
     if odd.isEmpty():
         return kept.filter("doc_id is not null").withColumn("doc_key", F.col("doc_id")), False
     ordered = kept.orderBy(F.col("doc_id").asc_nulls_last(), "text", *more)
-    return checkpointed(ordered.withColumn("doc_key", F.monotonically_increasing_id())), True
+    placed = checkpointed(ordered.withColumn("doc_key", F.monotonically_increasing_id()))  # partition << 33 | row in it
+    part = F.shiftright("doc_key", 33).cast("int")
+    start, before = 0, []
+    for row in placed.groupBy(part.alias("part")).count().orderBy("part").collect():  # one row for each partition
+        before.append((row["part"], start))
+        start += row["count"]
+    starts = F.broadcast(df.sparkSession.createDataFrame(before, "in_part int, part_start long"))
+    return placed.join(starts, part == starts["in_part"]).withColumn("doc_key", F.col("part_start") + F.col("doc_key").bitwiseAND((1 << 33) - 1)).select(*placed.columns), True
 
 
 def documents(df: DataFrame, *more: str) -> DataFrame:

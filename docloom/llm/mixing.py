@@ -47,7 +47,11 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
     """(doc_key, doc_id, source, size, source_size, target, taken) for every row of docs(doc_id, text, source)."""
-    rows = c.documents(docs, "source")
+    return _mix(c.documents(docs, "source"), weights, epochs, seed)
+
+
+def _mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
+    """mix() of identified rows."""
     slices = max(64, c.buckets(rows))
     h = F.md5(F.concat_ws(":", F.col("doc_key").cast("string"), F.lit(str(seed))).cast("binary"))
     sized = c.checkpointed(
@@ -72,8 +76,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
 def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document's row as often as it is taken; a part of a document is its first words.  Columns of docs."""
     names = docs.columns
-    taken = mix(docs, **options).filter("taken > 0").select(F.col("doc_key").alias("key_taken"), "size", "taken")
-    kept = c.documents(docs, *[n for n in names if n not in ("doc_id", "text")])
+    kept = c.documents(docs, *[n for n in names if n not in ("doc_id", "text")])  # once: the keys of two calls need not agree
+    taken = _mix(kept, **options).filter("taken > 0").select(F.col("doc_key").alias("key_taken"), "size", "taken")
     rows = kept.join(taken, kept["doc_key"] == taken["key_taken"])
     rows = rows.withColumn("part", F.explode(F.transform(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int")), lambda i: F.least(F.col("size"), F.col("taken") - (i - 1) * F.col("size")))))
     first_words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("part").cast("int")), " ")

@@ -231,6 +231,33 @@ def test_mixing(docs):
     assert dict(seen) == {d: n for d, n in taken.items() if n}
 
 
+def test_mixed_texts_of_many_null_ids(spark):
+    rng = random.Random(12)
+    data = [(None if i % 3 else 7, f"t{i} " + words(rng, rng.randrange(1, 30)), rng.choice(["en", "de"]), f"s{i % 5}", i) for i in range(6000)]
+    names = {"spark.sql.shuffle.partitions": "9", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        docs = spark.createDataFrame(data, SCHEMA).repartition(6)
+        keys = {r.text: r.doc_key for r in mixing.c.documents(docs, "source").collect()}
+        assert sorted(keys.values()) == list(range(6000))
+        assert keys == {r.text: r.doc_key for r in mixing.c.documents(docs.repartition(2), "lang", "n_chars").collect()}
+        got = mixing.mixed_texts(docs).collect()
+        want = defaultdict(float)
+        for r in mixing.mix(docs).select("source", "target").distinct().collect():
+            want[r.source] = r.target
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    whole, taken = {t.split()[0]: (t, s) for _, t, _, s, _ in data}, defaultdict(int)
+    for r in got:
+        text, source = whole[r.text.split()[0]]
+        assert r.source == source and text.startswith(r.text)
+        taken[source] += len(r.text.split())
+    assert taken.keys() == want.keys() and all(abs(taken[s] - want[s]) <= 1 for s in want)
+
+
 def test_language_model(docs):
     got = sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in language_model.score(docs).collect())
     want = language_model.brute_base(ROWS)
