@@ -8,25 +8,36 @@ Document identity
 
 Packed exchange
     Sequence operators shuffle very many small facts (a hash, a document, a position).  One SQL row for each
-    would cost more in row overhead than in content, so a map batch sends one row for each target bucket with
-    its facts in columns of minimal width.  Every bucket is one partition, chosen by hash of the *content*, so a
-    document, source or group of copies never meets in one task.
+    would cost more in row overhead than in content, so a map task gathers facts (``gathered``: up to FLUSH at a time, over
+    as many texts as it takes) and sends one row for each target bucket, with its facts in columns of minimal width.
+    Buckets are chosen by hash of the content, stand for BUCKET_BYTES of text each, and are as many as the texts need; beyond
+    MOST_TASKS of them a task works on several, one after another.
+
+Hot content
+    Equal content meets in one bucket, so operators settle among themselves what a map task has gathered and send one
+    representative for what it found equal.  However many documents share a passage, its bucket gets at most a few facts from each
+    flush, which is some 20 MB of text.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Estimated input bytes that one bucket of a packed exchange stands for.
-BUCKET_BYTES = 10 << 20
+#: Bytes of text that one bucket of a packed exchange stands for.
+BUCKET_BYTES = 16 << 20
+#: Buckets beyond which a task has several.
+MOST_TASKS = 1 << 15
 #: Bytes of text that a batch function looks at together.
 PIECE_BYTES = 4 << 20
+#: Facts that a map task gathers before it sends them.
+FLUSH = 3_000_000
 
 _rng = np.random.default_rng(20240229)
 BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -44,26 +55,80 @@ def setting(spark: SparkSession, name: str) -> str | None:
     return spark.conf.get(name, None) or spark.sparkContext.getConf().get(name, None)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints.  Without one, a temporary folder, if all executors are in this process."""
+    named = setting(spark, "spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="docloom-")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the folder the session names."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(setting(df.sparkSession, "spark.checkpoint.dir") or tempfile.mkdtemp(prefix="docloom-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def held(df: DataFrame) -> DataFrame:
-    """``df`` planned once: every pass over it reads the same shuffle files, which Spark makes again if an executor is lost."""
-    spark = df.sparkSession
-    once = df._jdf.queryExecution().toRdd()
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(once, df._jdf.schema(), False), spark)
+def volume(rows: DataFrame) -> int:
+    """Bytes of all texts, counted."""
+    return rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def buckets(rows: DataFrame) -> int:
+    """Buckets of a packed exchange of rows(text): the session's shuffle partitions, more for more text."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-volume(rows) // BUCKET_BYTES))
+
+
+def _one_by_one(work):
+    """work() over each bucket's rows, which follow one another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            key = batch["bucket"].to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a < b:
+                    if held and key[a] != now:
+                        yield from work(iter(held))
+                        held = []
+                    now = key[a]
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield from work(iter(held))
+
+    return run
+
+
+def in_buckets(facts: DataFrame, n: int, work, schema: str) -> DataFrame:
+    """work(batches) over facts(bucket, ...), all rows of a bucket in one call."""
+    if n <= MOST_TASKS:
+        return facts.repartition(n, "bucket").mapInArrow(work, schema)
+    return facts.repartition(MOST_TASKS, "bucket").sortWithinPartitions("bucket").mapInArrow(_one_by_one(work), schema)
 
 
-def buckets(df: DataFrame) -> int:
-    """Partitions of a packed exchange: the session's shuffle partitions, more for more input."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(least, min(known // BUCKET_BYTES, 1 << 17) if known < 1 << 60 else least)
+def last_not_above(bounds: list[int], value: Column) -> Column:
+    """The place, from 0, of the last of ascending bounds that isn't above value; 0 for values below all.  A binary search without a join."""
+    if len(bounds) < 2:
+        return F.lit(0)
+    table = F.expr(f"array({', '.join(f'{x}L' for x in bounds)})")
+    middle = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+
+    def step(s: Column, _: Column) -> Column:
+        below = F.get(table, middle(s)) <= value
+        return F.struct(F.when(below, middle(s)).otherwise(s["lo"]).alias("lo"), F.when(below, s["hi"]).otherwise(middle(s)).alias("hi"))
+
+    turns = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+    return F.aggregate(turns, F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), step, lambda s: s["lo"])
 
 
 def _spark_int_hash(value: int) -> int:
@@ -85,7 +150,9 @@ def _spark_int_hash(value: int) -> int:
 
 
 def even_keys(n: int) -> np.ndarray:
-    """n ints; hash partitioning into n partitions puts the i-th alone into partition i."""
+    """n ints; hash partitioning into n partitions puts the i-th alone into partition i.  Beyond MOST_TASKS just n ints."""
+    if n > MOST_TASKS:
+        return np.arange(n, dtype=np.int32)
     keys, left, k = np.full(n, -1, np.int32), n, 0
     while left:
         at = _spark_int_hash(k) % n
@@ -95,13 +162,14 @@ def even_keys(n: int) -> np.ndarray:
     return keys
 
 
-def identified(df: DataFrame, *more: str) -> tuple[DataFrame, bool]:
+def identified(df: DataFrame, *more: Column) -> tuple[DataFrame, bool]:
     """(doc_key, doc_id, text, *more), and whether doc_key is a number of our own: see the module's docstring.  Null texts become empty."""
-    kept = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *[F.col(c) for c in more])
+    kept = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
     odd = df.select("doc_id").groupBy("doc_id").count().filter("count > 1 or doc_id is null")
     if odd.isEmpty():
         return kept.filter("doc_id is not null").withColumn("doc_key", F.col("doc_id")), False
-    ordered = kept.orderBy(F.col("doc_id").asc_nulls_last(), "text", *more)
+    rest = [F.to_json(F.struct(x)) for x in kept.columns[2:]]
+    ordered = kept.orderBy(F.col("doc_id").asc_nulls_last(), "text", *rest)
     placed = checkpointed(ordered.withColumn("doc_key", F.monotonically_increasing_id()))  # partition << 33 | row in it
     part = F.shiftright("doc_key", 33).cast("int")
     start, before = 0, []
@@ -112,7 +180,17 @@ def identified(df: DataFrame, *more: str) -> tuple[DataFrame, bool]:
     return placed.join(starts, part == starts["in_part"]).withColumn("doc_key", F.col("part_start") + F.col("doc_key").bitwiseAND((1 << 33) - 1)).select(*placed.columns), True
 
 
-def documents(df: DataFrame, *more: str) -> DataFrame:
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a row as one, so that none can clash with those of an operator."""
+    return F.struct(*[F.col(f"`{n}`") for n in df.columns]).alias("whole_row")
+
+
+def unpacked(df: DataFrame, names: list[str], **changed: Column) -> DataFrame:
+    """The columns that whole_row() put together, some of them changed."""
+    return df.select(*[(changed[n] if n in changed else F.col("whole_row")[n]).alias(n) for n in names])
+
+
+def documents(df: DataFrame, *more: Column) -> DataFrame:
     return identified(df, *more)[0]
 
 
@@ -237,33 +315,71 @@ FACTS = "bucket int, keys binary, runs binary, places binary, more array<binary>
 _FACTS = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("runs", pa.binary()), ("places", pa.binary()), ("more", pa.list_(pa.binary()))])
 
 
+def gathered(parts: Iterator[tuple[np.ndarray, ...]], most: int | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns of facts, the first of them keys, put together until there are ``most`` or no more, in order of key."""
+    most, held, total = most or FLUSH, [], 0
+
+    def together() -> tuple[np.ndarray, ...]:
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        order = np.argsort(columns[0], kind="stable")
+        return tuple(columns) if (np.diff(order) == 1).all() else tuple(x[order] for x in columns)
+
+    for part in parts:
+        if len(part[0]):
+            held.append(part)
+            total += len(part[0])
+            if total >= most:
+                yield together()
+                held, total = [], 0
+    if held:
+        yield together()
+
+
 def send(to: np.ndarray, n: int, bucket_keys: np.ndarray, keys: np.ndarray, places: np.ndarray, *more: np.ndarray) -> Iterator[pa.RecordBatch]:
     """One row for each bucket.  Facts must be in order of (key, place)."""
     if not len(to):
         return
     order = np.argsort(to.astype(np.uint16 if n <= 1 << 16 else np.int64), kind="stable")
-    ends = np.searchsorted(to[order], np.arange(n + 1))
+    found, starts = np.unique(to[order], return_index=True)
     rows = []
-    for b in np.flatnonzero(np.diff(ends)):
-        pick = order[ends[b] : ends[b + 1]]
+    for b, lo, hi in zip(found.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
+        pick = order[lo:hi]
         rows.append((int(bucket_keys[b]), *_rises(keys[pick], places[pick]), [small(x[pick]) for x in more]))
     columns = list(zip(*rows, strict=True))
     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FACTS, strict=True)], schema=_FACTS)
 
 
-def receive(batches: Iterator[pa.RecordBatch], n_more: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """All facts of a partition: keys, places, more."""
-    keys, places, more = [], [], [[] for _ in range(n_more)]
+def by_key(keys: np.ndarray, n: int) -> np.ndarray:
+    """Buckets of documents."""
+    return bucket_of(mix(keys.astype(np.uint64)), n)
+
+
+def receive(batches: Iterator[pa.RecordBatch], *widths: int) -> list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """All facts of a bucket (keys, places, more), for each number of further columns asked for."""
+    held = {w: ([], [], [[] for _ in range(w)]) for w in widths}
     for batch in batches:
         for row in batch.to_pylist():
+            keys, places, more = held[len(row["more"])]
             k, p = _unrises(row["keys"], row["runs"], row["places"])
             keys.append(k)
             places.append(p)
             for out, blob in zip(more, row["more"], strict=True):
                 out.append(large(blob))
-    if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), [np.zeros(0, np.uint64)] * n_more
-    return np.concatenate(keys), np.concatenate(places), [np.concatenate(x) for x in more]
+    whole = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+    return [(whole(k, np.int64), whole(p, np.int64), [whole(x, np.uint64) for x in more]) for k, p, more in held.values()]
+
+
+def classes(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """groups() of rows that are equal in all columns."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    new[0] = True
+    for x in columns:
+        ranked = x[order]
+        new[1:] |= ranked[1:] != ranked[:-1]
+    return order, np.flatnonzero(new)
 
 
 def groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -281,7 +397,7 @@ def give_back(n: int, bucket_keys: np.ndarray, keys: np.ndarray, places: np.ndar
     """Facts on their way back to documents: one row for each bucket of documents."""
     order = np.lexsort((places, keys))
     keys, places = keys[order], places[order]
-    yield from send(bucket_of(mix(keys.astype(np.uint64)), n), n, bucket_keys, keys, places, *(x[order] for x in more))
+    yield from send(by_key(keys, n), n, bucket_keys, keys, places, *(x[order] for x in more))
 
 
 FOUND = "doc_key long, places binary, more array<binary>"
@@ -290,7 +406,7 @@ _FOUND = pa.schema([("doc_key", pa.int64()), ("places", pa.binary()), ("more", p
 
 def _merge(n_more: int, rows: int = 20_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, places, more = receive(batches, n_more)
+        ((keys, places, more),) = receive(batches, n_more)
         order = np.lexsort((places, keys))
         keys, places, more = keys[order], places[order], [x[order] for x in more]
         new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
@@ -305,7 +421,7 @@ def _merge(n_more: int, rows: int = 20_000):
 
 def by_document(given: DataFrame, n: int, n_more: int = 0) -> DataFrame:
     """(doc_key, places, more): all that came back for a document, in one row."""
-    return given.repartition(n, "bucket").mapInArrow(_merge(n_more), FOUND)
+    return in_buckets(given, n, _merge(n_more), FOUND)
 
 
 def places_of(blob: bytes) -> np.ndarray:

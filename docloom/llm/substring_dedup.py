@@ -8,14 +8,19 @@ that comes earlier (by doc_key); every word of a repeat goes.
 * Probe: every rolling window of ``block`` words of every document meets the index in the bucket of its hash.  A probe is
   a hit if an earlier document has that block; only the smallest key of a block's holders is needed to tell, so no pairs
   are made, however many documents share a block.
-* Extend: around hits (and the blocks that they hit) all full windows are hashed with 64 bits and meet again; a window
-  whose hash an earlier document also has is a repeat, and the union of such windows is the set of maximal exact repeats.
+* Extend: around hits (and the blocks that they hit) all full windows are named by 128 bits and meet again; a window
+  whose name an earlier document also has is a repeat, and the union of such windows is the set of maximal exact repeats.
 
-A probe's 32 bits (plus its bucket) only choose candidates; the 64-bit window decides.
+A probe's 32 bits (plus its bucket) only choose candidates; the full window's name decides.
+
+Hot passages.  What a map task has gathered is settled there as far as it goes.  Probes: a block that several documents of the
+flush have makes all of them candidates, and only its first indexed holder and its last holder go to the bucket.  Windows:
+all but the smallest document's are repeats already, and only that document's go on.  So a passage of a third of all documents
+sends a few facts for each flush.
 
 Defined cases: null or blank text has no words and keeps the empty string; fewer than ``window`` words: nothing goes;
 rows with a repeated or null doc_id count as documents of their own, in order of doc_id (nulls last) and text; an empty
-table gives no rows; other columns are ignored.
+table gives no rows; a very long text is handled alone in its piece and its facts are sent like others; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,21 +37,42 @@ from docloom.llm import common as c
 WINDOW = 13
 
 
-def _probes(window: int, n: int, keys_of_buckets: np.ndarray):
+_WORD32 = np.uint64(0xFFFFFFFF)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(key, place, hash) of all rolling windows of a block's length."""
+    block = (window + 1) // 2
+    for batch in batches:
+        for a, b in c.pieces(batch["text"]):
+            part = batch.slice(a, b - a)
+            data, offsets = c.text_bytes(part["text"])
+            starts, ends, counts = c.word_spans(data, offsets)
+            h = c.grams(c.word_hashes(data, starts, ends), block, 1)
+            doc = np.repeat(np.arange(len(counts)), counts)[: len(h)]
+            place = np.arange(len(h)) - (np.cumsum(counts) - counts)[doc]
+            ok = (place + block <= counts[doc]) & (counts[doc] >= window)
+            yield part["doc_key"].to_numpy()[doc[ok]], place[ok], h[ok]
+
+
+def _probes(window: int, n: int, slots: np.ndarray):
     block = (window + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in c.pieces(batch["text"]):
-                part = batch.slice(a, b - a)
-                data, offsets = c.text_bytes(part["text"])
-                starts, ends, counts = c.word_spans(data, offsets)
-                h = c.grams(c.word_hashes(data, starts, ends), block, 1)
-                doc = np.repeat(np.arange(len(counts)), counts)[: len(h)]
-                place = np.arange(len(h)) - (np.cumsum(counts) - counts)[doc]
-                ok = (place + block <= counts[doc]) & (counts[doc] >= window)
-                h, doc, place = h[ok], doc[ok], place[ok]
-                yield from c.send(c.bucket_of(h, n), n, keys_of_buckets, part["doc_key"].to_numpy()[doc], place, h & np.uint64(0xFFFFFFFF))
+        for keys, places, h in c.gathered(_blocks(batches, window)):
+            order, new = c.groups(h & _WORD32)  # keys ascend in each group
+            ends = np.r_[new[1:], len(order)]
+            first, last = order[new], order[ends - 1]
+            several = keys[first] != keys[last]
+            where = np.where(places[order] % block == 0, np.arange(len(order)), len(order))
+            index = np.minimum.reduceat(where, new)
+            known = np.zeros(len(keys), bool)
+            known[order[np.repeat(several, ends - new)]] = True
+            asked = ~known
+            asked[last[several]] = True
+            asked[order[index[several & (index < ends)]]] = True
+            yield from c.send(c.bucket_of(h[asked], n), n, slots, keys[asked], places[asked], h[asked] & _WORD32)
+            yield from c.send(c.by_key(keys[known], n), n, slots, keys[known], places[known])
 
     return run
 
@@ -55,55 +81,65 @@ def _hits(window: int, n: int, slots: np.ndarray):
     block = (window + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, places, (h,) = c.receive(batches, 1)
-        if not len(keys):
-            return
-        order, new = c.groups(h)
-        sizes = np.diff(np.r_[new, len(h)])
-        keys, places = keys[order], places[order]
-        indexed = places % block == 0
-        first = np.minimum.reduceat(np.where(indexed, keys, np.iinfo(np.int64).max), new)
-        hit = keys > np.repeat(first, sizes)
-        met = np.repeat(np.logical_or.reduceat(hit, new), sizes)
-        kept = hit | (indexed & met)
-        yield from c.give_back(n, slots, keys[kept], places[kept])
+        (keys, places, (h,)), (known_keys, known_places, _) = c.receive(batches, 1, 0)
+        if len(keys):
+            order, new = c.groups(h)
+            sizes = np.diff(np.r_[new, len(h)])
+            keys, places = keys[order], places[order]
+            indexed = places % block == 0
+            first = np.minimum.reduceat(np.where(indexed, keys, np.iinfo(np.int64).max), new)
+            hit = keys > np.repeat(first, sizes)
+            met = np.repeat(np.logical_or.reduceat(hit, new), sizes)
+            kept = hit | (indexed & met)
+            keys, places = keys[kept], places[kept]
+        yield from c.give_back(n, slots, np.r_[keys, known_keys], np.r_[places, known_places])
 
     return run
 
 
-def _windows(window: int, n: int, keys_of_buckets: np.ndarray):
+def _candidates(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(key, place, two hashes) of the full windows around hits."""
     block = (window + 1) // 2
-
+    for batch in batches:
+        for a, b in c.pieces(batch["text"]):
+            part = batch.slice(a, b - a)
+            data, offsets = c.text_bytes(part["text"])
+            starts, ends, counts = c.word_spans(data, offsets)
+            words = c.word_hashes(data, starts, ends)
+            near = np.zeros(len(starts) + 1, np.int64)
+            first_word = np.cumsum(counts) - counts
+            for i, found in enumerate(part["places"].to_pylist()):
+                at = c.places_of(found)
+                np.add.at(near, first_word[i] + np.maximum(at + block - window, 0), 1)
+                np.add.at(near, first_word[i] + np.maximum(np.minimum(at, counts[i] - window), -1) + 1, -1)
+            doc = np.repeat(np.arange(len(counts)), counts)
+            place = np.arange(len(doc)) - first_word[doc]
+            pick = np.flatnonzero((np.cumsum(near)[: len(doc)] > 0) & (place + window <= counts[doc]))
+            yield part["doc_key"].to_numpy()[doc[pick]], place[pick], c.grams(words, window, 2)[pick], c.grams(words, window, 4)[pick]
+
+
+def _windows(window: int, n: int, slots: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in c.pieces(batch["text"]):
-                part = batch.slice(a, b - a)
-                data, offsets = c.text_bytes(part["text"])
-                starts, ends, counts = c.word_spans(data, offsets)
-                h = c.grams(c.word_hashes(data, starts, ends), window, 2)
-                near = np.zeros(len(starts) + 1, np.int64)
-                first_word = np.cumsum(counts) - counts
-                for i, found in enumerate(part["places"].to_pylist()):
-                    at = c.places_of(found)
-                    np.add.at(near, first_word[i] + np.maximum(at + block - window, 0), 1)
-                    np.add.at(near, first_word[i] + np.maximum(np.minimum(at, counts[i] - window), -1) + 1, -1)
-                doc = np.repeat(np.arange(len(counts)), counts)
-                place = np.arange(len(doc)) - first_word[doc]
-                pick = np.flatnonzero((np.cumsum(near)[: len(doc)] > 0) & (place + window <= counts[doc]))
-                yield from c.send(c.bucket_of(h[pick], n), n, keys_of_buckets, part["doc_key"].to_numpy()[doc[pick]], place[pick], h[pick])
+        for keys, places, h, g in c.gathered(_candidates(batches, window)):
+            order, new = c.classes(h, g)  # keys ascend in each class
+            again = np.zeros(len(keys), bool)
+            again[order] = keys[order] > np.repeat(keys[order[new]], np.diff(np.r_[new, len(order)]))
+            asked = ~again
+            yield from c.send(c.bucket_of(h[asked], n), n, slots, keys[asked], places[asked], h[asked], g[asked])
+            yield from c.send(c.by_key(keys[again], n), n, slots, keys[again], places[again])
 
     return run
 
 
 def _repeats(n: int, slots: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, places, (h,) = c.receive(batches, 1)
-        if not len(keys):
-            return
-        order, new = c.groups(h)
-        keys, places = keys[order], places[order]
-        again = keys > np.repeat(np.minimum.reduceat(keys, new), np.diff(np.r_[new, len(h)]))
-        yield from c.give_back(n, slots, keys[again], places[again])
+        (keys, places, names), (known_keys, known_places, _) = c.receive(batches, 2, 0)
+        if len(keys):
+            order, new = c.classes(*names)
+            keys, places = keys[order], places[order]
+            again = keys > np.repeat(np.minimum.reduceat(keys, new), np.diff(np.r_[new, len(keys)]))
+            keys, places = keys[again], places[again]
+        yield from c.give_back(n, slots, np.r_[keys, known_keys], np.r_[places, known_places])
 
     return run
 
@@ -135,10 +171,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     n = c.buckets(rows)
     slots = c.even_keys(n)
     facts = rows.mapInArrow(_probes(window, n, slots), c.FACTS)
-    hits = c.by_document(facts.repartition(n, "bucket").mapInArrow(_hits(window, n, slots), c.FACTS), n)
+    hits = c.by_document(c.in_buckets(facts, n, _hits(window, n, slots), c.FACTS), n)
     texts = rows.select("doc_key", "doc_id", "text")
     facts = texts.join(hits, "doc_key", "left").filter("places is not null").mapInArrow(_windows(window, n, slots), c.FACTS)
-    repeats = c.by_document(facts.repartition(n, "bucket").mapInArrow(_repeats(n, slots), c.FACTS), n)
+    repeats = c.by_document(c.in_buckets(facts, n, _repeats(n, slots), c.FACTS), n)
     return texts.join(repeats, "doc_key", "left").mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
