@@ -1,27 +1,31 @@
 """Exact repeated-substring removal in corpus order, by prefix-free parsing.
 
 Texts are UTF-8 bytes.  Every byte covered by a ``span``-byte string that starts at two or more places of the corpus (the
-same document included) goes.  What decides is the order of all corpus suffixes to a depth of ``span`` bytes: a place is
-repeated if a neighbour in that order has the same first ``span`` bytes.  The order is put together as prefix-free parsing does:
-
-* Triggers.  A rolling hash of ``span // 2`` bytes runs over every text.  Each ``span``-byte string has ``span // 2 + 1`` such
-  hashes; the place of the smallest (the last of equals) is its trigger.  It depends on the string's own bytes alone, so
-  equal strings have equal triggers at equal distances, however their surroundings differ, and there is always one.
-* Parse.  Following places with one trigger form a phrase: the bytes from its first place to the end of its last place's
-  string (so phrases overlap, and none is another's prefix).  The parse is the sequence of phrases.
-* Dictionary.  Phrases meet by trigger hash.  Equal phrases are one entry; an entry with two or more occurrences settles all
-  its places at once, which is nearly all of highly repetitive text.  A trigger that no other place has settles its phrase
-  as unique.
-* Suffixes of what is left (a phrase that occurs once, beside another with its trigger, at the edges of repeats) are ranked
-  with one occurrence of each other phrase of the trigger.  Ranks are 64-bit names of the first ``span`` bytes: equality at
-  that depth is all that the result needs from the order.
-
-Names and phrases meet in the bucket of their hash: copies, common passages and very common triggers spread over all
-buckets, and there are no pairs.
+same document included) goes.  A place is repeated if a neighbour in the order of all suffixes shares its first ``span`` bytes.
+
+Order of suffixes (``corpus_order``).  Rolling-hash triggers cut texts into phrases that overlap by a trigger, so no phrase
+suffix longer than a trigger is a prefix of another.  The dictionary (distinct phrases) gets a suffix array, the parse (texts
+as phrase numbers) gets one, and a suffix of the texts is placed by the rank of its phrase's rest in the first and, where that is
+equal, by the rank of the parse after it in the second.
+
+The corpus in parts.  One array of a whole corpus has no place on any machine, so the parse is made twice, coarse and fine:
+
+* Coarse parse, of everything.  The trigger of a ``span``-byte string is the smallest of the ``span // 2 + 1`` rolling hashes inside
+  it (the last of equals).  It depends on the string's own bytes alone, so equal strings have equal triggers at equal
+  distances, and there is always one.  Following places with one trigger form a phrase: the bytes from its first place to the
+  end of its last place's string.  Phrases meet by trigger and are named by 128 bits.  Equal phrases settle all their places at
+  once, which is nearly all of highly repetitive text; a trigger that nothing else has settles its phrase as unique.
+* Fine parse, of what is left: phrases that share their trigger with others, at the edges of repeats.  Each map task puts what it
+  holds of them into corpus order as above; equal neighbours (compared byte by byte) are repeated, and one place of each class goes on,
+  named by 128 bits, to meet those of other tasks.  Naming merges the tasks' orders at the depth that the result needs.
+
+Hot content.  A map task settles what it has gathered: equal phrases and equal strings are repeated, and one of each goes on; a trigger
+with several phrases sends one mark.  So a passage that a third of all documents share, and a trigger in as many contexts,
+send one fact for each flush.
 
 Defined cases: null text is empty; a text under ``span`` bytes loses nothing; rows with a repeated or null doc_id are
-documents of their own; an empty table gives no rows; other columns are ignored.  What remains may cut a code point in two, so
-the kept text is binary.
+documents of their own; an empty table gives no rows; other columns are ignored (``clean_texts`` returns them, whatever their names);
+a very long text is hashed in parts.  What remains may cut a code point in two, so the kept text is binary.
 """
 
 from __future__ import annotations
@@ -32,8 +36,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from docloom.llm import common as c
 
@@ -73,14 +77,20 @@ def _least(h: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (n - have)], h[n - have :]) if n > have else h
 
 
+def _names128(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two numbers for each stretch of bytes."""
+    blob, digest = data.tobytes(), xxhash.xxh128_digest
+    return np.frombuffer(b"".join([digest(blob[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), "<u8").reshape(-1, 2)
+
+
 def _phrases(data: np.ndarray, ends: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
     """(first place, places, trigger hash, name) of every phrase; ends: for each byte, where its text ends."""
     none = np.zeros(0, np.int64)
+    nothing = none, none, none.astype(np.uint64), np.zeros((0, 2), np.uint64)
     if len(data) < span:
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return nothing
     half = span // 2
-    roll = _rolling(data, half)
-    h = c.mix(roll)
+    h = c.mix(_rolling(data, half))
     at = np.arange(len(h), dtype=np.uint64)
     mask = (np.uint64(1) << _PLACE_BITS) - np.uint64(1)
     trigger = (mask - (_least((h & ~mask) | (mask - at), span - half + 1) & mask)).astype(np.int64)
@@ -89,14 +99,11 @@ def _phrases(data: np.ndarray, ends: np.ndarray, span: int) -> tuple[np.ndarray,
     new[1:] &= (trigger[1:] != trigger[:-1]) | ~ok[:-1]
     first = np.flatnonzero(new)
     if not len(first):
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return nothing
     # a phrase ends where the next begins or where its text has no more whole strings
     last_ok = ends[first] - span
     last = np.minimum(np.r_[first[1:], len(trigger)] - 1, last_ok)
-    whole = lambda p: roll[p] * _power(half) + roll[p + half]  # noqa: E731  the span-byte string at p
-    t = trigger[first]
-    name = c.mix(c.mix(whole(first)) + c.mix(whole(last) * c.FAR_CODE) * np.uint64(3) + ((last - first) * 512 + (t - first)).astype(np.uint64) * _BASE)
-    return first, last - first + 1, h[t], name
+    return first, last - first + 1, h[trigger[first]], _names128(data, first, last + span)
 
 
 def _parts(offsets: np.ndarray, span: int) -> Iterator[tuple[int, int, int]]:
@@ -112,108 +119,244 @@ def _parts(offsets: np.ndarray, span: int) -> Iterator[tuple[int, int, int]]:
         at = to
 
 
+#: What a flush knows of a phrase: all its places are settled; its trigger has several phrases, all settled.
+_SETTLED, _SEVERAL = 1, 2
+#: What becomes of a phrase's places: all are repeated; they go to the fine parse.
+_REPEATED, _FINE = 1, 2
+
+
+def _coarse(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(key, place, trigger, name, places) of all phrases."""
+    for batch in batches:
+        for a, b in c.pieces(batch["text"]):
+            part = batch.slice(a, b - a)
+            data, offsets = c.text_bytes(part["text"])
+            ids = part["doc_key"].to_numpy()
+            for lo, hi, to in _parts(offsets, span):
+                texts = np.searchsorted(offsets, lo, "right") - 1, np.searchsorted(offsets, hi, "left")
+                bounds = np.clip(offsets[texts[0] : texts[1] + 1], lo, hi) - lo
+                ends = np.repeat(bounds[1:], np.diff(bounds))
+                first, size, trigger, name = _phrases(data[lo:hi], ends, span)
+                own = first + lo < to
+                # a phrase that goes on beyond its part is two: what is named is what lies in the part
+                cut = own & (first + lo + size > to)
+                size = np.where(cut, to - first - lo, size)
+                name = np.array(name)
+                name[cut] = _names128(data[lo:hi], first[cut], first[cut] + size[cut] + span - 1)
+                first, size, trigger, name = first[own] + lo, size[own], trigger[own], name[own]
+                doc = np.searchsorted(offsets, first, "right") - 1
+                # the smallest of many hashes isn't spread evenly; mixed again it is
+                yield ids[doc], first - offsets[doc], c.mix(trigger), name[:, 0], name[:, 1], size.astype(np.uint64)
+
+
+def _per(group: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """How many of a group are in the mask."""
+    return np.bincount(group, mask, group[-1] + 1 if len(group) else 0).astype(np.int64)
+
+
 def _parse(span: int, n: int, slots: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in c.pieces(batch["text"]):
-                part = batch.slice(a, b - a)
-                data, offsets = c.text_bytes(part["text"])
-                ids = part["doc_key"].to_numpy()
-                for lo, hi, to in _parts(offsets, span):
-                    texts = np.searchsorted(offsets, lo, "right") - 1, np.searchsorted(offsets, hi, "left")
-                    bounds = np.clip(offsets[texts[0] : texts[1] + 1], lo, hi) - lo
-                    ends = np.repeat(bounds[1:], np.diff(bounds))
-                    first, size, trigger, name = _phrases(data[lo:hi], ends, span)
-                    own = first + lo < to
-                    first, size, trigger, name = first[own] + lo, size[own], trigger[own], name[own]
-                    size = np.minimum(size, to - first)
-                    cut = size < 0
-                    if cut.any():
-                        raise AssertionError("a phrase begins beyond its part")
-                    doc = np.searchsorted(offsets, first, "right") - 1
-                    # the smallest of many hashes isn't spread evenly; mixed again it is
-                    yield from c.send(c.bucket_of(c.mix(trigger), n), n, slots, ids[doc], first - offsets[doc], trigger & np.uint64(0xFFFFFFFFFFFF), name, size.astype(np.uint64))
+        for keys, places, trigger, n1, n2, size in c.gathered(_coarse(batches, span), c.FLUSH // 2):
+            order, new = c.classes(trigger, n1, n2)
+            entry = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(order)]))
+            triggers = trigger[order[new]]
+            group_of_entry = np.cumsum(np.r_[True, triggers[1:] != triggers[:-1]]) - 1
+            often = np.bincount(entry) > 1
+            several = np.bincount(group_of_entry)[group_of_entry] > 1
+            what = np.zeros(len(keys), np.uint64)
+            what[order] = np.where(often[entry], _REPEATED, 0)
+            what[order[new]] |= np.where(several, _FINE, 0).astype(np.uint64)
+            told = what > 0
+            yield from c.send(c.by_key(keys[told], n), n, slots, keys[told], places[told], size[told], what[told])
+            lead = np.r_[True, group_of_entry[1:] != group_of_entry[:-1]] if len(new) else np.zeros(0, bool)
+            asked = np.zeros(len(keys), bool)
+            asked[order[new[lead]]] = True  # one for each trigger
+            state = np.zeros(len(keys), np.uint64)
+            state[order[new]] = np.where(several, _SEVERAL, np.where(often, _SETTLED, 0)).astype(np.uint64)
+            yield from c.send(c.bucket_of(trigger[asked], n), n, slots, keys[asked], places[asked], trigger[asked] & np.uint64(0xFFFFFFFFFFFF), n1[asked], n2[asked], size[asked], state[asked])
 
     return run
 
 
 def _dictionary(n: int, slots: np.ndarray):
-    """Phrases with their kind: 1: all places are repeated; 2: places must be ranked; 3: both, as others are ranked with them."""
-    return lambda batches: _entries(batches, n, slots)
-
-
-def _entries(batches: Iterator[pa.RecordBatch], n: int, slots: np.ndarray) -> Iterator[pa.RecordBatch]:
-    keys, places, (trigger, name, size) = c.receive(batches, 3)
-    if not len(keys):
-        return
-    order = np.lexsort((name, trigger))
-    keys, places, trigger, name, size = (x[order] for x in (keys, places, trigger, name, size))
-    new_trigger = np.r_[True, trigger[1:] != trigger[:-1]]
-    new_entry = np.r_[True, name[1:] != name[:-1]] | new_trigger
-    entry, group = np.cumsum(new_entry) - 1, np.cumsum(new_trigger) - 1
-    often = np.bincount(entry)[entry] > 1
-    entries = np.bincount(group, weights=new_entry)[group]
-    once = np.bincount(group, weights=new_entry & ~often)[group] > 0
-    rank = (entries > 1) & new_entry & once
-    told = often | rank
-    yield from c.give_back(n, slots, keys[told], places[told], size[told], (often + 2 * rank)[told].astype(np.uint64))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (keys, places, (trigger, n1, n2, size, state)), (told_keys, told_places, (told_size, told_what)) = c.receive(batches, 5, 2)
+        if len(keys):
+            several = state == _SEVERAL
+            n1, n2 = np.where(several, 0, n1), np.where(several, 0, n2)
+            order, new = c.classes(trigger, several, n1, n2)
+            entry = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(order)]))
+            keys, places, trigger, size, state, several = (x[order] for x in (keys, places, trigger, size, state, several))
+            group = np.cumsum(np.r_[True, trigger[1:] != trigger[:-1]]) - 1
+            first = np.zeros(len(keys), bool)
+            first[new] = True
+            often = ((np.bincount(entry) > 1) | (_per(entry, state == _SETTLED) > 0))[entry] & ~several
+            open_ = _per(group, several | ~often) > 0
+            fine = first & ~several & ((_per(group, first) > 1) & open_)[group]
+            what = np.where(often & (state != _SETTLED), _REPEATED, 0) | np.where(fine, _FINE, 0)
+            told = what > 0
+            told_keys, told_places, told_size, told_what = np.r_[told_keys, keys[told]], np.r_[told_places, places[told]], np.r_[told_size, size[told]], np.r_[told_what, what[told].astype(np.uint64)]
+        yield from c.give_back(n, slots, told_keys, told_places, told_size, told_what)
+
+    return run
+
+
+# ------------------------------------------------------------------------------------------ dictionary and parse
+
+
+#: Bytes of a trigger of the fine parse, and every how many places there is one.
+TRIGGER, EVERY = 12, 48
+
+
+def suffix_ranks(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Rank, from 1, of each symbol's suffix, which ends where its string does (ends); equal suffixes have equal ranks.
+
+    Ranks by the first symbol, then by twice as many each time, until nothing is told apart any more.
+    """
+    values, rank = np.unique(symbols, return_inverse=True)
+    rank, found, at, step = rank.astype(np.uint64) + np.uint64(1), len(values), np.arange(len(symbols)), 1
+    while True:
+        there = at + step < ends
+        after = np.where(there, rank[np.minimum(at + step, len(rank) - 1)], 0) if len(rank) else rank
+        values, rank = np.unique(rank << np.uint64(32) | after, return_inverse=True)
+        rank = rank.astype(np.uint64) + np.uint64(1)
+        if len(values) == found:
+            return rank
+        found, step = len(values), 2 * step
+
+
+def corpus_order(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The places of texts (data, after one another; ends: for each byte, where its text ends) in the order of their suffixes.
+
+    Equal suffixes are in the order of their places.
+    """
+    if not len(data):
+        return np.zeros(0, np.int64)
+    start_of_text = np.r_[True, ends[1:] != ends[:-1]]
+    cut = start_of_text.copy()
+    if len(data) >= TRIGGER:
+        roll = c.mix(_rolling(data, TRIGGER))
+        inside = np.arange(len(roll)) + TRIGGER <= ends[: len(roll)]
+        cut[: len(roll)] |= inside & (roll % np.uint64(EVERY) == 0)
+    first = np.flatnonzero(cut)
+    phrase_of = np.cumsum(cut) - 1
+    # a phrase goes on to the end of the trigger that begins the next one, or to its text's end
+    stop = np.minimum(np.r_[first[1:], len(data)] + np.where(np.r_[start_of_text[first[1:]], True], 0, TRIGGER), ends[first])
+    blob = data.tobytes()
+    number: dict[bytes, int] = {}
+    parse = np.fromiter((number.setdefault(blob[a:b], len(number)) for a, b in zip(first.tolist(), stop.tolist(), strict=True)), np.int64, len(first))
+    words = np.frombuffer(b"".join(number), np.uint8)
+    size = np.fromiter(map(len, number), np.int64, len(number))
+    starts = np.cumsum(size) - size
+    in_dictionary = suffix_ranks(words, np.repeat(starts + size, size))
+    last_phrase = np.flatnonzero(np.r_[start_of_text[first[1:]], True])
+    in_parse = suffix_ranks(in_dictionary[starts[parse]], np.repeat(last_phrase + 1, np.diff(np.r_[0, last_phrase + 1])))
+    then = np.where(np.r_[start_of_text[first[1:]], True], 0, np.r_[in_parse[1:], 0]).astype(np.uint64)
+    rest = in_dictionary[starts[parse[phrase_of]] + np.arange(len(data)) - first[phrase_of]]
+    return np.argsort(rest << np.uint64(32) | then[phrase_of], kind="stable")
+
+
+def repeated_places(data: np.ndarray, ends: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places whose ``span`` bytes lie in their text, number of the class of equal ones), from neighbours in corpus order."""
+    order = corpus_order(data, ends)
+    order = order[order + span <= ends[order]]
+    if not len(order):
+        return order, order
+    eight = np.ndarray((max(0, len(data) - 7),), "<u8", data.tobytes(), 0, (1,))
+    same = np.arange(len(order) - 1)
+    for at in [*range(0, span - 7, 8), *([span - 8] if span % 8 else [])] if span >= 8 else []:
+        same = same[eight[order[same] + at] == eight[order[same + 1] + at]]
+    if span < 8:
+        for at in range(span):
+            same = same[data[order[same] + at] == data[order[same + 1] + at]]
+    new = np.ones(len(order), bool)
+    new[same + 1] = False
+    return order, np.cumsum(new) - 1
+
+
+def _left(batches: Iterator[pa.RecordBatch], span: int, settled: list) -> Iterator[tuple[np.ndarray, ...]]:
+    """(key, place, whether the next one follows in its text, bytes) of stretches of places that go to the fine parse; the others go to ``settled``."""
+    for batch in batches:
+        texts = batch["text"].cast(pa.large_binary())
+        for i, (key, found, more) in enumerate(zip(batch["doc_key"].to_pylist(), batch["places"].to_pylist(), batch["more"].to_pylist(), strict=True)):
+            at, (size, what) = c.places_of(found), (c.large(x).astype(np.int64) for x in more)
+            done = what & _REPEATED > 0
+            if done.any():
+                settled.append((np.full(done.sum(), key), at[done], size[done].astype(np.uint64)))
+            fine = what & _FINE > 0
+            at, size = at[fine], size[fine]
+            if not len(at):
+                continue
+            text = np.frombuffer(texts[i].as_buffer(), np.uint8)
+            cover = np.zeros(len(text) + 1, np.int64)
+            np.add.at(cover, at, 1)
+            np.add.at(cover, at + size, -1)
+            edges = np.flatnonzero(np.diff(np.r_[0, np.cumsum(cover) > 0, 0]))
+            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                for lo in range(a, b, PART):
+                    yield key, lo, text[lo : min(b, lo + PART) + span - 1].copy()
 
 
 def _names(span: int, n: int, slots: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in c.pieces(batch["text"]):
-                part = batch.slice(a, b - a)
-                data, offsets = c.text_bytes(part["text"])
-                ids = part["doc_key"].to_numpy()
-                settled, ranked = [[], [], []], [[], [], []]  # text, place, and how many follow or the name
-                for i, (found, more) in enumerate(zip(part["places"].to_pylist(), part["more"].to_pylist(), strict=True)):
-                    at, (size, kind) = c.places_of(found), (c.large(x).astype(np.int64) for x in more)
-                    done, rank = kind != 2, kind > 1
-                    for out, x in zip(settled, (np.full(done.sum(), i), at[done], size[done]), strict=True):
-                        out.append(x)
-                    at, size = at[rank], size[rank]
-                    if not len(at):
-                        continue
-                    flat = np.unique(np.repeat(at, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
-                    text, half = data[offsets[i] : offsets[i + 1]], span // 2
-                    lo = 0
-                    while lo < len(flat):  # in stretches of places that are near, so what lies between others isn't hashed
-                        gaps = np.flatnonzero(np.diff(flat[lo:]) > 4 * span)
-                        hi = min(lo + int(gaps[0]) + 1 if len(gaps) else len(flat), int(np.searchsorted(flat, flat[lo] + PART)))
-                        roll = _rolling(text[flat[lo] : flat[hi - 1] + span], half)
-                        p = flat[lo:hi] - flat[lo]
-                        for out, x in zip(ranked, (np.full(len(p), i), flat[lo:hi], c.mix(roll[p] * _power(half) + roll[p + half])), strict=True):
-                            out.append(x)
-                        lo = hi
-                for kind, found in enumerate((settled, ranked)):  # what is settled goes on to the last step
-                    if found[0]:
-                        doc, at, value = (np.concatenate(x) for x in found)
-                        key, value = ids[doc], value.astype(np.uint64)
-                        bucket = c.bucket_of(value if kind else c.mix(key.astype(np.uint64)), n)
-                        yield from c.send(bucket, n, slots, key, at, value, np.full(len(at), kind, np.uint64))
+        settled: list = []
+        held: list = []
+
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            for keys, places, size in c.gathered(iter(settled)):
+                order = np.lexsort((places, keys))
+                keys, places, size = keys[order], places[order], size[order]
+                yield from c.send(c.by_key(keys, n), n, slots, keys, places, size)
+            settled.clear()
+
+        def ordered() -> Iterator[pa.RecordBatch]:
+            held.sort(key=lambda x: x[:2])
+            size = np.array([len(x[2]) for x in held])
+            data, stops = np.concatenate([x[2] for x in held]), np.cumsum(size)
+            order, kind = repeated_places(data, np.repeat(stops, size), span)
+            which = np.searchsorted(stops, order, "right")
+            key, place = np.array([x[0] for x in held])[which], np.array([x[1] for x in held])[which] + order - (stops - size)[which]
+            often = (np.bincount(kind) > 1)[kind]
+            lead = np.r_[True, kind[1:] != kind[:-1]] if len(kind) else np.zeros(0, bool)
+            settled.append((key[often], place[often], np.ones(often.sum(), np.uint64)))
+            pick = np.flatnonzero(lead)
+            pick = pick[np.lexsort((place[pick], key[pick]))]
+            name = _names128(data, order[pick], order[pick] + span)
+            yield from c.send(c.bucket_of(name[:, 0], n), n, slots, key[pick], place[pick], name[:, 0], name[:, 1], often[pick].astype(np.uint64))
+            held.clear()
+
+        total = 0
+        for stretch in _left(batches, span, settled):
+            held.append(stretch)
+            total += len(stretch[2])
+            if total > PART:
+                yield from ordered()
+                total = 0
+            if len(settled) > 100_000:
+                yield from passed_on()
+        if held:
+            yield from ordered()
+        yield from passed_on()
 
     return run
 
 
 def _ranked(n: int, slots: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, places, (value, kind) = c.receive(batches, 2)
-        if not len(keys):
-            return
-        repeated, size = kind == 0, np.where(kind == 0, value, np.uint64(1))
-        open_ = np.flatnonzero(~repeated)
-        if len(open_):
-            order, new = c.groups(value[open_])
-            often = np.diff(np.r_[new, len(open_)]) > 1
-            repeated[open_[order]] = np.repeat(often, np.diff(np.r_[new, len(open_)]))
-        yield from c.give_back(n, slots, keys[repeated], places[repeated], size[repeated])
+        (keys, places, (n1, n2, known)), (told_keys, told_places, (told_size,)) = c.receive(batches, 3, 1)
+        if len(keys):
+            order, new = c.classes(n1, n2)
+            often = np.diff(np.r_[new, len(order)]) > 1
+            again = order[np.repeat(often, np.diff(np.r_[new, len(order)]))]
+            again = again[known[again] == 0]
+            told_keys, told_places, told_size = np.r_[told_keys, keys[again]], np.r_[told_places, places[again]], np.r_[told_size, np.ones(len(again), np.uint64)]
+        yield from c.give_back(n, slots, told_keys, told_places, told_size)
 
     return run
 
 
-def _remove(span: int, columns: list[str] | None = None):
-    """columns: return these, the text without its repeats, instead of the measures."""
+def _remove(span: int, clean: bool):
+    """clean: whole rows with a text without its repeats, instead of the measures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,10 +375,8 @@ def _remove(span: int, columns: list[str] | None = None):
                 gone.append(total[-1] - len(text))
                 spans.append(runs)
                 kept.append(text)
-            if columns:
-                clean = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())
-                new = {"text": clean, "n_chars": pc.utf8_length(clean).cast(pa.int64())}
-                yield pa.RecordBatch.from_arrays([new[n] if n in new else batch[n] for n in columns], columns)
+            if clean:
+                yield pa.RecordBatch.from_arrays([batch["whole_row"], pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())], ["whole_row", "clean"])
                 continue
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(x, pa.int64()) for x in (total, gone, spans)), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
@@ -247,23 +388,27 @@ def _found(rows: DataFrame, span: int) -> DataFrame:
     rows = rows.select("doc_key", "doc_id", "text")
     n = c.buckets(rows)
     slots = c.even_keys(n)
-    phrases = rows.mapInArrow(_parse(span, n, slots), c.FACTS).repartition(n, "bucket")
-    entries = c.by_document(phrases.mapInArrow(_dictionary(n, slots), c.FACTS), n, 2)
+    phrases = rows.mapInArrow(_parse(span, n, slots), c.FACTS)
+    entries = c.by_document(c.in_buckets(phrases, n, _dictionary(n, slots), c.FACTS), n, 2)
     names = rows.join(entries, "doc_key", "left").filter("places is not null").mapInArrow(_names(span, n, slots), c.FACTS)
-    return c.by_document(names.repartition(n, "bucket").mapInArrow(_ranked(n, slots), c.FACTS), n, 1)
+    return c.by_document(c.in_buckets(names, n, _ranked(n, slots), c.FACTS), n, 1)
 
 
 def dedup_suffixes(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) for every row of docs(doc_id, text)."""
     rows = c.documents(docs).select("doc_key", "doc_id", "text")
-    return rows.join(_found(rows, span), "doc_key", "left").mapInArrow(_remove(span), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return rows.join(_found(rows, span), "doc_key", "left").mapInArrow(_remove(span, False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def clean_texts(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """docs, with their columns, without repeats: text (less what a cut leaves of a code point) and n_chars are new."""
-    names = docs.columns
-    rows = c.documents(docs, *[n for n in names if n not in ("doc_id", "text")])
-    return rows.join(_found(rows, span), "doc_key", "left").mapInArrow(_remove(span, names), docs.schema)
+    """docs, with their columns, without repeats: text (less what a cut leaves of a code point) and n_chars, if there, are new.
+
+    A null text becomes empty; columns may have any names; rows with a repeated or null doc_id are documents of their own; an empty table stays empty.
+    """
+    rows = c.documents(docs, c.whole_row(docs))
+    kept = rows.select("doc_key", "text", "whole_row").join(_found(rows, span), "doc_key", "left").select("whole_row", "text", "places", "more")
+    schema = T.StructType([T.StructField("whole_row", rows.schema["whole_row"].dataType), T.StructField("clean", T.StringType())])
+    return c.unpacked(kept.mapInArrow(_remove(span, True), schema), docs.columns, text=F.col("clean"), n_chars=F.length("clean").cast("long"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
