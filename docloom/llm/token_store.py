@@ -3,26 +3,29 @@
 Format.  A store is a folder of tables in Parquet, so any store that Spark can write holds it.  A row is a shard:
 
 ``shard`` (position in document order), ``n_docs``, ``n_tokens``, ``first_key``, ``last_key``; ``payload``: the raw ids of
-all its documents after one another, little-endian, ``id_bytes`` each; and ``index``: a minimal perfect hash of its document
-keys with, at each key's slot, a 32-bit fingerprint of the key, the document's first id in the payload and its number of ids.
+all its documents after one another, little-endian, ``id_bytes`` each; ``keys``: its document keys; and ``index``: a minimal
+perfect hash of these keys with, at each key's slot, a 32-bit fingerprint of the key, the document's first id in the payload and its number
+of ids.
 
 Index.  Levels of bit arrays, as in hash-and-retry perfect hashing: a key sets one bit of a level; keys that share a bit try
-the next level, and the number of set bits before a key's bit is its slot.  A lookup reads one bit for each level tried
-(a constant 1.6 on average), counts bits through a stored running total, and compares the fingerprint, so a key that
-isn't there is found out with probability 1 - 2**-32.  Keys left after the last level are listed with their slots.
+the next level, and the number of set bits before a key's bit is its slot.  With every 512 bits the number of set bits before
+them is stored, so a lookup reads, for each level tried (1.6 on average, LEVELS at most), one bit, one stored number and at most 64 bytes, and then
+one entry of each table: its cost doesn't depend on the number of keys.  The stored fingerprint finds out a key that isn't
+there with probability 1 - 2**-32.  Keys left after the last level (about n / 2**LEVELS) are sorted, with their slots last.
 
 Writing: rows are range-partitioned by document key and sorted, each partition is encoded and cut into shards; no
-partition's texts or ids are gathered beyond one shard.  Reading: shards are independent; ``lookup`` routes keys to shards
-by their key range.
+partition's texts or ids are gathered beyond one shard.  Row groups are about a shard, so ``fetch`` reads one shard's index and
+payload by its key range.  ``lookup`` gives keys their shard by sorting both within ranges, asks the indexes for places alone,
+and cuts the ids out of the payloads where they are.
 
 Defined cases: null text is empty and has only the end id; rows with a repeated or null doc_id are documents of their own in
-order of doc_id (nulls last) and text; an empty table gives an empty store; other columns are ignored.
+order of doc_id (nulls last) and text; an empty table gives an empty store; a text of more ids than a shard is a shard alone; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -36,8 +39,13 @@ from docloom.llm.tokens import default_vocabulary, encoder
 END = 0
 #: Ids after which a shard is full.
 SHARD_IDS = 1 << 20
-_LEVELS = 24
+#: Bytes of a row group of a store's files: about a shard.
+ROW_GROUP = 2 << 20
+LEVELS = 24
+#: Bits between stored numbers of set bits.
+BLOCK = 512
 _SHARD = "shard long, n_docs long, n_tokens long, first_key long, last_key long, id_bytes int, payload binary, keys binary, index binary"
+_HEAD = struct.Struct("<4I")
 
 
 def _hashes(keys: np.ndarray, level: int) -> np.ndarray:
@@ -45,65 +53,76 @@ def _hashes(keys: np.ndarray, level: int) -> np.ndarray:
 
 
 def build_index(keys: np.ndarray, *columns: np.ndarray) -> bytes:
-    """Minimal perfect hash of distinct int64 keys with, for each, its fingerprint and columns (uint64)."""
+    """Minimal perfect hash of distinct int64 keys with, for each, its fingerprint and columns (unsigned, 8 bytes each)."""
     left, levels, slots = np.arange(len(keys)), [], np.zeros(len(keys), np.int64)
     base = 0
-    for level in range(_LEVELS):
+    for level in range(LEVELS):
         if not len(left):
             break
-        bits = max(64, (2 * len(left) + 7) // 8 * 8)
+        bits = -(-2 * len(left) // BLOCK) * BLOCK
         at = (_hashes(keys[left], level) % np.uint64(bits)).astype(np.int64)
         alone = np.bincount(at, minlength=bits) == 1
         won = alone[at]
-        slots[left[won]] = base + (np.cumsum(alone) - 1)[at[won]]
-        levels.append(np.packbits(alone, bitorder="little"))
+        before = np.cumsum(alone) - alone
+        slots[left[won]] = base + before[at[won]]
+        levels.append((np.packbits(alone, bitorder="little"), (base + before[::BLOCK]).astype("<u4")))
         base += int(won.sum())
         left = left[~won]
+    left = left[np.argsort(keys[left])]
     slots[left] = base + np.arange(len(left))
-    tables = []
-    for column in (_hashes(keys, 99) & np.uint64(0xFFFFFFFF), *columns):
-        table = np.zeros(len(keys), "<u8")
-        table[slots] = column
-        tables.append(table)
-    head = struct.pack("<4I", len(keys), len(levels), len(left), len(tables)) + struct.pack(f"<{len(levels)}I", *[8 * len(x) for x in levels])
-    return head + keys[left].astype("<i8").tobytes() + b"".join(x.tobytes() for x in levels) + b"".join(t.tobytes() for t in tables)
+    prints = np.zeros(len(keys), "<u4")
+    prints[slots] = _hashes(keys, 99) & np.uint64(0xFFFFFFFF)
+    tables = [prints]
+    for column in columns:
+        tables.append(np.zeros(len(keys), "<u8"))
+        tables[-1][slots] = column
+    head = _HEAD.pack(len(keys), len(levels), len(left), len(columns)) + struct.pack(f"<{len(levels)}I", *[8 * len(x) for x, _ in levels])
+    return head + keys[left].astype("<i8").tobytes() + b"".join(x.tobytes() + y.tobytes() for x, y in levels) + b"".join(t.tobytes() for t in tables)
 
 
 class Index:
-    """Reads what build_index() wrote."""
+    """Reads what build_index() wrote, in place: making one reads the head alone."""
 
     def __init__(self, blob: bytes):
-        self.n, n_levels, n_left, n_tables = struct.unpack_from("<4I", blob)
-        sizes = struct.unpack_from(f"<{n_levels}I", blob, 16)
-        at = 16 + 4 * n_levels
+        self.n, n_levels, n_left, n_columns = _HEAD.unpack_from(blob)
+        sizes = struct.unpack_from(f"<{n_levels}I", blob, _HEAD.size)
+        at = _HEAD.size + 4 * n_levels
         self.left = np.frombuffer(blob, "<i8", n_left, at)
         at += 8 * n_left
-        self.bits, self.before = [], []
-        base = 0
+        self.levels = []
         for size in sizes:
-            bits = np.unpackbits(np.frombuffer(blob, np.uint8, size // 8, at), bitorder="little").astype(bool)
-            at += size // 8
-            self.bits.append(bits)
-            self.before.append(base + np.cumsum(bits) - bits)
-            base += int(bits.sum())
-        self.base = base
-        self.tables = [np.frombuffer(blob, "<u8", self.n, at + 8 * self.n * i) for i in range(n_tables)]
+            self.levels.append((size, np.frombuffer(blob, np.uint8, size // 8, at), np.frombuffer(blob, "<u4", size // BLOCK, at + size // 8)))
+            at += size // 8 + 4 * (size // BLOCK)
+        self.prints = np.frombuffer(blob, "<u4", self.n, at)
+        self.columns = [np.frombuffer(blob, "<u8", self.n, at + 4 * self.n + 8 * self.n * i) for i in range(n_columns)]
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, or some slot, or -1, for one that isn't there."""
+        slot, todo = np.full(len(keys), -1, np.int64), np.arange(len(keys))
+        inside = np.arange(BLOCK // 8)
+        for level, (size, bits, before) in enumerate(self.levels):
+            at = (_hashes(keys[todo], level) % np.uint64(size)).astype(np.int64)
+            hit = bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+            for some in np.array_split(np.flatnonzero(hit), hit.sum() // 65_536 + 1):  # 64 bytes for each, so not too many at once
+                p = at[some]
+                own = bits[(p // BLOCK * (BLOCK // 8))[:, None] + inside]
+                byte = (p % BLOCK >> 3)[:, None]
+                part = np.where(inside < byte, 0xFF, np.where(inside == byte, (1 << (p & 7)[:, None]) - 1, 0))
+                slot[todo[some]] = before[p // BLOCK] + np.bitwise_count(own & part.astype(np.uint8)).sum(1)
+            todo = todo[~hit]
+        if len(self.left) and len(todo):
+            at = np.minimum(np.searchsorted(self.left, keys[todo]), len(self.left) - 1)
+            same = self.left[at] == keys[todo]
+            slot[todo[same]] = self.n - len(self.left) + at[same]
+        return slot
 
     def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """(found, columns) for each key."""
-        slot = np.full(len(keys), -1, np.int64)
-        todo = np.arange(len(keys))
-        for level, (bits, before) in enumerate(zip(self.bits, self.before, strict=True)):
-            at = (_hashes(keys[todo], level) % np.uint64(len(bits))).astype(np.int64)
-            hit = bits[at]
-            slot[todo[hit]] = before[at[hit]]
-            todo = todo[~hit]
-        for i, key in enumerate(self.left):
-            slot[todo[keys[todo] == key]] = self.base + i
-        found = slot >= 0
-        if self.n:
-            found &= self.tables[0][slot] == _hashes(keys, 99) & np.uint64(0xFFFFFFFF)
-        return found, [t[np.where(found, slot, 0)] if self.n else np.zeros(len(keys), np.uint64) for t in self.tables[1:]]
+        if not self.n:
+            return np.zeros(len(keys), bool), [np.zeros(len(keys), np.uint64) for _ in self.columns]
+        slot = self.slots(keys)
+        found = (slot >= 0) & (self.prints[slot] == _hashes(keys, 99) & np.uint64(0xFFFFFFFF))
+        return found, [x[np.where(found, slot, 0)] for x in self.columns]
 
 
 def _encode(path: str, end: int, shard_ids: int):
@@ -142,7 +161,7 @@ def write_store(docs: DataFrame, folder: str, vocabulary: str | None = None, end
     """Write docs(doc_id, text) as a store; returns (doc_key, doc_id), or None where doc_key is the doc_id."""
     rows, numbered = c.identified(docs)
     ordered = rows.select("doc_key", "text").repartitionByRange(c.buckets(rows), "doc_key").sortWithinPartitions("doc_key")
-    ordered.mapInArrow(_encode(vocabulary or default_vocabulary(), end, shard_ids), _SHARD).write.option("compression", "zstd").parquet(folder)
+    ordered.mapInArrow(_encode(vocabulary or default_vocabulary(), end, shard_ids), _SHARD).write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(folder)
     return rows.select("doc_key", "doc_id") if numbered else None
 
 
@@ -172,35 +191,57 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
     return found.join(starts, found["of"] == starts["shard"]).select("doc_key", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def lookup(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
-    """(doc_key, ids array<int>) of keys(doc_key); keys that aren't there give no row.
-
-    Keys are sent to the shards whose key range holds them; only the shards' ranges (two longs each) are joined by range.
-    """
-    shards = spark.read.parquet(folder)
-    ranges = shards.select("shard", "first_key", "last_key")
-    wanted = keys.select("doc_key").join(ranges, F.col("doc_key").between(F.col("first_key"), F.col("last_key"))).groupBy("shard").agg(F.collect_set("doc_key").alias("wanted"))
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            k = np.array(row["wanted"], np.int64)
+            found, (at, size) = Index(row["index"])(k)
+            columns = [np.full(found.sum(), row["shard"]), k[found], at[found].astype(np.int64), size[found].astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["shard", "doc_key", "at", "size"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                k = np.array(row["wanted"], np.int64)
-                found, (at, size) = Index(row["index"])(k)
-                ids = np.frombuffer(row["payload"], f"<u{row['id_bytes']}").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(k[found]), pa.array([ids[a : a + s] for a, s in zip(at[found].astype(np.int64), size[found].astype(np.int64), strict=True)], pa.list_(pa.int32()))], ["doc_key", "ids"])
 
-    return shards.join(wanted, "shard").mapInArrow(run, "doc_key long, ids array<int>")
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = [np.frombuffer(x, f"<u{w}").astype(np.int32) for x, w in zip(batch["ids"].to_pylist(), batch["id_bytes"].to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch["doc_key"], pa.array(ids, pa.list_(pa.int32()))], ["doc_key", "ids"])
 
 
-def store_folder(spark: SparkSession, name: str) -> str:
-    """A new folder beside the session's checkpoints, which all executors share."""
-    import tempfile
+def lookup(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
+    """(doc_key, ids array<int>) of keys(doc_key); keys that aren't there give no row, repeated and null ones count once and not at all.
 
-    return f"{(c.setting(spark, 'spark.checkpoint.dir') or tempfile.mkdtemp(prefix='docloom-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    Keys and shards are sorted by (first) key within ranges of shards, and a key belongs to the last shard that begins before it; so
+    nothing is compared with every shard.  Ranges begin where a shard does: about the square root of their number is
+    collected.  Places come from the indexes alone; ids are cut out of the payloads where they are read.
+    """
+    shards = spark.read.parquet(folder)
+    ranges = shards.select("shard", F.col("first_key").alias("doc_key"))
+    n = max(1, int(shards.count() ** 0.5))
+    begin = sorted({r["doc_key"] for r in ranges.filter(F.pmod(F.xxhash64("shard"), F.lit(n)) == 0).collect()})  # about sqrt(shards) longs
+    both = ranges.unionByName(keys.select(F.col("doc_key").cast("long").alias("doc_key")).filter("doc_key is not null").distinct(), allowMissingColumns=True).withColumn("span", c.last_not_above(begin, F.col("doc_key")))
+    last = F.last("shard", True).over(Window.partitionBy("span").orderBy("doc_key", F.col("shard").isNull()))
+    routed = both.withColumn("of", last).filter("shard is null and of is not null").groupBy("of").agg(F.collect_list("doc_key").alias("wanted"))
+    placed = shards.select("shard", "index").join(routed, F.col("shard") == F.col("of")).select("shard", "index", "wanted").mapInArrow(_places, "shard long, doc_key long, at long, size long")
+    cut = F.expr("substring(payload, int(at * id_bytes + 1), int(size * id_bytes))")
+    ids = shards.select("shard", "id_bytes", "payload").join(placed, "shard").select("doc_key", "id_bytes", cut.alias("ids"))
+    return ids.mapInArrow(_unpack, "doc_key long, ids array<int>")
+
+
+def fetch(spark: SparkSession, folder: str, key: int) -> np.ndarray | None:
+    """The ids of one document.  Of the store's files, only row groups whose key range holds the key are read."""
+    at = spark.read.parquet(folder).filter((F.col("first_key") <= key) & (F.col("last_key") >= key))
+    row = at.select("index", "id_bytes").first()
+    if row is None:
+        return None
+    found, (start, size) = Index(bytes(row["index"]))(np.array([key]))
+    if not found[0]:
+        return None
+    width = row["id_bytes"]
+    ids = at.select(F.expr(f"substring(payload, {int(start[0]) * width + 1}, {int(size[0]) * width})").alias("ids")).first()["ids"]
+    return np.frombuffer(bytes(ids), f"<u{width}")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the whole documents table as a store, read it back, and return each document's place and checksum."""
-    folder = store_folder(spark, "token-store")
+    folder = c.new_folder(spark, "token-store")
     names = write_store(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)
     return c.named(read_store(spark, folder), names)
