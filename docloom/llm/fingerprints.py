@@ -9,13 +9,14 @@ each choice of three blocks there is a table with these blocks in front as the k
 the first table whose key it shares, once, if its bits differ in at most ``radius`` places.  Distinct fingerprints are
 searched, so copies don't multiply, and keys of 32 of 64 bits (at radius 3) stay selective.
 
-Edited texts need each document's successor.  Documents go to groups of about GROUP following keys; the successor is the next row
-in the group, and a group's last document gets the next group's head by a join on the group, whose rows are already together, so
-texts are shuffled once.
+Edited texts need each document's successor.  Documents go to groups of about GROUP following keys: quantiles of the keys cut them into
+ranges of about RANGE documents, and each range is cut evenly, so an outlier among the keys makes the groups of its own range
+larger at most.  The successor is the next row in the group, and a group's last document gets the next group's head by a join on
+the group, whose rows are already together, so texts are shuffled once.
 
 Defined cases: null text is empty; a text without words has fingerprint 0 and its edited text is what the rule gives; one document is
 its own successor; rows with a repeated or null doc_id are documents of their own in order of doc_id (nulls last) and text; an
-empty table gives no rows; other columns are ignored.
+empty table gives no rows; a very long text is one row like others, its votes are sums; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from docloom.llm import common as c
 
 RADIUS = 3
-#: Documents in a group of followers, about.
-GROUP = 64
+#: Documents in a group of followers, about; documents of a range of keys, and ranges at most (their bounds are literals of the plan).
+GROUP, RANGE, MOST_RANGES = 64, 4096, 20_000
 _PAIR = 0x0000000100000001
 
 
@@ -88,9 +89,29 @@ def within(queries: DataFrame, found: DataFrame, radius: int = RADIUS) -> DataFr
     return joined.select("query", "fingerprint")
 
 
-def _successors(groups: DataFrame, wide: int = 4096) -> DataFrame:
+#: Groups of a range are numbered from its number times this.
+_WIDE = 1 << 24
+
+
+def _groups(keys: DataFrame) -> Column:
+    """Number of a doc_key's group; numbers rise with keys."""
+    n = keys.count()
+    if not n:
+        return F.lit(0).cast("long")
+    ranges = min(MOST_RANGES, -(-n // RANGE))
+    cuts = keys.agg(F.percentile_approx("doc_key", [i / ranges for i in range(ranges + 1)], max(10_000, 10 * ranges))).first()[0]
+    bounds = sorted(set(cuts))
+    if len(bounds) == 1:
+        bounds.append(bounds[0] + 1)
+    at = c.last_not_above(bounds[:-1], F.col("doc_key"))
+    table, widths = (F.expr(f"array({', '.join(f'{x}L' for x in xs)})") for xs in (bounds[:-1], [max(1, (b - a) * GROUP // RANGE) for a, b in zip(bounds, bounds[1:], strict=False)]))
+    inside = F.floor(F.greatest(F.lit(0), F.col("doc_key") - F.get(table, at)) / F.get(widths, at))
+    return at.cast("long") * _WIDE + F.least(inside.cast("long"), F.lit(_WIDE - 1))
+
+
+def _successors(groups: DataFrame) -> DataFrame:
     """(grp, next_grp) of groups(grp); of the last, the first.  Two levels, so one task orders few rows."""
-    spread = groups.withColumn("span", F.floor(F.col("grp") / wide))
+    spread = groups.withColumn("span", F.floor(F.col("grp") / _WIDE))
     inner = spread.withColumn("after", F.lead("grp").over(Window.partitionBy("span").orderBy("grp")))
     heads = spread.groupBy("span").agg(F.min("grp").alias("head"))
     order = Window.orderBy("span")
@@ -100,13 +121,11 @@ def _successors(groups: DataFrame, wide: int = 4096) -> DataFrame:
 
 def edits(rows: DataFrame) -> DataFrame:
     """(grp, doc_key, doc_id, n_chars, text, edited, head) of identified rows; head: the successor's text, where it is in another group."""
-    low, high, n = rows.agg(F.min("doc_key"), F.max("doc_key"), F.count("*")).first()
-    width = max(1, (high - low + 1) * GROUP // n) if n else 1
-    grp = F.floor((F.col("doc_key").cast("double") - F.lit(float(low or 0))) / F.lit(float(width)))
-    base = rows.select("doc_key", "doc_id", "text", grp.alias("grp")).repartition(c.buckets(rows), "grp")
+    marked = rows.select("doc_key", "doc_id", "text", _groups(rows.select("doc_key")).alias("grp"))
+    base = marked.repartition(c.buckets(rows), "grp")
     # all columns of base, so that this reads the exchange that the window reads
     heads = base.groupBy("grp").agg(F.min_by(F.struct("text", "doc_id"), "doc_key").alias("first")).select("grp", F.col("first.text").alias("head"))
-    after = _successors(rows.select(grp.alias("grp")).distinct())
+    after = _successors(marked.select("grp").distinct())
     nexts = after.join(heads.withColumnRenamed("grp", "head_grp"), F.col("next_grp") == F.col("head_grp")).select(F.col("grp").alias("of"), "head")
     led = base.withColumn("lead", F.lead("text").over(Window.partitionBy("grp").orderBy("doc_key")))
     joined = led.join(nexts.hint("merge"), led["grp"] == nexts["of"])
