@@ -4,19 +4,23 @@ Every document becomes its ids and an end id; a longer one is cut into pieces of
 remainder, so all others fill a sequence alone.  What is packed is the histogram of the other pieces' lengths (at most
 ``size`` numbers, however large the corpus):
 
-* Patterns: multisets of up to three lengths with a sum of exactly ``size`` (or, where a length has no such partners, the
-  fullest that it has).  For each length the partners are found by completing it best-fit from the lengths in the histogram.
-* Fit: repeat counts x >= 0 that minimise |A x - histogram|, by projected coordinate descent (A has a column for each
-  pattern, with how many pieces of each length it takes).
-* Round down, within what is left of each length.  The residual, by now small in every length, is packed best-fit decreasing,
-  a run of equal sequences at a time.
+* Patterns: multisets of up to MOST lengths with a sum of exactly ``size``: all pairs; a length and the PAIRS best pairs of lengths
+  (those whose scarcer member is commonest) that complete it; and so on from the best triples.
+* Fit: repeat counts x >= 0 that minimise |A x - histogram| (A has a column for each pattern, with how many pieces of each
+  length it takes), by accelerated projected gradient steps.  Pieces longer than half a sequence need one each, so patterns that
+  such a piece opens are fitted first, then those of shorter pieces on what is left of the histogram; and each time patterns of few
+  pieces before those of more, so that short pieces are kept for the gaps that only they fill.
+* Rounding: counts are rounded and taken, the largest first, as far as pieces are there.
+* Residual, after each of the two: from the longest piece down, best fit: the longest that goes into the room that is left, and again.  A pattern is used as often as its pieces allow at once, so the work depends on the number of lengths, not of pieces.
+* Repair: all sequences with room left are taken apart together with a seeded choice of full ones, and their pieces packed like a
+  residual; what comes out stays if it needs fewer sequences, or as many and leaves more room in the emptiest.  REPAIRS times.
 
 The plan is a short table: a pattern, how often, and which ranks of each length go where.  Pieces of a length are ranked in
 two steps (a count for each length and hash slice, then a rank in the slice), so a length that a third of all pieces share is
 ranked by many tasks.
 
 Defined cases: null text is empty and packs its end id alone; rows with a repeated or null doc_id are documents of their own; an
-empty table gives no rows; ties go by doc_id, row and piece; other columns are ignored.
+empty table gives no rows; a very long text is many pieces; ties go by doc_id, row and piece; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,8 +40,12 @@ SIZE = 1024
 END = 2
 #: Hash slices, at least, in which pieces of one length are ranked.
 SLICES = 64
-#: Patterns that are fitted at once.
-MOST_PATTERNS = 6000
+#: Best pairs (triples ...) of lengths for each sum, and the most lengths of a pattern: with a long piece, and without.
+PAIRS, MOST = 8, (3, 6)
+#: Gradient steps of a fit.
+STEPS = 500
+#: Attempts to pack sequences with room anew, and their seed.
+REPAIRS, SEED = 200, 3
 
 
 def _cut(path: str, end: int, size: int):
@@ -66,89 +74,117 @@ def cut_pieces(docs: DataFrame, vocabulary: str, end: int = END, size: int = SIZ
     return rows.mapInArrow(_cut(vocabulary, end, size), _PIECE)
 
 
-def _best_fit(have: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
-    """Best-fit decreasing of a histogram, by runs: the longest piece takes the longest that fits, until nothing does."""
-    have, out = have.copy(), []
-    present = [int(x) for x in np.flatnonzero(have)]
-    while present:
-        longest = present[-1]
-        pattern, room = [longest], size - longest
-        used = Counter(pattern)
-        at = len(present) - 1
-        while room > 0 and at >= 0:
-            at = min(at, int(np.searchsorted(present, room, "right")) - 1)
-            while at >= 0 and used[present[at]] >= have[present[at]]:
-                at -= 1
-            if at < 0:
-                break
-            pattern.append(present[at])
-            used[present[at]] += 1
-            room -= present[at]
-        times = min(int(have[x]) // n for x, n in used.items())
-        out.append((tuple(pattern), times))
-        for x, n in used.items():
-            have[x] -= n * times
-            if not have[x]:
-                present.remove(x)
-    return out
-
-
-def _patterns(have: np.ndarray, size: int) -> list[tuple[int, ...]]:
-    """Few-document patterns that fill a sequence wholly, spread over the histogram's lengths."""
+def patterns(have: np.ndarray, size: int, pieces: int) -> list[tuple[int, ...]]:
+    """Patterns of so many lengths that fill a sequence wholly."""
     lengths = np.flatnonzero(have)
-    there = np.zeros(size + 1, bool)
-    there[lengths] = True
-    found = {(int(x), size - int(x)) for x in lengths if 2 * x >= size and there[size - x]}
-    if there[size]:
-        found.add((size,))
+    if pieces == 1:
+        return [(size,)] if have[size] else []
+    # the best multisets of pieces - 1 lengths for every sum, made from those of one less and one length more
+    best: list[list[tuple[int, ...]]] = [[(x,)] if have[x] else [] for x in range(size + 1)]
     common = lengths[np.argsort(-have[lengths], kind="stable")]
-    for x in lengths[::-1]:
-        rest, n = size - int(x), 0
-        for y in common:
-            z = rest - int(y)
-            if 0 < z <= y <= x and there[z]:
-                found.add((int(x), int(y), z))
-                n += 1
-                if n == 12 or len(found) >= MOST_PATTERNS:
+    for _ in range(pieces - 2):
+        longer: list[list[tuple[int, ...]]] = [[] for _ in range(size + 1)]
+        for total in range(2, size + 1):
+            found: dict[tuple[int, ...], None] = {}
+            for x in common[common < total].tolist():
+                for p in best[total - x]:
+                    found[tuple(sorted((x, *p), reverse=True))] = None
+                if len(found) >= PAIRS:
                     break
-    return sorted(found, reverse=True)
+            longer[total] = list(found)[:PAIRS]
+        best = longer
+    found = {tuple(sorted((x, *p), reverse=True)) for x in lengths[lengths < size].tolist() for p in best[size - x]}
+    return sorted((p for p in found if all(have[x] >= p.count(x) for x in p)), reverse=True)
 
 
-def fit(have: np.ndarray, patterns: list[tuple[int, ...]], rounds: int = 60) -> np.ndarray:
+def fit(have: np.ndarray, chosen: list[tuple[int, ...]], steps: int = STEPS) -> np.ndarray:
     """Non-negative repeat counts that bring the patterns' use of each length closest to the histogram."""
-    use = [np.array(sorted(Counter(p).items())).T for p in patterns]
-    norm = np.array([(u[1] ** 2).sum() for u in use], float)
-    x, left = np.zeros(len(patterns)), have.astype(float)
-    for _ in range(rounds):
-        moved = 0.0
-        for j, (at, n) in enumerate(use):
-            step = max(-x[j], float(n @ left[at]) / norm[j])
-            if step:
-                x[j] += step
-                left[at] -= step * n
-                moved = max(moved, abs(step))
-        if moved < 0.25:
-            break
+    at = np.array([x for p in chosen for x in p])
+    of = np.repeat(np.arange(len(chosen)), [len(p) for p in chosen])
+    use = lambda x: np.bincount(at, x[of], len(have))
+    back = lambda r: np.bincount(of, r[at], len(chosen))
+    v = np.ones(len(chosen))
+    for _ in range(20):  # the largest curvature, by power iteration
+        v = back(use(v))
+        top = np.linalg.norm(v)
+        v /= top
+    x = y = np.zeros(len(chosen))
+    pace = 1.0
+    for _ in range(steps):
+        new = np.maximum(0, y + back(have - use(y)) / (1.05 * top))
+        nxt = (1 + (1 + 4 * pace * pace) ** 0.5) / 2
+        y, x, pace = new + (pace - 1) / nxt * (new - x), new, nxt
     return x
 
 
+def _filled(left: np.ndarray, room: int) -> list[int]:
+    """What goes into ``room``: the longest length that fits, then into the rest, and so on."""
+    out: list[int] = []
+    left = left.copy()
+    while room > 0 and len(fits := np.flatnonzero(left[: room + 1])):
+        out.append(int(fits[-1]))
+        left[out[-1]] -= 1
+        room -= out[-1]
+    return out
+
+
+def _take(left: np.ndarray, out: Counter, p: tuple[int, ...], most: int | None = None) -> None:
+    times = min(int(left[x]) // p.count(x) for x in p)
+    times = times if most is None else min(times, most)
+    if times > 0:
+        out[p] += times
+        for x in p:
+            left[x] -= times
+
+
+def _residual(left: np.ndarray, out: Counter, size: int, least: int = 0) -> None:
+    """Packs what is left of lengths above ``least``, with shorter ones, into ``out``."""
+    for x in np.flatnonzero(left)[::-1].tolist():
+        while x > least and left[x]:
+            left[x] -= 1
+            more = _filled(left, size - x)
+            left[x] += 1
+            _take(left, out, tuple(sorted((x, *more), reverse=True)))
+
+
+def _repaired(planned: Counter, size: int, rng: np.random.Generator) -> Counter:
+    """Some sequences packed anew, if that is better."""
+    full = [p for p in planned if sum(p) == size and len(p) > 1]
+    open_ = [p for p in planned if sum(p) < size]
+    wanted = sum(planned[p] for p in open_)
+    if not wanted:
+        return planned
+    chosen = Counter({p: planned[p] for p in open_})
+    spare = int(wanted * rng.uniform(0.5, 8)) + 1
+    for j in rng.permutation(len(full)).tolist():
+        chosen[full[j]] = min(planned[full[j]], spare)
+        spare -= chosen[full[j]]
+        if spare <= 0:
+            break
+    left = np.zeros(size + 1, np.int64)
+    for p, times in chosen.items():
+        for x in p:
+            left[x] += times
+    new: Counter = Counter()
+    _residual(left, new, size)
+    worth = lambda c: (-sum(c.values()), sum(t * (size - sum(p)) ** 2 for p, t in c.items()))
+    return planned - chosen + new if worth(new) > worth(chosen) else planned
+
+
 def plan(have: np.ndarray, size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
     """(pattern, times) that use up the histogram (index: length) exactly, in as few sequences as it can."""
-    greedy = _best_fit(have, size)
-    patterns = _patterns(have, size)
-    left, out = have.copy(), []
-    if patterns:
-        counts = fit(have, patterns)
-        for j in np.argsort(-counts, kind="stable"):
-            used = Counter(patterns[j])
-            times = min([int(counts[j] + 1e-9), *(int(left[x]) // n for x, n in used.items())])
-            if times > 0:
-                out.append((patterns[j], times))
-                for x, n in used.items():
-                    left[x] -= n * times
-    out += _best_fit(left, size)
-    total = lambda p: sum(t for _, t in p)
-    return out if total(out) <= total(greedy) else greedy
+    left, out = have.copy(), Counter()
+    for least, most in zip((size // 2, 0), MOST, strict=True):  # a pattern's longest piece is longer than ``least``
+        for pieces in range(1, most + 1):
+            chosen = [p for p in patterns(left, size, pieces) if p[0] > least]
+            counts = np.rint(fit(left, chosen)) if chosen else np.zeros(0)
+            for j in np.argsort(-counts, kind="stable").tolist():
+                _take(left, out, chosen[j], int(counts[j]))
+        _residual(left, out, size, least)
+    rng = np.random.default_rng(SEED)
+    for _ in range(REPAIRS):
+        out = _repaired(out, size, rng)
+    return list(out.items())
 
 
 def slots(planned: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int, int]]:
