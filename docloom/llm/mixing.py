@@ -47,7 +47,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
     """(doc_key, doc_id, source, size, source_size, target, taken) for every row of docs(doc_id, text, source)."""
-    return _mix(c.documents(docs, "source"), weights, epochs, seed)
+    return _mix(c.documents(docs, F.col("source")), weights, epochs, seed)
 
 
 def _mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
@@ -74,15 +74,18 @@ def _mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOC
 
 
 def mixed_texts(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document's row as often as it is taken; a part of a document is its first words.  Columns of docs."""
-    names = docs.columns
-    kept = c.documents(docs, *[n for n in names if n not in ("doc_id", "text")])  # once: the keys of two calls need not agree
-    taken = _mix(kept, **options).filter("taken > 0").select(F.col("doc_key").alias("key_taken"), "size", "taken")
-    rows = kept.join(taken, kept["doc_key"] == taken["key_taken"])
+    """The mix itself: each document's row as often as it is taken; a part of a document is its first words.  Columns of docs.
+
+    A null text takes nothing and so has no row; columns may have any names; rows with a repeated or null doc_id are documents of their own;
+    a text that is taken whole stays as it is, however long; n_chars, if there, is new; an empty table stays empty.
+    """
+    kept = c.documents(docs, F.col("source"), c.whole_row(docs))  # once: the keys of two calls need not agree
+    taken = _mix(kept.select("doc_key", "doc_id", "text", "source"), **options).filter("taken > 0").select(F.col("doc_key").alias("key_taken"), "size", "taken")
+    rows = kept.select("doc_key", "text", "whole_row").join(taken, kept["doc_key"] == taken["key_taken"])
     rows = rows.withColumn("part", F.explode(F.transform(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int")), lambda i: F.least(F.col("size"), F.col("taken") - (i - 1) * F.col("size")))))
     first_words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("part").cast("int")), " ")
-    rows = rows.withColumn("text", F.when(F.col("part") < F.col("size"), first_words).otherwise(F.col("text")))
-    return (rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else rows).select(*names)
+    text = F.when(F.col("part") < F.col("size"), first_words).otherwise(F.col("text"))
+    return c.unpacked(rows.select("whole_row", text.alias("text")), docs.columns, text=F.col("text"), n_chars=F.length("text").cast("long"))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from docloom.llm import fingerprints, language_model, mixing, packing, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, token_store, toxicity
 
 QUERIES = {
@@ -16,6 +15,5 @@ QUERIES = {
     "op8_toxicity": toxicity.op8,
     "op9_fingerprints": fingerprints.op9,
     "op10_pattern_packing": packing.op10,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {"op5_source_mixing": mixing.ORACLE}

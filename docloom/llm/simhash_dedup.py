@@ -33,6 +33,8 @@ from docloom.llm.components import components
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
+#: Fingerprints, of each block, that a task of the self-join has on average.
+ROWS = 1 << 18
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -163,7 +165,7 @@ def near_groups(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
         for lo, hi in [c_block(k, radius)]
     ]
     dealt = nodes.select("fingerprint", "node", F.explode(F.array(*blocks)).alias("x")).select("fingerprint", "node", "x.block", "x.value")
-    n = c.buckets(marked)
+    n = max(int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-marked.count() // ROWS))
     links = dealt.repartition(n, "block", "value").select("block", "fingerprint", "node").mapInArrow(_join_links(radius), "a long, b long")
     found = components(links)
     named = nodes.join(found, nodes["node"] == found["node"], "left").select(F.col("fingerprint").alias("f"), F.coalesce("component", nodes["node"]).alias("component"))
@@ -183,12 +185,15 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs that stand for their group (smallest doc_key), with their columns."""
-    names = docs.columns
-    rows = c.documents(docs, *[n for n in names if n not in ("doc_id", "text")])
+    """The rows of docs that stand for their group (smallest doc_key), with their columns.
+
+    Null and blank texts are one group with fingerprint 0; columns may have any names; rows with a repeated or null doc_id are documents of
+    their own; an empty table stays empty.
+    """
+    rows = c.documents(docs, c.whole_row(docs))
     found = near_groups(c.checkpointed(fingerprints(rows, shingle)), radius)
     firsts = found.filter("doc_key = component").select("doc_key")
-    return rows.join(firsts, "doc_key", "left_semi").select(*names)
+    return c.unpacked(rows.join(firsts, "doc_key", "left_semi"), docs.columns)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
