@@ -5,12 +5,9 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import mixing, packing, quality_rules, simhash_dedup, suffix_dedup
-from docloom.llm.token_store import store_folder
+from docloom.llm import common, mixing, packing, quality_rules, simhash_dedup, suffix_dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +44,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    top = store_folder(spark, f"pipeline-{uuid.uuid4().hex[:8]}")
+    top = common.new_folder(spark, "pipeline")
     for i, (name, stage) in enumerate(STAGES):
         out = f"{top}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
