@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Bytes of text that one bucket of a packed exchange stands for.
@@ -82,10 +83,10 @@ def volume(rows: DataFrame) -> int:
     return rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def buckets(rows: DataFrame) -> int:
+def buckets(rows: DataFrame, size: int | None = None) -> int:
     """Buckets of a packed exchange of rows(text): the session's shuffle partitions, more for more text."""
     least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-volume(rows) // BUCKET_BYTES))
+    return max(least, -(-volume(rows) // (size or BUCKET_BYTES)))
 
 
 def _one_by_one(work):
@@ -274,17 +275,26 @@ def grams(words: np.ndarray, n: int, seed: int) -> np.ndarray:
     return mix(out)
 
 
+_PACKER, _UNPACKER = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def small(values: np.ndarray) -> bytes:
-    """Unsigned numbers in as few bytes each as the largest needs, byte by byte (zeros compress away)."""
+    """Unsigned numbers in as few bytes each as the largest needs, byte by byte, compressed if that pays."""
     values = np.ascontiguousarray(values, dtype="<u8")
     width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
-    return bytes([width]) + values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    planes = values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    if len(planes) > 64:
+        packed = _PACKER.compress(planes)
+        if len(packed) < len(planes):
+            return bytes([width | 0x80]) + packed
+    return bytes([width]) + planes
 
 
 def large(blob: bytes) -> np.ndarray:
     """What small() was given."""
-    width = blob[0]
-    planes = np.frombuffer(blob, np.uint8, offset=1).reshape(width, -1)
+    width = blob[0] & 0x7F
+    planes = np.frombuffer(_UNPACKER.decompress(blob[1:]), np.uint8) if blob[0] & 0x80 else np.frombuffer(blob, np.uint8, offset=1)
+    planes = planes.reshape(width, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
     out[:, :width] = planes.T
     return out.reshape(-1).view("<u8") if len(out) else np.zeros(0, np.uint64)
