@@ -38,7 +38,7 @@ MOST_TASKS = 1 << 15
 #: Bytes of text that a batch function looks at together.
 PIECE_BYTES = 4 << 20
 #: Facts that a map task gathers before it sends them.
-FLUSH = 3_000_000
+FLUSH = 1_000_000
 
 _rng = np.random.default_rng(20240229)
 BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
