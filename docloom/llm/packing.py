@@ -71,7 +71,7 @@ _PIECE = "doc_key long, doc_id long, piece int, start long, length long, ids_crc
 def cut_pieces(docs: DataFrame, vocabulary: str, end: int = END, size: int = SIZE) -> DataFrame:
     """(doc_key, doc_id, piece, start, length, ids_crc32); doc_key numbers the rows."""
     rows = docs.select(F.monotonically_increasing_id().alias("doc_key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(_cut(vocabulary, end, size), _PIECE)
+    return rows.mapInArrow(c.lean(_cut(vocabulary, end, size)), _PIECE)
 
 
 def patterns(have: np.ndarray, size: int, pieces: int) -> list[tuple[int, ...]]:
@@ -230,7 +230,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end: int = END, size: i
         have[row["length"]] = row["n"]
     before = counts.select("length", "slice", (F.sum("count").over(Window.partitionBy("length").orderBy("slice")) - F.col("count")).alias("before"))
     ranked = cut.join(before, ["length", "slice"]).withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("length", "slice").orderBy("doc_id", "doc_key", "piece")) - 1)
-    return ranked.mapInArrow(_place(slots(plan(have, size))), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(c.lean(_place(slots(plan(have, size)))), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,12 +160,12 @@ def judge(docs: DataFrame) -> DataFrame:
     """(doc_id, measures, base_failed, kept) for every row of docs(doc_id, text)."""
     names = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(_apply(cascade(docs), False, []), f"doc_id long, {names}, base_failed boolean, kept boolean")
+    return rows.mapInArrow(c.lean(_apply(cascade(docs), False, [])), f"doc_id long, {names}, base_failed boolean, kept boolean")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that no rule rejects, with their columns."""
-    return docs.mapInArrow(_apply(cascade(docs), True, docs.columns), docs.schema)
+    return docs.mapInArrow(c.lean(_apply(cascade(docs), True, docs.columns)), docs.schema)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,7 +153,7 @@ def _turn(keys: np.ndarray, by: int) -> np.ndarray:
 
 def fingerprints(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_key, fingerprint long) of identified rows."""
-    return rows.select("doc_key", "text").mapInArrow(_fingerprint_rows(shingle), "doc_key long, fingerprint long")
+    return rows.select("doc_key", "text").mapInArrow(c.lean(_fingerprint_rows(shingle)), "doc_key long, fingerprint long")
 
 
 def near_groups(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -166,7 +166,7 @@ def near_groups(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
     ]
     dealt = nodes.select("fingerprint", "node", F.explode(F.array(*blocks)).alias("x")).select("fingerprint", "node", "x.block", "x.value")
     n = max(int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-marked.count() // ROWS))
-    links = dealt.repartition(n, "block", "value").select("block", "fingerprint", "node").mapInArrow(_join_links(radius), "a long, b long")
+    links = dealt.repartition(n, "block", "value").select("block", "fingerprint", "node").mapInArrow(c.lean(_join_links(radius)), "a long, b long")
     found = components(links)
     named = nodes.join(found, nodes["node"] == found["node"], "left").select(F.col("fingerprint").alias("f"), F.coalesce("component", nodes["node"]).alias("component"))
     return marked.join(named, marked["fingerprint"] == named["f"]).select("doc_key", "fingerprint", "component")

@@ -170,12 +170,12 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = c.documents(docs)
     n = c.buckets(rows)
     slots = c.even_keys(n)
-    facts = rows.mapInArrow(_probes(window, n, slots), c.FACTS)
+    facts = rows.mapInArrow(c.lean(_probes(window, n, slots)), c.FACTS)
     hits = c.by_document(c.in_buckets(facts, n, _hits(window, n, slots), c.FACTS), n)
     texts = rows.select("doc_key", "doc_id", "text")
-    facts = texts.join(hits, "doc_key", "left").filter("places is not null").mapInArrow(_windows(window, n, slots), c.FACTS)
+    facts = texts.join(hits, "doc_key", "left").filter("places is not null").mapInArrow(c.lean(_windows(window, n, slots)), c.FACTS)
     repeats = c.by_document(c.in_buckets(facts, n, _repeats(n, slots), c.FACTS), n)
-    return texts.join(repeats, "doc_key", "left").mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_text string")
+    return texts.join(repeats, "doc_key", "left").mapInArrow(c.lean(_remove(window)), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

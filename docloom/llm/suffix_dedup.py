@@ -388,16 +388,16 @@ def _found(rows: DataFrame, span: int) -> DataFrame:
     rows = rows.select("doc_key", "doc_id", "text")
     n = c.buckets(rows)
     slots = c.even_keys(n)
-    phrases = rows.mapInArrow(_parse(span, n, slots), c.FACTS)
+    phrases = rows.mapInArrow(c.lean(_parse(span, n, slots)), c.FACTS)
     entries = c.by_document(c.in_buckets(phrases, n, _dictionary(n, slots), c.FACTS), n, 2)
-    names = rows.join(entries, "doc_key", "left").filter("places is not null").mapInArrow(_names(span, n, slots), c.FACTS)
+    names = rows.join(entries, "doc_key", "left").filter("places is not null").mapInArrow(c.lean(_names(span, n, slots)), c.FACTS)
     return c.by_document(c.in_buckets(names, n, _ranked(n, slots), c.FACTS), n, 1)
 
 
 def dedup_suffixes(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) for every row of docs(doc_id, text)."""
     rows = c.documents(docs).select("doc_key", "doc_id", "text")
-    return rows.join(_found(rows, span), "doc_key", "left").mapInArrow(_remove(span, False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return rows.join(_found(rows, span), "doc_key", "left").mapInArrow(c.lean(_remove(span, False)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def clean_texts(docs: DataFrame, span: int = SPAN) -> DataFrame:
@@ -408,7 +408,7 @@ def clean_texts(docs: DataFrame, span: int = SPAN) -> DataFrame:
     rows = c.documents(docs, c.whole_row(docs))
     kept = rows.select("doc_key", "text", "whole_row").join(_found(rows, span), "doc_key", "left").select("whole_row", "text", "places", "more")
     schema = T.StructType([T.StructField("whole_row", rows.schema["whole_row"].dataType), T.StructField("clean", T.StringType())])
-    return c.unpacked(kept.mapInArrow(_remove(span, True), schema), docs.columns, text=F.col("clean"), n_chars=F.length("clean").cast("long"))
+    return c.unpacked(kept.mapInArrow(c.lean(_remove(span, True)), schema), docs.columns, text=F.col("clean"), n_chars=F.length("clean").cast("long"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,7 +161,7 @@ def write_store(docs: DataFrame, folder: str, vocabulary: str | None = None, end
     """Write docs(doc_id, text) as a store; returns (doc_key, doc_id), or None where doc_key is the doc_id."""
     rows, numbered = c.identified(docs)
     ordered = rows.select("doc_key", "text").repartitionByRange(c.buckets(rows), "doc_key").sortWithinPartitions("doc_key")
-    ordered.mapInArrow(_encode(vocabulary or default_vocabulary(), end, shard_ids), _SHARD).write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(folder)
+    ordered.mapInArrow(c.lean(_encode(vocabulary or default_vocabulary(), end, shard_ids)), _SHARD).write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(folder)
     return rows.select("doc_key", "doc_id") if numbered else None
 
 
@@ -186,7 +186,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_store(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_key, start, n_tokens, ids_crc32) of all documents, each found through its shard's index.  Payloads stay where they are read."""
-    found = spark.read.parquet(folder).select("shard", "id_bytes", "payload", "keys", "index").mapInArrow(_read, "of long, doc_key long, at long, n_tokens long, ids_crc32 long")
+    found = spark.read.parquet(folder).select("shard", "id_bytes", "payload", "keys", "index").mapInArrow(c.lean(_read), "of long, doc_key long, at long, n_tokens long, ids_crc32 long")
     starts = shard_starts(spark, folder)
     return found.join(starts, found["of"] == starts["shard"]).select("doc_key", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
@@ -220,10 +220,10 @@ def lookup(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
     both = ranges.unionByName(keys.select(F.col("doc_key").cast("long").alias("doc_key")).filter("doc_key is not null").distinct(), allowMissingColumns=True).withColumn("span", c.last_not_above(begin, F.col("doc_key")))
     last = F.last("shard", True).over(Window.partitionBy("span").orderBy("doc_key", F.col("shard").isNull()))
     routed = both.withColumn("of", last).filter("shard is null and of is not null").groupBy("of").agg(F.collect_list("doc_key").alias("wanted"))
-    placed = shards.select("shard", "index").join(routed, F.col("shard") == F.col("of")).select("shard", "index", "wanted").mapInArrow(_places, "shard long, doc_key long, at long, size long")
+    placed = shards.select("shard", "index").join(routed, F.col("shard") == F.col("of")).select("shard", "index", "wanted").mapInArrow(c.lean(_places), "shard long, doc_key long, at long, size long")
     cut = F.expr("substring(payload, int(at * id_bytes + 1), int(size * id_bytes))")
     ids = shards.select("shard", "id_bytes", "payload").join(placed, "shard").select("doc_key", "id_bytes", cut.alias("ids"))
-    return ids.mapInArrow(_unpack, "doc_key long, ids array<int>")
+    return ids.mapInArrow(c.lean(_unpack), "doc_key long, ids array<int>")
 
 
 def fetch(spark: SparkSession, folder: str, key: int) -> np.ndarray | None:

@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from docloom.llm import common as c
+
 BUCKETS = 1 << 17
 DIM = 8
 #: Passes over the sample: the least, the most, and steps that a small sample's passes should add up to.
@@ -145,7 +147,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     values, bias = fit(rows, labels, sample)
     model = docs.sparkSession.sparkContext.broadcast(values.astype(np.float32))
     marked = rows.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text")
-    return marked.mapInArrow(_score(model, bias), "doc_id long, held_out boolean, score double, predicted int")
+    return marked.mapInArrow(c.lean(_score(model, bias)), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
