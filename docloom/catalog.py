@@ -6,7 +6,6 @@ document decides what it becomes, in Spark and in SQL alike.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -79,10 +78,10 @@ def token_estimate(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", t.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-@query(r"""SELECT * FROM (VALUES (1, 8), (2, 3), (3, 0), (4, 2)) v(k, tokens)""")
+@query(r"""WITH d AS (SELECT doc_id, '第' || doc_id || '条 本合同 naïve 𠀀豈㐀 a-b''c ' || text AS x FROM documents) SELECT doc_id, CAST(len(regexp_extract_all(x, '[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{f900}-\x{faff}\x{20000}-\x{2a6df}]')) + len(regexp_extract_all(x, '[a-zA-Z0-9]+(?:[-''][a-zA-Z0-9]+)*')) * 13 // 10 AS BIGINT) AS tokens FROM d""")
 def token_estimate_cjk(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "第一条 本合同 policy 2025"), (2, "a-b 中𠀀"), (3, " ——"), (4, "naïve")], "k int, x string")
-    return rows.select("k", t.estimate_tokens(F.col("x")).cast("int").alias("tokens"))
+    x = F.concat(F.lit("第"), F.col("doc_id").cast("string"), F.lit("条 本合同 naïve 𠀀豈㐀 a-b'c "), F.col("text"))
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", t.estimate_tokens(x).alias("tokens"))
 
 
 @query(f"""WITH {_PARTS} SELECT document_id, CAST(i AS INTEGER) AS reading_order, block_type, heading, left(sha256('block:' || document_id || ':1:' || i || ':' || block_type), 32) AS block_id FROM blocks""")
@@ -95,10 +94,17 @@ def section_table(spark: SparkSession, sf: str) -> DataFrame:
     return sections.section_table(sections.heading_paths(text_blocks(_decorated(spark, sf, _book_line)))).select("document_id", "section_id", "title", "level", "n_blocks")
 
 
-@query("""SELECT * FROM (VALUES (0, '1 X', 1, '1 X'), (1, '1.1 Y', 2, '1 X > 1.1 Y'), (2, '1.1.1 Z', 3, '1 X > 1.1 Y > 1.1.1 Z'), (3, 'some text.', NULL, '1 X > 1.1 Y > 1.1.1 Z'), (4, '2 W', 1, '2 W'), (5, '2025 年 8 月', NULL, '2 W')) v(reading_order, text, heading_level, heading)""")
+def _numbered_line(x: Column, i: Column) -> Column:
+    k = F.floor(i / 6 + 1).cast("string")
+    return F.when(i % 6 == 0, F.concat(k, F.lit(" Part"))).when(i % 6 == 2, F.concat(k, F.lit(".1 Sub"))).when(i % 6 == 3, F.concat(k, F.lit(".1.1 Deep"))).when(i % 6 == 5, F.concat(F.lit("2025 年 8 月 "), k)).otherwise(F.concat(x, F.lit(".")))
+
+
+@query("""WITH l AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, unnest(range(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')))) AS i FROM documents), k AS (SELECT *, i // 6 + 1 AS k FROM l)
+SELECT document_id, CAST(i AS INTEGER) AS reading_order, CAST(CASE i % 6 WHEN 0 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 END AS INTEGER) AS heading_level, CASE WHEN i % 6 IN (0, 2, 3) THEN 'structured_heading_pattern' END AS heading_reason,
+  k || ' Part' || CASE WHEN i % 6 >= 2 THEN ' > ' || k || '.1 Sub' ELSE '' END || CASE WHEN i % 6 >= 3 THEN ' > ' || k || '.1.1 Deep' ELSE '' END AS heading FROM k""")
 def heading_levels(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([("d", 1, i, "paragraph", x, []) for i, x in enumerate(["1 X", "1.1 Y", "1.1.1 Z", "some text.", "2 W", "2025 年 8 月"])], "document_id string, page_number int, reading_order int, block_type string, text string, heading_path array<string>")
-    return sections.heading_paths(rows).select("reading_order", "text", "heading_level", t.heading_joined(F.col("heading_path")).alias("heading"))
+    found = sections.heading_paths(text_blocks(_decorated(spark, sf, _numbered_line)))
+    return found.select("document_id", "reading_order", "heading_level", "heading_reason", t.heading_joined(F.col("heading_path")).alias("heading"))
 
 
 _RULES = "\n".join(
@@ -143,7 +149,10 @@ def noise_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return marked.groupBy("document_id", F.coalesce("noise_reason", F.lit("content")).alias("noise_reason")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH p AS (SELECT CAST(conv_id AS VARCHAR) AS document_id, count(*) AS pages FROM conversations GROUP BY 1) SELECT document_id, 'header' AS zone, 'Weekly report #' AS norm FROM p WHERE pages >= 3 UNION ALL SELECT document_id, 'footer', '- # -' FROM p WHERE pages >= 3""")
+@query("""WITH p AS (SELECT CAST(conv_id AS VARCHAR) AS document_id, coalesce(text, '') AS x FROM conversations),
+l AS (SELECT document_id, ['Weekly report #', 'first ' || md5(x), 'second ' || md5(x || 'a')] AS header, ['second ' || md5(x || 'a'), 'third ' || md5(x || 'b'), '- # -'] AS footer FROM p),
+z AS (SELECT document_id, 'header' AS zone, unnest(header) AS line FROM l UNION ALL SELECT document_id, 'footer', unnest(footer) FROM l), n AS (SELECT document_id, count(*) AS pages FROM l GROUP BY 1)
+SELECT document_id, zone, regexp_replace(line, '[0-9]+', '#', 'g') AS norm FROM z JOIN n USING (document_id) WHERE pages >= 3 GROUP BY ALL HAVING count(*) >= max(pages) // 2""")
 def header_footer(spark: SparkSession, sf: str) -> DataFrame:
     page = F.concat(F.lit("Weekly  report "), F.col("page_number").cast("string"), F.lit("\nfirst "), F.md5("text"), F.lit("\nsecond "), F.md5(F.concat("text", F.lit("a"))), F.lit("\nthird "), F.md5(F.concat("text", F.lit("b"))), F.lit("\n- "), F.col("page_number").cast("string"), F.lit(" -"))
     pages = _pages(spark, sf).withColumn("text", F.coalesce("text", F.lit("")))
@@ -177,10 +186,9 @@ def table_row_text(spark: SparkSession, sf: str) -> DataFrame:
     return table.sheet_blocks(rows, "supplier", "at", ["s_suppkey", "s_name", "s_nationkey"]).select("document_id", "reading_order", "text")
 
 
-@query("""SELECT * FROM (VALUES (1, 'A|column_2|A_3'), (2, 'column_1|x|y')) v(k, headers)""")
+@query("""SELECT p_partkey, coalesce(nullif(trim(p_brand), ''), 'column_1') || '|column_2|' || trim(p_brand) || '_3|' || trim(p_type) AS headers FROM part""")
 def table_headers(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, ["A", "", "A"]), (2, [" ", "x", "y"])], "k int, cells array<string>")
-    return rows.select("k", F.array_join(table.headers(F.col("cells")), "|").alias("headers"))
+    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.array_join(table.headers(F.array("p_brand", F.lit(" "), F.concat(F.lit(" "), "p_brand"), "p_type")), "|").alias("headers"))
 
 
 _PACKED = f"""WITH RECURSIVE {_PARTS},
@@ -240,16 +248,99 @@ def paragraph_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return legacy.paragraph_chunks(text_blocks(_decorated(spark, sf, _book_line)))
 
 
-@query("""SELECT * FROM (VALUES (1, '| K |' || chr(10) || '| --- |' || chr(10) || '|  |'), (2, '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 & 2 |  |'), (3, 'no rows')) v(k, md)""")
-def html_table_md(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "<table><tr><th>K</th></tr></table>"), (2, "<table><tr><td>a</td><td> b </td></tr><tr></tr><tr><td>1 &amp; <b>2</b></td></tr></table>"), (3, "<p>no rows</p>")], "k int, html string")
-    return rows.select("k", t.html_table_markdown(F.col("html")).alias("md"))
+_DOMAIN_HITS = ", ".join(f"CASE WHEN {' OR '.join(f'contains(low, {chr(39)}{w.replace(chr(39), chr(39) * 2)}{chr(39)})' for w in words)} THEN '{name}' END" for name, words in t.DOMAIN_WORDS.items())
 
 
-@query("""SELECT * FROM (VALUES (1, 'Engine'), (2, 'Troubleshooting'), (3, NULL), (4, '理赔')) v(k, hint)""")
+@query(f"""WITH d AS (SELECT doc_id, lower(text || CASE doc_id % 5 WHEN 0 THEN ' Check the COOLANT' WHEN 1 THEN ' generator fault' WHEN 2 THEN ' 给付' WHEN 3 THEN ' rectifier, engine' ELSE '' END) AS low FROM documents), h AS (SELECT doc_id, list_filter([{_DOMAIN_HITS}], lambda x: x IS NOT NULL) AS hits FROM d)
+SELECT doc_id, CASE WHEN len(hits) > 1 AND list_contains(hits, 'Troubleshooting') THEN 'Troubleshooting' ELSE hits[1] END AS hint FROM h""")
 def domain_hint(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "Check the COOLANT level"), (2, "generator fault"), (3, "nothing"), (4, "给付")], "k int, x string")
-    return rows.select("k", t.domain_hint(F.col("x")).alias("hint"))
+    more = F.create_map(*[F.lit(x) for pair in {0: " Check the COOLANT", 1: " generator fault", 2: " 给付", 3: " rectifier, engine", 4: ""}.items() for x in pair])
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("x", F.concat("text", more[(F.col("doc_id") % 5).cast("int")]))
+    return docs.select("doc_id", t.domain_hint(F.col("x")).alias("hint"))
+
+
+@query("""SELECT s_suppkey, '| Name | Key &' || chr(10) AS a, '| Name | Key & co |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || trim(s_name) || ' é | ' || s_suppkey || '\\| x |' || chr(10) || '| only |  |' AS md FROM supplier""".replace("'| Name | Key &' || chr(10) AS a, ", ""))
+def html_table_md(spark: SparkSession, sf: str) -> DataFrame:
+    html = F.concat(F.lit("<p>x</p><TABLE><tr><th>Name</th><th> Key &amp;\n co</th></tr><tr></tr><tr><td>"), "s_name", F.lit(" &eacute;</td><td><b>"), F.col("s_suppkey").cast("string"), F.lit("</b>| x</td></tr><tr><td>only</td></tr></TABLE>"))
+    return spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", t.html_table_markdown(html).alias("md"))
+
+
+_LATIN_OF = "CAST(len(regexp_extract_all({0}, '[a-zA-Z0-9]+(?:[-''][a-zA-Z0-9]+)*')) AS BIGINT)"
+
+
+def _lines_sql(rule: str) -> str:
+    """Lines of the documents, each made what the rule says of its text x and its number i, with the type that plain text gives it."""
+    return rf"""raw AS (
+  SELECT CAST(doc_id AS VARCHAR) AS document_id, unnest(list_filter(string_split(text, chr(10)), lambda y: trim(y) <> '')) AS y, generate_subscripts(list_filter(string_split(text, chr(10)), lambda y: trim(y) <> ''), 1) - 1 AS i FROM documents),
+lines AS (SELECT document_id, i, {rule} AS text FROM (SELECT document_id, i, trim(y) AS x FROM raw)),
+typed AS (SELECT *, lower(text) AS low, CASE WHEN length(text) <= 80 AND (lower(text) IN ('abstract', 'references', 'contents', 'faq') OR regexp_matches(lower(text), '^(chapter |section |part |appendix )')) THEN 'heading'
+  WHEN regexp_matches(text, '^\s*([-*+]\s+|\d+[.)]\s+|[①-⑩])') THEN 'list_item' ELSE 'paragraph' END AS block_type FROM lines)"""
+
+
+def _packed_sql(source: str, opens: str, title: str, breaks: str, free: str, solo: str, kind: str, article: str, body: str, budget: int, carry: bool = False, follow: str = "NULL", default: str = "Document") -> str:
+    """Children by template: a recursive packing of ``typed(document_id, i, text, low, block_type)`` in each parent."""
+    words = _LATIN_OF.format("text")
+    label = "last_value(article IGNORE NULLS) OVER (PARTITION BY document_id, parent ORDER BY child_no ROWS UNBOUNDED PRECEDING)" if carry else "article"
+    return f"""WITH RECURSIVE {source},
+opened AS (SELECT *, {words} AS latin, coalesce(last_value(CASE WHEN {opens} THEN {title} END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY i ROWS UNBOUNDED PRECEDING), {follow}, '{default}') AS parent FROM typed),
+unit AS (SELECT *, CAST({breaks} AS BOOLEAN) AS brk, CAST({free} AS BOOLEAN) AS free, CAST({solo} AS BOOLEAN) AS solo, {kind} AS kind, {article} AS article, CAST({body} AS BOOLEAN) AS has_body, row_number() OVER (PARTITION BY document_id, parent ORDER BY i) AS rn FROM opened),
+fold AS (
+  SELECT document_id, parent, rn, 0 AS child_no, CASE WHEN solo THEN 1 ELSE 0 END AS next_no, latin AS total, NOT solo AS open FROM unit WHERE rn = 1
+  UNION ALL
+  SELECT u.document_id, u.parent, u.rn, CASE WHEN f.open AND (u.solo OR u.brk OR ((f.total + u.latin) * 13 // 10 > {budget} AND NOT u.free)) THEN f.next_no + 1 ELSE f.next_no END,
+    CASE WHEN f.open AND (u.solo OR u.brk OR ((f.total + u.latin) * 13 // 10 > {budget} AND NOT u.free)) THEN f.next_no + 1 ELSE f.next_no END + CASE WHEN u.solo THEN 1 ELSE 0 END,
+    CASE WHEN NOT f.open OR u.solo OR u.brk OR ((f.total + u.latin) * 13 // 10 > {budget} AND NOT u.free) THEN u.latin ELSE f.total + u.latin END, NOT u.solo
+  FROM fold f JOIN unit u ON u.document_id = f.document_id AND u.parent = f.parent AND u.rn = f.rn + 1),
+members AS (SELECT u.*, f.child_no FROM unit u JOIN fold f USING (document_id, parent, rn)),
+grouped AS (
+  SELECT document_id, parent, child_no, string_agg(text, chr(10) || chr(10) ORDER BY rn) AS joined, count(*) AS n_blocks, arg_min(kind, rn) AS kind, arg_max(article, rn) FILTER (article IS NOT NULL) AS article, bool_or(has_body) AS has_body FROM members GROUP BY ALL),
+labelled AS (SELECT *, {label} AS label, max(child_no) OVER (PARTITION BY document_id, parent) AS last_no FROM grouped),
+kept AS (SELECT *, CAST(row_number() OVER (PARTITION BY document_id, parent ORDER BY child_no) - 1 AS INTEGER) AS child_index, CASE WHEN label IS NOT NULL AND label <> parent THEN parent || ' > ' || label ELSE parent END AS heading, CASE WHEN label IS NOT NULL AND label <> parent THEN label ELSE parent END AS deepest, CASE WHEN label IS NOT NULL AND label <> parent THEN parent ELSE '' END AS above FROM labelled WHERE has_body),
+texts AS (SELECT *, CASE WHEN starts_with(joined, deepest) THEN CASE WHEN above <> '' THEN above || chr(10) || chr(10) || trim(joined) ELSE trim(joined) END WHEN starts_with(joined, heading) THEN trim(joined) ELSE heading || chr(10) || chr(10) || trim(joined) END AS text FROM kept)
+SELECT document_id, child_index, {{type}} AS chunk_type, heading, CAST(n_blocks AS INTEGER) AS n_blocks, CAST({_LATIN_OF.format("text")} * 13 // 10 AS BIGINT) AS token_count, label AS article, text FROM texts"""
+
+
+_LAW_RULE = "CASE WHEN i % 6 = 0 THEN 'Chapter ' || (i // 6 + 1) WHEN i % 6 = 1 THEN 'Article ' || i WHEN i % 6 = 3 THEN '(a) ' || x ELSE x END"
+_BOOK_RULE = "CASE WHEN i % 5 = 0 THEN 'Chapter ' || (i // 5 + 1) WHEN i % 5 = 3 THEN '- ' || x ELSE x END"
+_MANUAL_RULE = "CASE WHEN i % 6 = 0 THEN 'Section ' || (i // 6 + 1) WHEN i % 6 = 2 THEN 'Step ' || i || ' ' || x WHEN i % 6 = 4 THEN 'WARNING ' || x ELSE x END"
+_PAPER_RULE = "CASE WHEN i = 0 THEN 'Abstract' WHEN i = 2 THEN '1 Introduction' WHEN i % 6 = 5 THEN 'References' ELSE x END"
+_ARTICLE_SQL = "regexp_matches(low, '^\\s*article\\s+\\d+')"
+_CLAUSE_SQL = "(block_type = 'list_item' OR regexp_matches(text, '^\\s*([（(][一二三四五六七八九十百千万零〇两0-9a-zA-Z]+[）)]|[①-⑩]|\\d+[.)、])'))"
+_STEP_SQL = "(block_type = 'list_item' OR regexp_matches(low, '^\\s*(step\\s+\\d+|\\d+[.)]\\s+)'))"
+_CALL_SQL = "regexp_matches(low, '^\\s*(warning|caution|note|danger|important)([^0-9a-z_à-ɏ]|$)')"
+_CONTRACT_SQL = _packed_sql(_lines_sql(_LAW_RULE), f"block_type = 'heading' AND length(text) <= 30 AND NOT {_ARTICLE_SQL}", "text", _ARTICLE_SQL, _CLAUSE_SQL, "false", "'contract_clause'", f"CASE WHEN {_ARTICLE_SQL} THEN text END", "block_type <> 'heading'", 0, carry=True)
+_SECTION_SQL = "(block_type = 'heading' OR regexp_matches(low, '^\\s*(\\d+(\\.\\d+)*\\s+)?(abstract|introduction|background|methods?|methodology|results?|discussion|conclusion|references|appendix)([^0-9a-z_à-ɏ]|$)'))"
+
+
+def _budget(sql: str, old: int, new: int) -> str:
+    return sql.replace(f"* 13 // 10 > {old} AND", f"* 13 // 10 > {new} AND")
+
+
+_TEMPLATE_SQL = {
+    "contract_chunks": _budget(_CONTRACT_SQL, 0, 120).replace("{type}", "kind"),
+    "laws_chunks": _packed_sql(_lines_sql(_LAW_RULE), "regexp_matches(low, '^\\s*(chapter\\s+\\d+|section\\s+\\d+)')", "text", _ARTICLE_SQL, _CLAUSE_SQL, "false", "'legal_article'", f"CASE WHEN {_ARTICLE_SQL} THEN text END", "true", 120).replace("{type}", "kind"),
+    "book_chunks": _packed_sql(_lines_sql(_BOOK_RULE), "(regexp_matches(low, '^\\s*(chapter\\s+\\d+|book\\s+\\d+|part\\s+\\d+)') OR (block_type = 'heading' AND regexp_matches(low, '^(preface|appendix|chapter|part )')))", "text", "block_type = 'heading'", "false", "false", "'book_section'", "CAST(NULL AS VARCHAR)", "true", 120).replace("{type}", "kind"),
+    "paper_chunks": _packed_sql(_lines_sql(_PAPER_RULE), _SECTION_SQL, "text", "false", "(contains(lower(parent), 'abstract') OR contains(lower(parent), 'references'))", "false", "'paper_text'", "CAST(NULL AS VARCHAR)", "true", 120).replace(
+        "{type}", "CASE WHEN child_no = last_no AND contains(lower(parent), 'abstract') THEN 'paper_abstract' WHEN child_no = last_no AND contains(lower(parent), 'references') THEN 'paper_references' ELSE kind END"
+    ),
+    "manual_chunks": _packed_sql(
+        _lines_sql(_MANUAL_RULE), "block_type = 'heading'", "text", f"coalesce(({_STEP_SQL} AND NOT {_CALL_SQL} OR {_STEP_SQL}) <> lag({_STEP_SQL}) OVER (PARTITION BY document_id ORDER BY i), false)", f"{_STEP_SQL} AND NOT {_CALL_SQL}", _CALL_SQL, f"CASE WHEN {_CALL_SQL} THEN 'manual_callout' WHEN {_STEP_SQL} THEN 'manual_procedure' ELSE 'manual_text' END", "CAST(NULL AS VARCHAR)", "true", 120,
+    ).replace("{type}", "kind"),
+    "qa_chunks": _packed_sql(
+        "typed AS (SELECT CAST(conv_id AS VARCHAR) AS document_id, turn AS i, CASE WHEN role = 'user' THEN 'Q: ' ELSE 'A: ' END || text AS text, lower(CASE WHEN role = 'user' THEN 'Q: ' ELSE 'A: ' END || text) AS low, 'paragraph' AS block_type FROM conversations WHERE text IS NOT NULL)",
+        "false", "text", "regexp_matches(low, '^\\s*q(uestion)?\\s*[:：]')", "true", "false", "'qa_pair'", "CAST(NULL AS VARCHAR)", "true", 120, default="QA",
+    ).replace("{type}", "kind"),
+    "picture_chunks": _packed_sql(
+        "typed AS (SELECT CAST(conv_id AS VARCHAR) AS document_id, turn AS i, CASE WHEN role = 'user' THEN 'Q: ' ELSE 'A: ' END || text AS text, '' AS low, 'paragraph' AS block_type FROM conversations WHERE text IS NOT NULL)",
+        "true", "'Page ' || (i + 1)", "false", "false", "false", "'ocr_text'", "CAST(NULL AS VARCHAR)", "true", 120,
+    ).replace("{type}", "kind"),
+    "table_row_groups": _packed_sql(
+        "typed AS (SELECT 'supplier' AS document_id, s_suppkey - 1 AS i, 'Sheet: supplier' || chr(10) || 'Row: ' || (s_suppkey + 1) || chr(10) || 's_suppkey: ' || s_suppkey || chr(10) || 's_name: ' || trim(s_name) || chr(10) || 's_nationkey: ' || s_nationkey AS text, '' AS low, 'table' AS block_type FROM supplier)",
+        "true", "'supplier'", "false", "false", "false", "'table_row_group'", "CAST(NULL AS VARCHAR)", "true", 120,
+    ).replace("{type}", "kind"),
+}
+_ARTICLE_PARTS_SQL = f"""WITH c AS ({_budget(_CONTRACT_SQL, 0, 60).replace("{type}", "kind").replace("SELECT document_id, child_index,", "SELECT document_id, left(sha256('parent:' || document_id || ':' || left(sha256('template-section:' || document_id || ':' || parent), 32)), 32) AS parent_id, child_index,")}), n AS (SELECT *, count(*) OVER (PARTITION BY document_id, parent_id, article) AS many FROM c)
+SELECT document_id, parent_id, child_index, article, CASE WHEN article IS NOT NULL AND many > 1 THEN CAST(row_number() OVER (PARTITION BY document_id, parent_id, article ORDER BY child_index) AS INTEGER) END AS part_index, CASE WHEN article IS NOT NULL AND many > 1 THEN CAST(many AS INTEGER) END AS part_count FROM n"""
 
 
 def _template_query(name: str, blocks: Callable[[SparkSession, str], DataFrame], template: str) -> None:
@@ -258,7 +349,7 @@ def _template_query(name: str, blocks: Callable[[SparkSession, str], DataFrame],
         return children.select("document_id", "child_index", "chunk_type", t.heading_joined(F.col("heading_path")).alias("heading"), F.size("source_block_ids").alias("n_blocks"), "token_count", "article", "text")
 
     run.__name__ = name
-    query()(run)
+    query(_TEMPLATE_SQL.get(name))(run)
 
 
 def _qa_blocks(spark: SparkSession, sf: str) -> DataFrame:
@@ -269,7 +360,7 @@ def _qa_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 def _sheet(spark: SparkSession, sf: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf}/supplier.parquet").withColumn("at", F.col("s_suppkey") - 1)
-    return table.sheet_blocks(rows, "supplier", "at", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"])
+    return table.sheet_blocks(rows, "supplier", "at", ["s_suppkey", "s_name", "s_nationkey"])
 
 
 _template_query("contract_chunks", lambda s, d: text_blocks(_decorated(s, d, _law_line)), "contract_terms")
@@ -282,10 +373,10 @@ _template_query("picture_chunks", _qa_blocks, "picture_pdf")
 _template_query("table_row_groups", _sheet, "table_data")
 
 
-@query()
+@query(_ARTICLE_PARTS_SQL)
 def article_parts(spark: SparkSession, sf: str) -> DataFrame:
     children = templates.chunk(text_blocks(_decorated(spark, sf, _law_line)), "contract_terms", ChunkConfig(child_max_tokens=60))[1]
-    return templates.article_parts(children).select("document_id", "parent_id", "child_index", "article", "part_index", "part_count")
+    return templates.article_parts(children).select("document_id", "parent_id", "child_index", "article", F.col("article_part_index").alias("part_index"), F.col("article_part_count").cast("int").alias("part_count"))
 
 
 @query()
@@ -309,7 +400,7 @@ def boundary_repair(spark: SparkSession, sf: str) -> DataFrame:
     pages = _pages(spark, sf).withColumn("text", F.coalesce("text", F.lit(""))).select(
         "document_id", F.posexplode(F.array(F.concat(F.substring("text", F.lit(1), half), F.lit("x-")), F.concat(F.lit("x"), F.substring(F.col("text"), half + 1, F.length("text"))))).alias("k", "text"), "page_number"
     )
-    children = pages.select("document_id", F.col("document_id").alias("parent_id"), F.concat_ws(":", "document_id", "page_number", "k").alias("chunk_id"), (F.col("page_number") * 2 + F.col("k")).cast("int").alias("child_index"), F.lit("text").alias("chunk_type"), "text", (F.col("page_number") * 2 + F.col("k")).cast("int").alias("page_start"), (F.col("page_number") * 2 + F.col("k")).cast("int").alias("page_end"), F.array(F.concat_ws(":", "document_id", "page_number", "k")).alias("source_block_ids"), t.estimate_tokens(F.col("text")).alias("token_count"), F.lit(0).alias("parent_order"))
+    children = pages.select("document_id", F.col("document_id").alias("parent_id"), F.concat_ws(":", "document_id", "page_number", "k").alias("chunk_id"), (F.col("page_number") * 2 + F.col("k")).cast("int").alias("child_index"), F.lit("text").alias("chunk_type"), "text", (F.col("page_number") * 2 + F.col("k")).cast("int").alias("page_start"), (F.col("page_number") * 2 + F.col("k")).cast("int").alias("page_end"), F.array(F.concat_ws(":", "document_id", "page_number", "k")).alias("source_block_ids"), t.estimate_tokens(F.col("text")).alias("token_count"), F.lit(0).alias("parent_order"), F.array().cast("array<struct<block_id:string,page_number:int,bbox:struct<x0:double,y0:double,x1:double,y1:double>>>").alias("bbox_refs"))
     return post.repair_boundaries(children).select("document_id", "chunk_id", "text", "page_start", "page_end", "token_count", "repairs")
 
 
@@ -341,6 +432,6 @@ def stream_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """The documents file as a stream, all that is available now."""
     from docloom.streaming.stream import chunk_stream
 
-    top = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='docloom-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    top = f"{chunking.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     chunk_stream(spark, f"{sf}/documents.parque*", f"{top}/out", f"{top}/state").awaitTermination()
     return spark.read.parquet(f"{top}/out").select("document_id", "chunk_type", "text", "token_count")

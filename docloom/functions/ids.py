@@ -29,3 +29,12 @@ def parent_id(document: Column, section_key: Column) -> Column:
 
 def child_id(document: Column, template: Column, parent: Column, index: Column, blocks: Column) -> Column:
     return stable_hash("child", document, template, parent, index, F.array_join(blocks, ","))
+
+
+def chunk_key(document: Column, page: Column) -> Column:
+    """Of a flat chunk: its document and page."""
+    return F.concat(document, F.lit(":"), page.cast("string"))
+
+
+def flat_chunk_id(document: Column, source: Column, page: Column, index: Column) -> Column:
+    return F.sha2(F.concat_ws(":", document, source, page.cast("string"), index.cast("string")).cast("binary"), 256)

@@ -5,7 +5,11 @@ Patterns follow Python's meaning of \\s, \\d and \\w on text: (?U) makes them Un
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import html
+import re
+
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 # The character ranges and word shape that a token estimate counts.
 CJK = r"[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{f900}-\x{faff}\x{20000}-\x{2a6df}]"
@@ -110,21 +114,89 @@ def table_markdown(rows: Column) -> Column:
     return F.when(F.size(rows) > 0, F.array_join(F.concat(F.array(line(padded[0])), F.array(line(F.array_repeat(F.lit("---"), width))), F.transform(body, line)), "\n")).otherwise(F.lit(""))
 
 
-def html_rows(html: Column) -> Column:
-    """Cells of a flat HTML table, row by row; empty rows are left out."""
-    plain = lambda x: strip(F.regexp_replace(_unescape(F.regexp_replace(x, r"(?s)<[^>]*>", "")), rf"{_UNI}{SPACE}+", " "))
-    rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
-    cells = F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1)), plain))
-    return F.filter(cells, lambda r: F.exists(r, lambda x: x != ""))
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)[^>]*>|<!--.*?-->|<[!?][^>]*>", re.DOTALL)
+
+
+def _cells(source: str | None) -> list[list[str]]:
+    """Cells of a table, row by row: text between a cell's tags, entities resolved, white space as one space; rows without cells are left out."""
+    rows: list[list[str]] = []
+    row: list[str] | None = None
+    cell: list[str] | None = None
+    at = 0
+    for tag in _TAG.finditer(source or ""):
+        if cell is not None:
+            cell.append(html.unescape(source[at : tag.start()]))
+        at, closes, name = tag.end(), tag[1], (tag[2] or "").lower()
+        if name == "tr" and not closes:
+            row = []
+        elif name == "tr":
+            rows += [row] if row else []
+            row = None
+        elif name in ("td", "th") and row is not None:
+            if closes and cell is not None:
+                row.append(" ".join("".join(cell).split()))
+            cell = None if closes else []
+    return rows
+
+
+def html_markdown(source: str) -> str:
+    """An HTML table as Markdown; without rows, the text without its tags."""
+    rows = _cells(source)
+    if not rows:
+        return html.unescape(re.sub(r"<[^>]+>", " ", source)).strip()
+    wide = max(map(len, rows))
+    cells = [[x.replace("|", "\\|") for x in r] + [""] * (wide - len(r)) for r in rows]
+    lines = [cells[0], ["---"] * wide, *(cells[1:] or [[""] * wide])]
+    return "\n".join(f"| {' | '.join(r)} |" for r in lines)
+
+
+def html_table_markdown(source: Column) -> Column:
+    """html_markdown() of a column."""
+
+    def run(found: pd.Series) -> pd.Series:
+        return found.map(lambda x: None if x is None else html_markdown(x))
+
+    return F.pandas_udf(run, T.StringType())(source)
+
+
+# How a page names its chapter and section.
+_CN = r"[一二三四五六七八九十百千万零\d]+"
+PAGE_CHAPTER = rf"(?:Chapter\s+(\d+(?:-\d+)?)|第(?:{_CN})[章编部篇])"
+PAGE_SECTION = rf"(?:Section\s+(\d+)\.\s*(.+?)(?=\n|Section\s+\d+|Chapter\s+\d+|$)|第(?:{_CN})[条节]\s*(.{{0,40}}))"
+
+
+def page_metadata(c: Column) -> Column:
+    """struct<chapter, section, section_title, domain_hint> of a page's text; null for a blank one."""
+    some = lambda x: F.nullif(strip(x), F.lit(""))
+    chapter = lambda i: some(F.regexp_extract(c, f"(?dUi){PAGE_CHAPTER}", i))
+    section = lambda i: some(F.regexp_extract(c, f"(?dUis){PAGE_SECTION}", i))
+    title = F.when(section(1).isNotNull(), section(2)).otherwise(section(3))
+    return F.when(strip(c) != "", F.struct(
+        F.coalesce(chapter(1), chapter(0)).alias("chapter"), F.coalesce(section(1), section(0)).alias("section"),
+        some(F.substring(F.split(title, "\n")[0], 1, 80)).alias("section_title"), domain_hint(c).alias("domain_hint"),
+    ))
+
+
+# Words that tell a chunk's domain from its headings and the beginning of its text, first match first.
+HEADING_DOMAINS = (
+    ("Troubleshooting", ("troubleshoot",)), ("Engine", ("removal", "installation")), ("Generator", ("generator",)), ("Maintenance", ("maintenance", "lubrication", "filter")),
+    ("Engine", ("engine", "fuel", "coolant")), ("Electrical", ("electric", "circuit", "wiring")), ("Maintenance", ("repair", "torque", "adjustment")),
+    ("责任免除", ("责任免除", "免责")), ("保险责任", ("保险责任", "保险金", "给付")), ("理赔", ("理赔", "赔偿", "赔付", "申请保险金")), ("合同条款", ("合同成立", "合同效力", "合同解除", "合同终止")),
+    ("保险费", ("保险费", "缴费", "费率")), ("期间条款", ("犹豫期", "宽限期", "等待期")), ("保险条款", ("被保险人", "投保人", "受益人")),
+)
+
+
+def heading_domain(headings: Column, c: Column) -> Column:
+    """The domain that headings and the first 1200 characters speak of; null if none."""
+    low = F.lower(F.concat(F.array_join(headings, " "), F.lit(" "), F.substring(c, 1, 1200)))
+    return F.coalesce(*[F.when(_any(low, list(words)), F.lit(name)) for name, words in HEADING_DOMAINS])
 
 
-def html_table_markdown(html: Column) -> Column:
-    """A flat HTML table as Markdown; without rows, the text without its tags."""
-    rows = html_rows(html)
-    return F.when(F.size(rows) > 0, table_markdown(rows)).otherwise(strip(_unescape(F.regexp_replace(html, r"(?s)<[^>]*>", " "))))
+def preview(c: Column, most: int = 120) -> Column:
+    """The first characters, white space as one space."""
+    return F.substring(strip(F.regexp_replace(c, rf"{_UNI}{SPACE}+", " ")), 1, most)
 
 
-def _unescape(c: Column) -> Column:
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+def without_marker(c: Column, pattern: str) -> Column:
+    """Without what the anchored pattern matches, stripped."""
+    return strip(F.regexp_replace(c, "(?dUi)" + pattern, ""))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from docloom.functions import ids, text as t
+from docloom.functions import ids, paths, text as t
 
 # Heading shapes.
 _N = r"[零一二三四五六七八九十百千万\d]+"
@@ -24,47 +24,47 @@ def heading_reason(kind: Column, text: Column) -> Column:
     return F.when(kind.isin("heading", "title"), given).when(kind.isin("paragraph", "text"), inferred)
 
 
-def heading_level(text: Column, font_rank: Column | None = None) -> Column:
-    """Depth of a dotted number, else of a Chinese mark, else of its first word, else the rank of its font size, else 1."""
+def heading_level(text: Column, font_rank: Column | None = None, hint: Column | None = None) -> Column:
+    """A level that the parser gave, else the depth of a dotted number, a Chinese mark, a first word, the rank of the font size, else 1."""
     line = t.first_line(text)
     dotted = F.regexp_extract(line, "(?dU)" + NUMBERED, 1)
     mark = F.regexp_extract(line, "(?dU)" + CN_MARK, 1)
     low = F.lower(line)
     starts = lambda *w: F.coalesce(*[F.when(F.startswith(low, F.lit(x)), True) for x in w], F.lit(False))
-    return (
+    given = F.lit(None).cast("int") if hint is None else F.when(hint.isNotNull(), F.least(F.greatest(hint, F.lit(1)), F.lit(6)))
+    return F.coalesce(
+        given,
         F.when(dotted != "", F.least(F.size(F.split(dotted, r"\.")), F.lit(6)))
         .when(mark.isin("章", "篇", "卷"), 1).when(mark.isin("节", "目", "条"), 2).when(mark == "款", 3)
-        .when(starts("chapter ", "part ", "appendix"), 1).when(starts("section "), 2)
-        .otherwise(F.coalesce(font_rank, F.lit(1)) if font_rank is not None else F.lit(1)).cast("int")
-    )
+        .when(starts("chapter ", "part ", "appendix"), 1).when(starts("section "), 2),
+        F.lit(None) if font_rank is None else font_rank, F.lit(1),
+    ).cast("int")
 
 
 def heading_paths(blocks: DataFrame) -> DataFrame:
-    """blocks(document_id, page_number, reading_order, block_type, text, heading_path) with block_type, heading_path and heading_level settled.
+    """blocks(document_id, page_number, reading_order, block_type, text, heading_path) with block_type, heading_path, section_id,
+    heading_level and heading_reason settled.
 
-    A path that the parser gave wins.  Else a heading of level n puts its title below the path's first n - 1 titles.  The path at a block
-    is a fold over the document's earlier headings: only headings enter it, a few short strings for each.
+    A path that the parser gave wins.  Else a heading of level n puts its title below the path's first n - 1 titles.  level_hint and
+    font_size, if there, help to find n.  Blocks before any heading are under "Document".
     """
-    reason = heading_reason(F.col("block_type"), F.col("text"))
-    own = F.coalesce(F.size(F.filter("heading_path", lambda x: t.strip(x) != "")), F.lit(0)) > 0
-    marked = blocks.withColumn("own", own).withColumn("heading_reason", F.when(F.col("own"), "parser_heading_path").otherwise(reason))
-    marked = marked.withColumn("level", F.when(F.col("own"), F.size("heading_path")).when(F.col("heading_reason").isNotNull(), heading_level(F.col("text"))))
-    order = Window.partitionBy("document_id").orderBy("page_number", "reading_order")
-    before = order.rowsBetween(Window.unboundedPreceding, 0)
-    clean = F.array_distinct(F.filter(F.transform("heading_path", t.strip), lambda x: x != ""))
-    event = F.when(F.col("heading_reason").isNotNull(), F.struct(F.col("own").alias("given"), F.col("level").alias("level"), F.when(F.col("own"), clean).otherwise(F.array(t.first_line(F.col("text")))).alias("titles")))
-    none = F.array().cast("array<string>")
-
-    def step(path: Column, e: Column) -> Column:
-        title = e["titles"][0]
-        kept = F.slice(path, 1, F.greatest(e["level"] - 1, F.lit(0)))
-        kept = F.when(F.array_contains(kept, title), F.slice(kept, 1, F.greatest(F.array_position(kept, title).cast("int") - 1, F.lit(0)))).otherwise(kept)
-        return F.when(e["given"], e["titles"]).when((e["level"] <= 1) | (F.size(path) == 0), F.array(title)).otherwise(F.concat(kept, F.array(title)))
-
-    path = F.aggregate(F.collect_list(event).over(before), none, step)
+    path = paths.cleaned(F.col("heading_path"))
+    own = F.coalesce(F.size("heading_path"), F.lit(0)) > 0
+    reason = F.when(own, "parser_heading_path").otherwise(heading_reason(F.col("block_type"), F.col("text")))
+    marked = blocks.withColumn("heading_reason", reason)
+    rank = None
+    if "font_size" in blocks.columns:  # few sizes for each document
+        found = font_ranks(blocks).groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct("font_size", "rank"))).alias("font_ranks"))
+        marked, rank = marked.join(found, "document_id", "left"), F.try_element_at("font_ranks", F.col("font_size"))
+    hint = F.col("level_hint") if "level_hint" in blocks.columns else None
+    # a given path's blocks keep the level that the parser gave them
+    level = F.when(own, F.coalesce(hint, F.size(path)) if hint is not None else F.size(path)).when(F.col("heading_reason").isNotNull(), heading_level(F.col("text"), rank, hint))
+    marked = marked.withColumn("heading_level", level.cast("int")).drop("font_ranks")
+    heads = ~F.col("heading_reason").eqNullSafe("parser_heading_path") & F.col("heading_reason").isNotNull()
+    found = paths.running_path(marked, "document_id", ["page_number", "reading_order"], F.when(heads, F.col("heading_level")), t.first_line(F.col("text")), F.when(own, path))
+    full = F.when(F.size("path") > 0, F.col("path")).otherwise(F.array(F.lit("Document")))
     promoted = F.when(F.col("heading_reason").endswith("_pattern"), "heading").otherwise(F.col("block_type"))
-    out = marked.withColumn("path", path).withColumn("path", F.when(F.size("path") > 0, F.col("path")).otherwise(F.array(F.lit("Document"))))
-    return out.withColumn("block_type", promoted).withColumn("heading_path", F.col("path")).withColumnRenamed("level", "heading_level").withColumn("section_id", ids.section_id(F.col("document_id"), F.col("path"))).drop("own", "path")
+    return found.withColumn("block_type", promoted).withColumn("heading_path", full).withColumn("section_id", ids.section_id(F.col("document_id"), F.col("heading_path"))).drop("path")
 
 
 def section_table(blocks: DataFrame) -> DataFrame:

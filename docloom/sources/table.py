@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from docloom.functions import ids
 
@@ -33,43 +33,63 @@ def sheet_blocks(rows: DataFrame, sheet: str, order: str, columns: list[str]) ->
     index = F.col(order) + 2
     return rows.select(
         F.lit(sheet).alias("document_id"), F.lit(1).alias("page_number"), F.col(order).cast("int").alias("reading_order"), F.lit("table").alias("block_type"),
-        row_text(F.lit(sheet), index, columns, values).alias("text"), F.array(F.lit(sheet)).alias("heading_path"), index.alias("row_index"),
+        row_text(F.lit(sheet), index, columns, values).alias("text"), F.array(F.lit(sheet)).alias("heading_path"), index.cast("int").alias("row_index"), F.array(*map(F.lit, columns)).alias("columns"), F.lit(sheet).alias("sheet_name"),
     ).withColumn("block_id", ids.block_id(F.col("document_id"), F.col("page_number"), F.col("reading_order"), F.col("block_type")))
 
 
-def _delimited_rows(batches: Iterator) -> Iterator:
+def _rows(batches: Iterator) -> Iterator:
     import pandas as pd
 
+    from docloom.sources.sheets import read_workbook
+
     for batch in batches:
         out = []
-        for path, content in zip(batch["path"], batch["content"], strict=True):
-            text = bytes(content).decode("utf-8-sig", "replace")
-            if path.lower().endswith(".tsv"):
-                dialect = "\t"
-            else:
+        for document, path, content in zip(batch["document_id"], batch["path"], batch["content"], strict=True):
+            stem, _, ext = path.rpartition("/")[2].rpartition(".")
+            if ext.lower() in ("xlsx", "xlsm"):
                 try:
-                    dialect = csv.Sniffer().sniff(text[:4096], delimiters=",;\t|").delimiter
-                except csv.Error:
-                    dialect = ","
-            for i, row in enumerate(csv.reader(text.splitlines(), delimiter=dialect)):
-                out.append((path, i, [x.strip() for x in row]))
-        yield pd.DataFrame(out, columns=["path", "row", "cells"])
+                    out += [(document, at, sheet, i, cells) for at, (sheet, i, cells) in enumerate(read_workbook(bytes(content)))]
+                except Exception:  # not a workbook: it makes no blocks, which the router says
+                    continue
+            else:
+                out += [(document, i, stem, i, cells) for i, cells in enumerate(_delimited(bytes(content), ext.lower()))]
+        yield pd.DataFrame(out, columns=["document_id", "at", "sheet", "row", "cells"])
 
 
-def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """Row blocks of CSV and TSV files; the delimiter of a CSV file is found from its first 4096 characters.
+def _delimited(content: bytes, ext: str) -> Iterator[list[str]]:
+    """Rows of CSV or TSV bytes; a blank line is a row without cells."""
+    text = content.decode("utf-8-sig", "replace")
+    delimiter = "\t" if ext == "tsv" else ","
+    if ext != "tsv":
+        try:
+            delimiter = csv.Sniffer().sniff(text[:4096], delimiters=",;\t|").delimiter
+        except csv.Error:
+            pass
+    for row in csv.reader(text.splitlines(), delimiter=delimiter):
+        yield [x.strip() for x in row]
+
 
-    Spark's own reader can't find delimiters or keep these row numbers, so files are parsed by the csv module, a file in a task.
+def file_blocks(files: DataFrame) -> DataFrame:
+    """Row blocks of files(document_id, path, content): CSV, TSV, XLSX and XLSM; other files make none.
+
+    The first row names the columns.  The delimiter of a CSV file is found from its first 4096 characters.  Spark's own reader can't find
+    delimiters or keep these row numbers, so a file is parsed whole by one task.
     """
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    rows = raw.mapInPandas(_delimited_rows, "path string, row int, cells array<string>")
-    sheet = F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1)
-    heads = rows.filter("row = 0").select("path", headers(F.col("cells")).alias("names"))
-    body = rows.filter("row > 0").join(heads, "path")
+    known = files.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin("csv", "tsv", "xlsx", "xlsm"))
+    rows = known.select("document_id", "path", "content").mapInPandas(_rows, "document_id string, at int, sheet string, row int, cells array<string>")
+    # a sheet's header goes to its rows by a window over the sheet
+    head = F.first(F.when(F.col("row") == 0, headers(F.col("cells"))), True).over(Window.partitionBy("document_id", "sheet").orderBy("row"))
+    body = rows.withColumn("names", head).filter("row > 0")
     width = F.size("names")
-    cells = F.slice(F.concat("cells", F.array_repeat(F.lit(""), F.greatest(width - F.size("cells"), F.lit(0)))), 1, width)
+    cells = F.slice(F.concat("cells", F.array_repeat(F.lit(""), F.greatest(width - F.size("cells"), F.lit(0)))), F.lit(1), width)
     full = body.withColumn("cells", cells).filter(F.exists("cells", lambda x: x != ""))
+    order = F.row_number().over(Window.partitionBy("document_id").orderBy("at")) - 1  # through all sheets
     return full.select(
-        ids.document_id(F.col("path")).alias("document_id"), F.lit(1).alias("page_number"), (F.col("row") - 1).alias("reading_order"), F.lit("table").alias("block_type"),
-        row_text(sheet, F.col("row") + 1, F.col("names"), F.col("cells")).alias("text"), F.array(sheet).alias("heading_path"), (F.col("row") + 1).alias("row_index"),
+        "document_id", F.lit(1).alias("page_number"), order.cast("int").alias("reading_order"), F.lit("table").alias("block_type"), row_text(F.col("sheet"), F.col("row") + 1, F.col("names"), F.col("cells")).alias("text"),
+        F.array("sheet").alias("heading_path"), (F.col("row") + 1).alias("row_index"), F.col("names").alias("columns"), F.col("sheet").alias("sheet_name"), F.lit("table_file").alias("source_parser"),
     ).withColumn("block_id", ids.block_id(F.col("document_id"), F.col("page_number"), F.col("reading_order"), F.col("block_type")))
+
+
+def read_delimited(spark: SparkSession, path: str) -> DataFrame:
+    """Row blocks of the tables under a path."""
+    return file_blocks(spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("document_id"), "content"))

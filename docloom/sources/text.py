@@ -42,3 +42,10 @@ def text_blocks(docs: DataFrame, document: str = "document_id", content: str = "
         ids.block_id(F.col("document_id"), F.col("page_number"), F.col("reading_order"), F.col("block_type")).alias("block_id"),
         "*", F.coalesce(path, F.array().cast("array<string>")).alias("heading_path"),
     )
+
+
+def file_blocks(files: DataFrame) -> DataFrame:
+    """Blocks of files(document_id, path, content): .txt, .md and .markdown as UTF-8 (what isn't is replaced); other files make none."""
+    known = files.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin("txt", "md", "markdown"))
+    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), r"\A\x{feff}", "")
+    return text_blocks(known.select("document_id", text.alias("text"))).withColumn("source_parser", F.lit("text_file"))
