@@ -9,13 +9,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from docloom.config import ChunkConfig
-from docloom.functions import ids, text as t
-from docloom.operators import doctype, legacy, noise, post, quality, sections, templates
-from docloom.plans import chunking
-from docloom.sources import table
+from docloom.functions import boxes, ids, text as t
+from docloom.operators import doctype, flat, legacy, noise, post, quality, sections, templates
+from docloom.plans import chunking, output
+from docloom.sources import layout, pages, table
 from docloom.sources.text import text_blocks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -379,11 +379,17 @@ def article_parts(spark: SparkSession, sf: str) -> DataFrame:
     return templates.article_parts(children).select("document_id", "parent_id", "child_index", "article", F.col("article_part_index").alias("part_index"), F.col("article_part_count").cast("int").alias("part_count"))
 
 
-@query()
+@query(f"""WITH {_PARTS}, k AS (SELECT *, CASE WHEN i % 7 = 4 THEN 'table' WHEN i % 7 = 5 THEN 'caption' ELSE block_type END AS kind, left(sha256('block:' || document_id || ':1:' || i || ':' || block_type), 32) AS block_id FROM blocks),
+u AS (SELECT document_id, heading, i, text, kind FROM k WHERE kind <> 'table'), m AS (SELECT * FROM k WHERE kind IN ('table', 'caption')),
+c AS (SELECT m.*, lag(kind) OVER w AS was, lead(kind) OVER w AS will, lag(text) OVER w AS was_text, lead(text) OVER w AS will_text FROM k m WINDOW w AS (PARTITION BY document_id ORDER BY i)),
+b AS (SELECT m.document_id, m.i, list(u.text ORDER BY u.i DESC)[1:2] AS before FROM m JOIN u ON u.document_id = m.document_id AND u.heading = m.heading AND u.i < m.i GROUP BY ALL), a AS (SELECT m.document_id, m.i, list(u.text ORDER BY u.i)[1:2] AS after FROM m JOIN u ON u.document_id = m.document_id AND u.heading = m.heading AND u.i > m.i GROUP BY ALL),
+f AS (SELECT c.document_id, c.i, list_concat(CASE WHEN was = 'caption' THEN [was_text] ELSE [] END, CASE WHEN will = 'caption' THEN [will_text] ELSE [] END) AS captions, coalesce(list_reverse(before), []) AS before, coalesce(after, []) AS after FROM c LEFT JOIN b USING (document_id, i) LEFT JOIN a USING (document_id, i) WHERE kind IN ('table', 'caption'))
+SELECT document_id, CAST(i AS INTEGER) AS reading_order, nullif(array_to_string(list_concat(captions, before), chr(10) || chr(10)), '') AS context_before, nullif(array_to_string(after, chr(10) || chr(10)), '') AS context_after, CASE WHEN len(captions) > 0 THEN 'caption_and_same_section_neighbors' ELSE 'same_section_neighbors' END AS context_strategy FROM f""")
 def media_context(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.when(F.col("reading_order") % 7 == 4, "table").when(F.col("reading_order") % 7 == 5, "caption").otherwise(F.col("block_type"))
     blocks = sections.heading_paths(text_blocks(_decorated(spark, sf, _book_line))).withColumn("block_type", kind)
-    return post.media_context(blocks).drop("block_id")
+    found = post.with_context(blocks).filter("context is not null")
+    return found.select("document_id", "reading_order", "context.context_before", "context.context_after", "context.context_strategy")
 
 
 @query()
@@ -404,7 +410,8 @@ def boundary_repair(spark: SparkSession, sf: str) -> DataFrame:
     return post.repair_boundaries(children).select("document_id", "chunk_id", "text", "page_start", "page_end", "token_count", "repairs")
 
 
-@query()
+@query(_PACKED + """, c AS (SELECT document_id, heading, child_no, count(*) OVER (PARTITION BY document_id, heading) AS n FROM children)
+SELECT 'missing_child' AS code, count(*) AS n FROM c WHERE child_no = 1 HAVING count(*) > 0 UNION ALL SELECT 'missing_parent', count(*) FROM c WHERE child_no = 2 HAVING count(*) > 0""")
 def package_faults(spark: SparkSession, sf: str) -> DataFrame:
     """Faults that are put into packages: children without a parent, and children that a parent lists but that aren't there."""
     blocks = text_blocks(_decorated(spark, sf, _book_line))
@@ -414,7 +421,11 @@ def package_faults(spark: SparkSession, sf: str) -> DataFrame:
     return quality.validate(parents.join(lists, "parent_id"), kept, blocks).groupBy("code").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(_PACKED + """, m AS (SELECT t.*, CAST(len(regexp_extract_all(text, '[a-zA-Z0-9]+(?:[-''][a-zA-Z0-9]+)*')) * 13 // 10 AS BIGINT) AS token_count, CAST(regexp_extract(heading, '[0-9]+') AS INTEGER) AS nr, text = '' OR contains(',.;:!?，。；：！？、', left(text, 1)) AS marked FROM texts t),
+r AS (SELECT *, CASE WHEN token_count = 0 THEN ['empty_tokens'] ELSE [] END || CASE WHEN marked THEN ['starts_with_punctuation'] ELSE [] END AS reasons FROM m),
+k AS (SELECT *, len(reasons) > 0 AS risky, row_number() OVER (PARTITION BY document_id ORDER BY len(reasons) > 0 DESC, nr, child_no) AS risk_rank, row_number() OVER (PARTITION BY document_id ORDER BY token_count DESC, nr, child_no) AS size_rank, count(*) FILTER (len(reasons) > 0) OVER (PARTITION BY document_id) AS risks FROM r),
+p AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY risky DESC, CASE WHEN risky THEN risk_rank ELSE size_rank END) AS place FROM k WHERE (risky AND risk_rank <= 5) OR (NOT risky AND size_rank <= 3 AND risks < 5))
+SELECT document_id, CAST(place AS INTEGER) AS place, token_count, CASE WHEN risky THEN array_to_string(reasons, ',') ELSE 'largest_chunk' END AS reasons FROM p WHERE place <= 5""")
 def risk_samples(spark: SparkSession, sf: str) -> DataFrame:
     children = templates.chunk(text_blocks(_decorated(spark, sf, _book_line)), "generic_structured", ChunkConfig(child_max_tokens=60))[1]
     return quality.risk_samples(children).select("document_id", "place", "token_count", F.array_join("reasons", ",").alias("reasons"))
@@ -435,3 +446,145 @@ def stream_chunks(spark: SparkSession, sf: str) -> DataFrame:
     top = f"{chunking.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     chunk_stream(spark, f"{sf}/documents.parque*", f"{top}/out", f"{top}/state").awaitTermination()
     return spark.read.parquet(f"{top}/out").select("document_id", "chunk_type", "text", "token_count")
+
+
+@query(r"""WITH d AS (SELECT doc_id, doc_id % 9 + 1 AS k, text FROM documents) SELECT doc_id, k || '-2' AS chapter, CAST(k AS VARCHAR) AS section, 'Oil and more' AS section_title FROM d""")
+def page_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages that begin with a chapter and a section."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    k = (F.col("doc_id") % 9 + 1).cast("string")
+    page = F.concat(F.lit("CHAPTER "), k, F.lit("-2 of it\nSection "), k, F.lit(". Oil and more\n"), "text")
+    return docs.select("doc_id", t.page_metadata(page).alias("m")).select("doc_id", "m.chapter", "m.section", "m.section_title")
+
+
+_TURN_LINES = """p AS (SELECT CAST(conv_id AS VARCHAR) AS document_id, CAST(turn + 1 AS INTEGER) AS page_number, coalesce(text, '') AS x FROM conversations),
+l AS (SELECT document_id, page_number, ['Weekly  report ' || page_number, 'first ' || md5(x), 'second ' || md5(x || 'a'), 'third ' || md5(x || 'b'), '- ' || page_number || ' -'] AS lines FROM p),
+n AS (SELECT *, list_transform(lines, lambda y: regexp_replace(regexp_replace(y, '[0-9]+', '#', 'g'), ' +', ' ', 'g')) AS norms FROM l), sizes AS (SELECT document_id, count(*) AS pages FROM l GROUP BY 1),
+z AS (SELECT document_id, unnest(list_distinct(norms[1:3])) AS norm, 'h' AS zone FROM n UNION ALL SELECT document_id, unnest(list_distinct(norms[3:5])), 'f' FROM n),
+gone AS (SELECT document_id, list(DISTINCT norm) AS gone FROM (SELECT document_id, zone, norm FROM z JOIN sizes USING (document_id) WHERE pages >= 3 GROUP BY ALL HAVING count(*) >= max(pages) // 2) GROUP BY 1)"""
+
+
+@query(f"""WITH {_TURN_LINES} SELECT document_id, page_number, CASE WHEN gone IS NULL THEN array_to_string(lines, chr(10)) ELSE array_to_string(list_filter(lines, lambda y, i: NOT list_contains(gone, norms[i])), chr(10)) END AS text FROM n LEFT JOIN gone USING (document_id)""")
+def headers_stripped(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as pages with a running head and a foot, without the lines that repeat."""
+    page = F.concat(F.lit("Weekly  report "), F.col("page_number").cast("string"), F.lit("\nfirst "), F.md5("text"), F.lit("\nsecond "), F.md5(F.concat("text", F.lit("a"))), F.lit("\nthird "), F.md5(F.concat("text", F.lit("b"))), F.lit("\n- "), F.col("page_number").cast("string"), F.lit(" -"))
+    pages_ = _pages(spark, sf).withColumn("text", F.coalesce("text", F.lit("")))
+    return noise.strip_headers(pages_.select("document_id", "page_number", page.alias("text")))
+
+
+@query("""SELECT p_partkey, CAST(least(k, 2 * k - 7) AS INTEGER) AS x0, CAST(k AS INTEGER) AS y0, CAST(greatest(k, 2 * k - 7) AS INTEGER) AS x1, CAST(k + 3 AS INTEGER) AS y1 FROM (SELECT p_partkey, p_partkey % 50 AS k FROM part) WHERE p_partkey % 6 <> 5 UNION ALL SELECT p_partkey, NULL, NULL, NULL, NULL FROM part WHERE p_partkey % 6 = 5""")
+def boxes_of(spark: SparkSession, sf: str) -> DataFrame:
+    """A box in each of the shapes that exports give it, and one that is none."""
+    k = F.col("p_partkey") % 50
+    a, b, x, y = (c.cast("string") for c in (k, 2 * k - 7, k, k + 3))
+    shapes = [
+        F.concat_ws("", F.lit("["), a, F.lit(","), x, F.lit(',"'), b, F.lit('",'), y, F.lit("]")), F.concat_ws("", F.lit('{"x0":'), b, F.lit(',"y0":'), x, F.lit(',"x1":'), a, F.lit(',"y1":'), y, F.lit("}")),
+        F.concat_ws("", F.lit('{"t":'), y, F.lit(',"l":'), a, F.lit(',"b":'), x, F.lit(',"r":'), b, F.lit("}")), F.concat_ws("", F.lit("[["), a, F.lit(","), x, F.lit("],["), b, F.lit(","), x, F.lit("],["), b, F.lit(","), y, F.lit("]]")),
+        F.concat_ws("", F.lit('{"type":"text","poly":[{"x":'), a, F.lit(',"y":'), y, F.lit('},{"x":'), b, F.lit(',"y":'), x, F.lit("}]}")), F.concat_ws("", F.lit('{"bbox":['), a, F.lit("]}")),
+    ]
+    json = F.coalesce(*[F.when(F.col("p_partkey") % 6 == i, shape) for i, shape in enumerate(shapes)])
+    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", boxes.box(json).alias("b")).select("p_partkey", *[F.col(f"b.{n}").cast("int").alias(n) for n in ("x0", "y0", "x1", "y1")])
+
+
+def _content_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """A content list for each nation: its name as a title, then its suppliers as texts, captioned tables and figures in turn."""
+    s = spark.read.parquet(f"{sf}/supplier.parquet").withColumn("k", (F.col("s_suppkey") % 4).cast("int"))
+    none = F.lit(None).cast("string")
+    item = F.struct(
+        F.when(F.col("k") == 1, "table").when(F.col("k") == 2, "image").when(F.col("k") == 3, "section_header").otherwise("text").alias("type"), F.when(F.col("k").isin(0, 3), F.col("s_name")).otherwise(none).alias("text"), F.when(F.col("k") == 3, 2).alias("text_level"),
+        F.when(F.col("k") == 1, F.concat(F.lit("<table><tr><td>key</td></tr><tr><td>"), F.col("s_suppkey").cast("string"), F.lit("</td></tr></table>"))).alias("table_body"), F.when(F.col("k") == 1, F.array(F.lit("Table"), F.col("s_name"))).alias("table_caption"), F.when(F.col("k") == 2, F.concat(F.lit("Fig "), "s_name")).alias("img_caption"),
+        F.col("k").alias("page_idx"),
+    )
+    lists = s.groupBy("s_nationkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", item.alias("x")))), lambda y: y["x"]).alias("items"))
+    title = F.concat(F.lit('[{"type":"title","text":"Nation '), F.col("s_nationkey").cast("string"), F.lit('","text_level":1,"page_idx":0},'))
+    return lists.select(F.col("s_nationkey").cast("string").alias("document_id"), F.concat(title, F.substring(F.to_json("items"), F.lit(2), F.length(F.to_json("items")))).cast("binary").alias("content"))
+
+
+@query("""WITH s AS (SELECT CAST(s_nationkey AS VARCHAR) AS document_id, CAST(s_suppkey % 4 AS INTEGER) AS k, s_suppkey, trim(s_name) AS name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i FROM supplier),
+b AS (SELECT document_id, CAST(i AS INTEGER) AS reading_order, k + 1 AS page_number, CASE k WHEN 1 THEN 'table' WHEN 2 THEN 'figure' WHEN 3 THEN 'heading' ELSE 'paragraph' END AS block_type, CASE k WHEN 1 THEN 'Table ' || name || chr(10) || chr(10) || '| key |' || chr(10) || '| --- |' || chr(10) || '| ' || s_suppkey || ' |' WHEN 2 THEN 'Fig ' || name ELSE name END AS text, CASE WHEN k = 3 THEN name END AS head FROM s
+  UNION ALL SELECT DISTINCT CAST(s_nationkey AS VARCHAR), 0, 1, 'heading', 'Nation ' || s_nationkey, NULL FROM supplier)
+SELECT document_id, reading_order, page_number, block_type, text, 'Nation ' || document_id || coalesce(' > ' || last_value(head IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY reading_order ROWS UNBOUNDED PRECEDING), '') AS heading FROM b""")
+def content_list_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    found = layout.item_blocks(layout.content_list(_content_lists(spark, sf)), "mineru")
+    return found.select("document_id", "reading_order", "page_number", "block_type", "text", t.heading_joined(F.col("heading_path")).alias("heading"))
+
+
+@query("""WITH s AS (SELECT CAST(s_nationkey AS VARCHAR) AS document_id, s_suppkey, trim(s_name) AS name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS i FROM supplier)
+SELECT document_id, CAST(i AS INTEGER) AS reading_order, CAST(s_suppkey % 3 + 1 AS INTEGER) AS page_number, CASE WHEN s_suppkey % 2 = 0 THEN 'heading' ELSE 'paragraph' END AS block_type, name AS text, coalesce(last_value(CASE WHEN s_suppkey % 2 = 0 THEN name END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY i ROWS UNBOUNDED PRECEDING), '') AS heading, CAST(s_suppkey % 3 AS INTEGER) AS x0 FROM s""")
+def exported_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """An exported document for each nation, its suppliers as headings and texts."""
+    s = spark.read.parquet(f"{sf}/supplier.parquet")
+    page = (F.col("s_suppkey") % 3 + 1).cast("int")
+    box = F.struct((page - 1).alias("l"), F.lit(5).alias("t"), F.lit(50).alias("r"), F.lit(1).alias("b"))
+    item = F.struct(F.when(F.col("s_suppkey") % 2 == 0, "section_header").otherwise("text").alias("label"), F.col("s_name").alias("text"), F.lit(1).alias("level"), F.array(F.struct(page.alias("page_no"), box.alias("bbox"))).alias("prov"))
+    docs = s.groupBy("s_nationkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", item.alias("x")))), lambda y: y["x"]).alias("texts"))
+    files = docs.select(F.col("s_nationkey").cast("string").alias("document_id"), F.to_json(F.struct("texts")).cast("binary").alias("content"))
+    found = layout.item_blocks(layout.exported(files), "docling")
+    return found.select("document_id", "reading_order", "page_number", "block_type", "text", t.heading_joined(F.col("heading_path")).alias("heading"), F.col("bbox.x0").cast("int").alias("x0"))
+
+
+@query(f"""WITH RECURSIVE u AS (SELECT CAST(conv_id AS VARCHAR) AS document_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn, {_LATIN_OF.format("text")} * 13 // 10 AS tokens FROM conversations),
+f AS (SELECT document_id, rn, CAST(1 AS BIGINT) AS g, tokens AS total FROM u WHERE rn = 1 UNION ALL SELECT u.document_id, u.rn, CASE WHEN f.total < 30 THEN f.g ELSE f.g + 1 END, CASE WHEN f.total < 30 THEN f.total + u.tokens ELSE u.tokens END FROM f JOIN u ON u.document_id = f.document_id AND u.rn = f.rn + 1),
+s AS (SELECT document_id, g, min(rn) AS first, count(*) AS n, sum(u.tokens) AS tokens FROM f JOIN u USING (document_id, rn) GROUP BY ALL), l AS (SELECT *, max(g) OVER (PARTITION BY document_id) AS last FROM s),
+b AS (SELECT *, CASE WHEN g = last AND g > 1 AND tokens < 30 THEN g - 1 ELSE g END AS h FROM l)
+SELECT document_id, CAST(min(first) - 1 AS INTEGER) AS child_index, CAST(sum(tokens) AS BIGINT) AS token_count, CAST(sum(n) - 1 AS INTEGER) AS merges FROM b GROUP BY document_id, h""")
+def small_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as children of their conversation, small ones merged."""
+    order = F.row_number().over(Window.partitionBy("document_id").orderBy("page_number")) - 1
+    refs = F.array().cast("array<struct<block_id:string,page_number:int,bbox:struct<x0:double,y0:double,x1:double,y1:double>>>")
+    turns = _pages(spark, sf).select("document_id", F.col("document_id").alias("parent_id"), F.lit(0).alias("parent_order"), order.cast("int").alias("child_index"), F.concat_ws(":", "document_id", "page_number").alias("chunk_id"), F.lit("text").alias("chunk_type"), F.coalesce("text", F.lit("")).alias("text"), F.col("page_number").alias("page_start"), F.col("page_number").alias("page_end"), F.array(F.col("page_number").cast("string")).alias("source_block_ids"), refs.alias("bbox_refs"), F.coalesce(t.estimate_tokens(F.col("text")), F.lit(0)).alias("token_count"))
+    return post.merge_small(turns, ChunkConfig(child_min_tokens=60)).select("document_id", "child_index", "token_count", "merges")
+
+
+@query("""WITH l AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, unnest(range(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')))) AS i FROM documents), n AS (SELECT document_id, count(*) AS n FROM l GROUP BY 1)
+SELECT 'invalid_page' AS code, count(*) AS n FROM l WHERE i % 7 = 2 UNION ALL SELECT 'empty_box', count(*) FROM l WHERE i % 5 = 1 UNION ALL SELECT 'box_outside_page', count(*) FROM l WHERE i % 7 <> 2 AND i % 3 = 0 UNION ALL SELECT 'missing_page', count(*) FROM l WHERE i % 7 = 2 UNION ALL SELECT 'duplicate_block', count(*) FROM n""")
+def block_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """Faults that are put into blocks: pages that aren't there, boxes without area or beyond their page, and a first block that comes twice."""
+    i = F.col("reading_order")
+    b = text_blocks(_decorated(spark, sf, _book_line)).withColumn("page_number", F.when(i % 7 == 2, 0).otherwise(1)).withColumn("block_pos", i.cast("double"))
+    wide = F.when(i % 3 == 0, 900.0).otherwise(50.0)
+    b = b.withColumn("bbox", F.struct(F.lit(0.0).alias("x0"), F.lit(5.0).alias("y0"), wide.alias("x1"), F.when(i % 5 == 1, 5.0).otherwise(9.0).alias("y1")))
+    pages_ = quality.page_table(b.filter("page_number = 1")).withColumn("width", F.lit(100.0)).withColumn("height", F.lit(100.0))
+    twice = b.unionByName(b.filter("reading_order = 0").withColumn("block_pos", F.lit(0.5)).withColumn("bbox", F.lit(None).cast(boxes.BOX)))
+    return quality.validate_blocks(twice, pages_).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query(_PACKED + """, w AS (SELECT *, len(regexp_extract_all(text, '[a-zA-Z0-9]+(?:[-''][a-zA-Z0-9]+)*')) * 13 // 10 > 60 AS over FROM texts), m AS (SELECT document_id, count(*) FILTER (over) AS over FROM w GROUP BY 1), c AS (SELECT document_id, count(*) AS blocks, count(DISTINCT heading) AS heads FROM blocks GROUP BY 1)
+SELECT document_id, CAST(blocks AS BIGINT) AS block_count, CAST(heads AS BIGINT) AS section_count, CASE WHEN over = 0 THEN 'ok' ELSE 'warning' END AS tokens FROM c JOIN m USING (document_id)""")
+def health(spark: SparkSession, sf: str) -> DataFrame:
+    """What the monitor says of packages before any pass: counts, and whether children keep to the budget."""
+    config = ChunkConfig(template="generic_structured", child_max_tokens=60)
+    blocks = sections.heading_paths(text_blocks(_decorated(spark, sf, _book_line)))
+    parents, children = templates.chunk(blocks, "generic_structured", config)
+    found = quality.metrics(parents, children, config, blocks).join(quality.block_counts(blocks), "document_id").join(sections.section_table(blocks).groupBy("document_id").agg(F.count("*").alias("section_count")), "document_id")
+    checks = quality.health_checks(found.withColumn("parser_used", F.lit("text_file"))).filter("name = 'tokens'").select("document_id", F.col("status").alias("tokens"))
+    return found.select("document_id", "block_count", "section_count").join(checks, "document_id")
+
+
+@query()
+def flat_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Children as flat chunks, after all passes over these."""
+    children = templates.chunk(text_blocks(_decorated(spark, sf, _law_line)), "laws", ChunkConfig(child_max_tokens=60))[1]
+    return flat.flat_chunks(flat.from_children(children, "pdf"), 120, 50).select("document_id", "chunk_index", "chunk_id", "page_number", "section", "text")
+
+
+@query()
+def page_text_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as page texts, hard-wrapped: headers removed, lines put together."""
+    wrapped = F.regexp_replace("text", r"(\\S+ \\S+ \\S+) ", "$1\n")
+    return pages.page_blocks(_pages(spark, sf).select("document_id", "page_number", wrapped.alias("text"))).select("document_id", "page_number", "reading_order", "block_type", "text")
+
+
+@query()
+def overlong_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Children over the budget, cut."""
+    config = ChunkConfig(child_max_tokens=50)
+    children = templates.chunk(text_blocks(_docs(spark, sf)), "generic_structured", config)[1]
+    return post.split_overlong(children, config).select("document_id", "original_chunk_id", "part_index", "part_count", "token_count", "text")
+
+
+@query()
+def package_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole packages, without ids."""
+    package = chunking.chunk_package(text_blocks(_decorated(spark, sf, _manual_line))).materialize()
+    return output.snapshot(package).select("document_id", F.to_json("snapshot").alias("snapshot"))
