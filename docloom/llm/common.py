@@ -109,6 +109,21 @@ def lean(work):
     return run
 
 
+def sampled_texts(docs: DataFrame, rows: int, most_bytes: int) -> list[str]:
+    """Texts of at most ``rows`` rows of docs(text) and ``most_bytes`` bytes: those with the least hashes, so the same however the table is cut.
+
+    Whole texts; one that would go beyond the bytes ends the sample (but the first always is in it).
+    """
+    text = F.coalesce("text", F.lit(""))
+    hashed = docs.select(F.xxhash64(text).alias("h"), F.octet_length(text).alias("size"), text.alias("text"))
+    first = hashed.select("h", "size").orderBy("h").limit(rows).collect()  # two numbers a row
+    fits = int(np.searchsorted(np.cumsum([r["size"] for r in first]), most_bytes, "right"))
+    if not first:
+        return []
+    last = first[max(0, min(fits, len(first)) - 1)]["h"]
+    return [r["text"] for r in hashed.filter(F.col("h") <= last).orderBy("h").limit(max(1, fits)).select("text").collect()]
+
+
 def _one_by_one(work):
     """work() over each bucket's rows, which follow one another."""
 

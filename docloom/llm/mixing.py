@@ -13,7 +13,7 @@ A running total over a source would put a third of all rows into one task, so it
 a running total inside each slice.
 
 Defined cases: null text has size 0 (and takes nothing); all sizes 0: targets 0; rows with a repeated or null doc_id are documents of
-their own; ties of the hash go by doc_key; an empty table gives no rows.
+their own; ties of the hash go by doc_key; an empty table gives no rows; a very long text is one row like others; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -1,14 +1,16 @@
 """Quality rules as a short-circuit cascade.
 
 Measures that a result shows (words, characters, symbols, repeated lines, repeated words) are made for every document.  The
-verdict is a conjunction of rules, each of which rejects on evidence of its own.  On a sample of at most about SAMPLE documents
-each rule's cost (seconds a byte) and selectivity (rejected share) are measured, and the rules run in order of rejection per
-cost; a document goes on to a rule only if none before has rejected it.  The order changes the work, never the verdict.
+verdict is a conjunction of rules, each of which rejects on evidence of its own.  On a sample of at most SAMPLE documents (and SAMPLE_BYTES)
+each rule's cost (seconds a character) is measured, and the order is found step by step: of the documents that neither the base nor the
+rules so far reject, the next rule is the one that rejects most for its cost.  A document goes on to a rule only if none before has
+rejected it.  The order changes the work, never the verdict.
 
 One pass, no shuffle: rows stay in their partitions.
 
 Defined cases: null text has no words, so base_failed; equal rows have equal results; a line that holds no word is never a
-repeated line; an empty table gives no rows; other columns are ignored.
+repeated line; an empty table gives no rows; repeated and null ids are judged row by row; a very long text is judged whole, alone in
+its piece; other columns are ignored (``keep_good`` returns them, whatever their names).
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import re
 import time
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docloom.llm import common as c
 
-SAMPLE = 400
+SAMPLE, SAMPLE_BYTES = 400, 16 << 20
 WINDOW = 8
 _SYMBOLS = np.zeros(256, np.int64)
 _SYMBOLS[[ord(x) for x in "#*$%&|<>"]] = 1
@@ -75,58 +78,73 @@ _SHOUT = re.compile(r"!{2,}|\?{2,}")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def _symbols(text: str, m: dict[str, int]) -> bool:
-    return 10 * m["n_symbols"] > 3 * m["n_words"]
+class Page:
+    """A text, its measures, and its words, which are made once if a rule asks for them."""
 
+    def __init__(self, text: str, measured: dict[str, int]):
+        self.text, self.m = text, measured
 
-def _word_length(text: str, m: dict[str, int]) -> bool:
-    return not 2 * m["n_words"] <= m["word_chars"] <= 20 * m["n_words"]
+    @cached_property
+    def words(self) -> list[bytes]:
+        return self.text.encode("utf-8", "replace").split()
 
 
-def _lines(text: str, m: dict[str, int]) -> bool:
-    return m["n_dup_lines"] >= 3 and 10 * m["n_dup_lines"] > 3 * (text.count("\n") + 1)
+def _symbols(p: Page) -> bool:
+    return 10 * p.m["n_symbols"] > 3 * p.m["n_words"]
 
 
-def _shouting(text: str, m: dict[str, int]) -> bool:
-    return 10 * len(_SHOUT.findall(text)) > 2 * m["n_words"]
+def _word_length(p: Page) -> bool:
+    return not 2 * p.m["n_words"] <= p.m["word_chars"] <= 20 * p.m["n_words"]
 
 
-def _capitals(text: str, m: dict[str, int]) -> bool:
-    upper, lower = sum(map(str.isupper, text)), sum(map(str.islower, text))
+def _lines(p: Page) -> bool:
+    return p.m["n_dup_lines"] >= 3 and 10 * p.m["n_dup_lines"] > 3 * (p.text.count("\n") + 1)
+
+
+def _shouting(p: Page) -> bool:
+    return 10 * len(_SHOUT.findall(p.text)) > 2 * p.m["n_words"]
+
+
+def _capitals(p: Page) -> bool:
+    upper, lower = sum(map(str.isupper, p.text)), sum(map(str.islower, p.text))
     return upper > lower
 
 
-def _letters(text: str, m: dict[str, int]) -> bool:
-    return 2 * len(_LETTER.findall(text)) < m["word_chars"]
+def _letters(p: Page) -> bool:
+    return 2 * len(_LETTER.findall(p.text)) < p.m["word_chars"]
 
 
-def _one_word(text: str, m: dict[str, int]) -> bool:
-    words = text.encode("utf-8", "replace").split()
-    return bool(words) and 10 * max(Counter(words).values()) > 4 * len(words)
+def _one_word(p: Page) -> bool:
+    return bool(p.words) and 10 * max(Counter(p.words).values()) > 4 * len(p.words)
 
 
-def _stutter(text: str, m: dict[str, int]) -> bool:
-    words = text.encode("utf-8", "replace").split()
-    return 10 * sum(map(bytes.__eq__, words, words[1:])) > 3 * len(words)
+def _stutter(p: Page) -> bool:
+    return 10 * sum(map(bytes.__eq__, p.words, p.words[1:])) > 3 * len(p.words)
 
 
 #: Name and test of every rule; a test says whether it rejects.
-RULES: dict[str, Callable[[str, dict[str, int]], bool]] = {
+RULES: dict[str, Callable[[Page], bool]] = {
     "symbols": _symbols, "word_length": _word_length, "repeated_lines": _lines, "shouting": _shouting, "capitals": _capitals, "letters": _letters, "one_word": _one_word, "stutter": _stutter,
 }
 
 
 def estimate(texts: list[str]) -> list[tuple[str, float, float]]:
-    """(rule, seconds a character, rejected share) on a sample, best rejection per cost first."""
+    """(rule, seconds a character, share that it rejects of what is left) on a sample, in the order to run them."""
     found = measures(pa.array(texts, pa.string()))
-    each = [{k: int(v[i]) for k, v in found.items()} for i in range(len(texts))]
-    size = max(1, sum(map(len, texts)))
-    out = []
+    pages = [Page(texts[i], {k: int(v[i]) for k, v in found.items()}) for i in np.flatnonzero(~base_failed(found))]
+    size = max(1, sum(len(p.text) for p in pages))
+    costs, rejects = {}, {}
     for name, rule in RULES.items():
         began = time.perf_counter()
-        rejected = sum(rule(t, m) for t, m in zip(texts, each, strict=True))
-        out.append((name, (time.perf_counter() - began) / size, rejected / max(1, len(texts))))
-    return sorted(out, key=lambda x: (-(x[2] + 1e-4) / (x[1] + 1e-12), x[0]))
+        rejects[name] = np.array([rule(Page(p.text, p.m)) for p in pages], bool)
+        costs[name] = (time.perf_counter() - began) / size + 1e-12
+    left, order = np.ones(len(pages), bool), []
+    while len(order) < len(RULES):
+        share = {n: (rejects[n] & left).sum() / max(1, left.sum()) for n in RULES if n not in {x[0] for x in order}}
+        best = min(share, key=lambda n: (-(share[n] + 1e-4) / costs[n], n))
+        order.append((best, costs[best], float(share[best])))
+        left &= ~rejects[best]
+    return order
 
 
 def _apply(order: list[str], only_kept: bool, columns: list[str]):
@@ -138,8 +156,8 @@ def _apply(order: list[str], only_kept: bool, columns: list[str]):
                 failed = base_failed(m)
                 kept = ~failed
                 for i in np.flatnonzero(kept):
-                    text, own = part["text"][int(i)].as_py(), {k: int(v[i]) for k, v in m.items()}
-                    kept[i] = not any(RULES[name](text, own) for name in order)
+                    page = Page(part["text"][int(i)].as_py(), {k: int(v[i]) for k, v in m.items()})
+                    kept[i] = not any(RULES[name](page) for name in order)
                 if only_kept:
                     yield pa.RecordBatch.from_arrays([part[n].filter(pa.array(kept)) for n in columns], columns)
                 else:
@@ -148,12 +166,9 @@ def _apply(order: list[str], only_kept: bool, columns: list[str]):
     return run
 
 
-def cascade(docs: DataFrame, sample: int = SAMPLE, seed: int = 11) -> list[str]:
+def cascade(docs: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> list[str]:
     """The rules in the order that the sample suggests."""
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    n = docs.select("doc_id").count()
-    drawn = texts.sample(min(1.0, sample / n), seed).limit(2 * sample).collect() if n else []
-    return [name for name, _, _ in estimate([r["text"] for r in drawn])]
+    return [name for name, _, _ in estimate(c.sampled_texts(docs, sample, most_bytes))]
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -164,7 +179,10 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that no rule rejects, with their columns."""
+    """The rows of docs that no rule rejects, with their columns, whatever their names.
+
+    A null or empty text is rejected; repeated rows are judged alike; an empty table stays empty.
+    """
     return docs.mapInArrow(c.lean(_apply(cascade(docs), True, docs.columns)), docs.schema)
 
 

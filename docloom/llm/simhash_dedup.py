@@ -15,7 +15,8 @@ Equal fingerprints are one node, so copies cost nothing.  Groups are connected c
 
 Defined cases: null or blank text has fingerprint 0 and is linked like any other; fewer words than a shingle: the words are one
 shingle; rows with a repeated or null doc_id are documents of their own, and of a component of null ids the id is null; ties: the
-smallest doc_key stands for a group; an empty table gives no rows; other columns are ignored.
+smallest doc_key stands for a group; an empty table gives no rows; a very long text is hashed whole, some shingles at a time; other columns are
+ignored (``keep_one`` returns them).
 """
 
 from __future__ import annotations

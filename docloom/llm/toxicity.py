@@ -6,12 +6,13 @@ softmax over the text's vector gives two probabilities.  Table and softmax are t
 a misspelling that training never saw has most of its n-grams' rows from words that it did see.
 
 Training fits on a bounded sample of labelled rows: at most SAMPLE toxic and 2 * SAMPLE other ones of those whose crc32 of the
-doc_id's digits mod FOLDS isn't 0, by least hash of the doc_id.  Labels are not used elsewhere; the score of a text depends on
+doc_id's digits mod FOLDS isn't 0, by least hash of the doc_id, and of these as many as have SAMPLE_BYTES of text.  Labels are not used elsewhere; the score of a text depends on
 the text alone.  The model has BUCKETS numbers once trained (the softmax applied to every row), whatever the input's size, and
 goes to the executors as one broadcast; scoring is one pass without a shuffle.
 
 Defined cases: null text is empty; an empty text has the score of the bias alone; equal texts have equal scores; labels with null
-toxic or doc_id are not used; without labels of both classes every score is the share of toxic labels (0 if there are
+toxic or doc_id are not used; a doc_id that is labelled both ways is toxic, one with several texts gives its least text; a very long text is
+scored whole; without labels of both classes every score is the share of toxic labels (0 if there are
 none); an empty table gives no rows; other columns are ignored.
 """
 
@@ -31,7 +32,7 @@ BUCKETS = 1 << 17
 DIM = 8
 #: Passes over the sample: the least, the most, and steps that a small sample's passes should add up to.
 EPOCHS, MOST_EPOCHS, STEPS = 6, 40, 30_000
-SAMPLE = 2500
+SAMPLE, SAMPLE_BYTES = 2500, 48 << 20
 FOLDS = 5
 #: Words that a Python worker remembers.
 CACHE_WORDS = 300_000
@@ -136,8 +137,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
         return np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share)))
     by_id = dict(sorted(chosen))
     ids = docs.sparkSession.createDataFrame([(d,) for d in by_id], "wanted long")  # at most 3 * sample longs
-    rows = docs.join(F.broadcast(ids), docs["doc_id"] == ids["wanted"]).select("wanted", F.coalesce("text", F.lit("")).alias("text")).collect()
-    rows = sorted((r["wanted"], r["text"]) for r in rows)
+    found = docs.join(F.broadcast(ids), docs["doc_id"] == ids["wanted"]).groupBy("wanted").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    found = c.checkpointed(found.select("wanted", "text", F.xxhash64("wanted").alias("h"), F.octet_length("text").alias("size")))
+    sizes = found.select("h", "wanted", "size").orderBy("h", "wanted").collect()  # three numbers a row
+    fits = int(np.searchsorted(np.cumsum([r["size"] for r in sizes]), SAMPLE_BYTES, "right"))
+    rows = [(r["wanted"], r["text"]) for r in found.orderBy("h", "wanted").limit(max(1, fits)).collect()]
+    rows.sort()
     return train([t for _, t in rows], [by_id[d] for d, _ in rows])
 
 

@@ -240,12 +240,51 @@ def test_quality(docs):
         r = got[d]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == quality_rules.brute(t), d
         text, m = t or "", {k: r[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
-        assert r.kept == (not r.base_failed and not any(rule(text, m) for rule in quality_rules.RULES.values()))
+        assert r.kept == (not r.base_failed and not any(rule(quality_rules.Page(text, m)) for rule in quality_rules.RULES.values()))
+
+
+def plain_verdict(text):
+    """The rules in plain Python, each from the text alone."""
+    import re
+
+    words_ = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n, chars = len(words_), sum(map(len, words_))
+    lines = text.split("\n")
+    dup = sum(x in lines[:i] and bool(x.strip(" \t\r\x0b\x0c")) for i, x in enumerate(lines))
+    letters = sum(x.isalpha() for x in text)
+    return not (
+        10 * len(re.findall(r"[#*$%&|<>]", text)) > 3 * n or chars < 2 * n or chars > 20 * n or (dup >= 3 and 10 * dup > 3 * len(lines)) or 10 * len(re.findall(r"!!+|\?\?+", text)) > 2 * n
+        or sum(x.isupper() for x in text) > sum(x.islower() for x in text) or 2 * letters < chars or (n and 10 * max(words_.count(w) for w in set(words_)) > 4 * n) or 10 * sum(a == b for a, b in zip(words_, words_[1:], strict=False)) > 3 * n
+    )
+
+
+def test_verdicts_by_hand(spark):
+    rng = random.Random(21)
+    odd = ["#", "$$", "LOUD", "what??", "no!!", "1234", "a", "x" * 30, "word", "word", "Plain", "été"]
+    rows = []
+    for i in range(300):
+        own = rng.sample(odd, rng.randrange(1, 7))
+        rows.append((i, " ".join(rng.choice(own if rng.random() < 0.6 else [f"w{rng.randrange(400)}ord"]) + ("\n" if rng.random() < 0.1 else "") for _ in range(rng.randrange(20, 60)))))
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = [d for d, t in rows if not got[d].base_failed and plain_verdict(t)]
+    assert [d for d, _ in rows if got[d].kept] == kept and 0 < len(kept) < sum(not r.base_failed for r in got.values())
 
 
 def test_rule_order_follows_the_sample():
-    junk = ["w### x$$$ y*** " * 20] * 9 + ["plain words here now " * 20]
-    assert quality_rules.estimate(junk)[0][0] == "symbols" or quality_rules.estimate(junk)[0][2] >= 0.9
+    rng = random.Random(4)
+    prose = lambda: " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(60))
+    texts = [" ".join(x + "###" for x in prose().split()) for _ in range(60)] + [prose() for _ in range(20)]
+    order = quality_rules.estimate(texts)
+    assert sorted(x[0] for x in order) == sorted(quality_rules.RULES) and order[0][0] == "symbols" and order[0][2] == 0.75
+    assert all(x[2] == 0 for x in order[1:])  # of what symbols leaves, nothing is rejected
+
+
+def test_samples_are_bounded_in_bytes(spark, docs):
+    sizes = sorted(len((t or "").encode()) for _, t in ROWS)
+    assert len(common.sampled_texts(docs, 10, 1 << 30)) == 10
+    some = common.sampled_texts(docs, 1000, 20_000)
+    assert sum(len(x.encode()) for x in some) <= 20_000 and some == common.sampled_texts(docs.repartition(3), 1000, 20_000)
+    assert len(common.sampled_texts(docs, 1000, 0)) == 1 and len(common.sampled_texts(docs, 1000, sum(sizes))) == len(ROWS)
 
 
 def test_mixing(docs):
@@ -678,6 +717,29 @@ def test_stages_with_clashing_names_and_odd_rows(spark, docs, odd, empty, name):
     assert stage(spark, empty, "").count() == 0
 
 
+def test_very_long_texts(spark):
+    """Two texts beyond a piece, one of them mostly a copy of the other."""
+    rng = random.Random(40)
+    base = " ".join(f"w{rng.randrange(10**7)}" for _ in range(600_000))
+    rows = [(1, base), (2, "before " + base[:4_000_000] + " after"), (3, "short")]
+    assert len(base) > common.PIECE_BYTES
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
+    own = {d: len(t.split()) for d, t in rows}
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.dedup_substrings(docs).collect()}
+    same = len(base[:4_000_000].rsplit(" ", 1)[0].split())
+    assert got[1] == (own[1], 0) and got[2][0] == own[2] and got[2][1] in (same, same + 1) and got[3] == (1, 0)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.dedup_suffixes(docs).collect()}
+    assert got[1] == (len(base), 4_000_000, 1) and got[2][1:] == (4_000_000, 1) and got[3] == (5, 0, 0)
+    judged = {r.doc_id: r.n_words for r in quality_rules.judge(docs).collect()}
+    assert judged == own and {r.doc_id: r.size for r in mixing.mix(docs).collect()} == own
+    assert {r.doc_id: r.n_tokens for r in language_model.score(docs).collect()} == {d: n + 1 for d, n in own.items()}
+    pieces = packing.pack(docs).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    folder = common.new_folder(spark, "long")
+    token_store.write_store(docs, folder)
+    assert {r.doc_key: r.n_tokens for r in token_store.read_store(spark, folder).collect()} == {r.doc_id: r.n for r in pieces}
+    assert len(fingerprints.compare(docs).collect()) == len(simhash_dedup.simhash_groups(docs).collect()) == 3
+
+
 def test_facts_in_more_buckets_than_tasks(spark, docs, monkeypatch):
     monkeypatch.setattr(common, "MOST_TASKS", 3)
     monkeypatch.setattr(common, "BUCKET_BYTES", 4000)
