@@ -191,6 +191,27 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d),
+i AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8),
+k AS (SELECT i.doc_id, i.i, array_to_string(w[i.i : i.i + 7], ' ') AS k FROM i JOIN d ON d.doc_id = i.doc_id),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS n FROM k) WHERE n > 1),
+repeats AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) AS j FROM again) GROUP BY 1),
+most AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, word, count(*) AS n FROM words GROUP BY ALL) GROUP BY 1),
+twice AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, word, lag(word) OVER (PARTITION BY doc_id ORDER BY j) AS was FROM words) WHERE word = was GROUP BY 1),
+dup AS (SELECT doc_id, CAST(sum(n - 1) AS BIGINT) AS n FROM (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(lines) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL) GROUP BY 1),
+m AS (
+  SELECT d.doc_id, t, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(repeats.n, 0) AS BIGINT) AS n_repeat_words, coalesce(most.n, 0) AS most, coalesce(twice.n, 0) AS twice
+  FROM d LEFT JOIN dup ON dup.doc_id = d.doc_id LEFT JOIN repeats ON repeats.doc_id = d.doc_id LEFT JOIN most ON most.doc_id = d.doc_id LEFT JOIN twice ON twice.doc_id = d.doc_id),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR 10 * n_symbols > 3 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines)
+  OR 10 * len(regexp_extract_all(t, '!{2,}|\?{2,}')) > 2 * n_words OR len(regexp_extract_all(t, '\p{Lu}')) > len(regexp_extract_all(t, '\p{Ll}')) OR 2 * len(regexp_extract_all(t, '[\p{L}\p{Nl}\p{No}]')) < word_chars OR 10 * most > 4 * n_words OR 10 * twice > 3 * n_words) AS kept
+FROM b
+"""
+
+
 def brute(text: str | None) -> tuple:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) in plain Python (for tests)."""
     text = text or ""
