@@ -16,4 +16,4 @@ QUERIES = {
     "op9_fingerprints": fingerprints.op9,
     "op10_pattern_packing": packing.op10,
 }
-ORACLE_SQL = {"op1_substring_dedup": substring_dedup.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op5_source_mixing": mixing.ORACLE}
+ORACLE_SQL = {"op1_substring_dedup": substring_dedup.ORACLE, "op3_suffix_dedup": suffix_dedup.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op5_source_mixing": mixing.ORACLE}

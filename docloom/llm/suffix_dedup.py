@@ -417,6 +417,23 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+ORACLE = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+i AS (SELECT doc_id, unnest(range(1, CAST(octet_length(b) AS BIGINT) - 198)) AS i FROM d WHERE octet_length(b) >= 200),
+k AS (SELECT i.doc_id, i.i, b[i.i : i.i + 199] AS s FROM i JOIN d ON d.doc_id = i.doc_id),
+often AS (SELECT s FROM k GROUP BY s HAVING count(*) > 1),
+again AS (SELECT doc_id, i FROM k JOIN often USING (s)),
+edges AS (SELECT *, CASE WHEN i - lag(i) OVER w <= 200 THEN 0 ELSE 1 END AS new FROM again WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 199 AS z FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM edges) GROUP BY doc_id, run),
+gaps AS (
+  SELECT doc_id, coalesce(lag(z) OVER w, 0) + 1 AS a, runs.a - 1 AS z FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY runs.a)
+  UNION ALL SELECT d.doc_id, coalesce(max(z), 0) + 1, CAST(octet_length(any_value(b)) AS BIGINT) FROM d LEFT JOIN runs ON runs.doc_id = d.doc_id GROUP BY d.doc_id),
+kept AS (SELECT gaps.doc_id, string_agg(hex(b[gaps.a : gaps.z]), '' ORDER BY gaps.a) AS h FROM gaps JOIN d ON d.doc_id = gaps.doc_id WHERE gaps.a <= gaps.z GROUP BY gaps.doc_id),
+gone AS (SELECT doc_id, CAST(sum(z - a + 1) AS BIGINT) AS n, count(*) AS spans FROM runs GROUP BY doc_id)
+SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(gone.n, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(h, ''))) AS kept_sha256 FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+
 def brute(rows: list[tuple[int, str | None]], span: int = SPAN) -> list[tuple]:
     """What op3 must return, from all strings in plain Python (for tests)."""
     texts = {d: (t or "").encode() for d, t in rows}
