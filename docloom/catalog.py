@@ -209,7 +209,7 @@ def generic_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return children.select("document_id", t.heading_joined(F.col("heading_path")).alias("heading"), "child_index", "chunk_type", F.size("source_block_ids").cast("long").alias("n_blocks"), "text", "token_count")
 
 
-@query(f"""WITH {_PARTS} SELECT document_id, heading AS title, left(sha256('parent:' || document_id || ':' || left(sha256('template-section:' || document_id || ':' || heading), 32)), 32) AS parent_id, string_agg(text, chr(10) || chr(10) ORDER BY i) AS text FROM blocks GROUP BY document_id, heading""")
+@query(f"""WITH {_PARTS} SELECT document_id, heading AS title, left(sha256('parent:' || document_id || ':' || left(sha256('section:' || document_id || ':' || heading), 32)), 32) AS parent_id, string_agg(text, chr(10) || chr(10) ORDER BY i) AS text FROM blocks GROUP BY document_id, heading""")
 def generic_parents(spark: SparkSession, sf: str) -> DataFrame:
     return templates.chunk(text_blocks(_decorated(spark, sf, _book_line)), "generic_structured")[0].select("document_id", "title", "parent_id", "text")
 

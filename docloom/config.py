@@ -72,6 +72,19 @@ def priority_from(environment: Mapping[str, str], name: str = "DOCLOOM_PARSER_PR
     return tuple(x for x in asked if x in PARSERS[:3]) or PARSERS[:3]
 
 
+def setting_from(environment: Mapping[str, str], name: str, default: bool | int | float) -> bool | int | float:
+    """A switch or number of the environment, by the kind of its default; what isn't one is the default."""
+    raw = environment.get(name)
+    if raw is None:
+        return default
+    if isinstance(default, bool):
+        return raw.strip().lower() in ("1", "true", "yes", "on")
+    try:
+        return type(default)(raw)
+    except ValueError:
+        return default
+
+
 def parsers_for(path: str, parser: str = "auto", priority: tuple[str, ...] = ("docling", "mineru", "pypdf")) -> list[str]:
     """Engines to try for a file, in order."""
     suffix = path.lower().rpartition(".")[2] if "." in path else ""

@@ -95,12 +95,13 @@ def heading_joined(path: Column) -> Column:
     return F.array_join(path, " > ")
 
 
-def with_heading(body: Column, path: Column) -> Column:
-    """A chunk's text: its heading path, unless the body opens with it (or with its deepest part), then the body."""
+def with_heading(body: Column, path: Column, prefix: str = "") -> Column:
+    """A chunk's text: its heading path, unless the body opens with it (or with its deepest part), a prefix that the body doesn't hold, then the body."""
     deepest = F.when(F.size(path) > 0, strip(F.element_at(path, -1))).otherwise(F.lit(""))
     parents = heading_joined(F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(0))))
     heading = F.when((deepest != "") & F.startswith(body, deepest), parents).otherwise(F.when(F.startswith(body, heading_joined(path)), F.lit("")).otherwise(heading_joined(path)))
-    return strip(F.when(strip(heading) != "", F.concat(strip(heading), F.lit("\n\n"), strip(body))).otherwise(body))
+    parts = [strip(heading), *([F.when(~body.contains(prefix), F.lit(prefix.strip())).otherwise("")] if prefix.strip() else []), strip(body)]
+    return strip(F.array_join(F.filter(F.array(*parts), lambda x: x != ""), "\n\n"))
 
 
 def table_markdown(rows: Column) -> Column:

@@ -203,10 +203,10 @@ def _chunked(items: DataFrame, source: str, max_tokens: int) -> DataFrame:
 
 
 def content_list_chunks(items: DataFrame, max_tokens: int = 400) -> DataFrame:
-    """Flat chunks of a content list's items: titles and tables (caption and body) alone, text packed; a chunk's kind is its last item's."""
+    """Flat chunks of a content list's items: titles and tables (caption, body and footnote) alone, text packed; a chunk's kind is its last item's."""
     raw = F.col("kind")
     kind = F.when(raw.isin("title", "heading"), "title").when(raw == "table", "table").when(raw.isin("list", "list_item"), "list_item").when(raw.contains("equation") | raw.contains("formula"), "formula").otherwise("text")
-    table = F.array_join(F.array_compact(F.array(F.col("caption"), F.nullif("raw_text", F.lit("")))), "\n\n")
+    table = F.array_join(F.array_compact(F.array(F.col("caption"), F.nullif("raw_text", F.lit("")), F.col("footnote"))), "\n\n")
     text = F.when(raw == "table", table).otherwise(t.strip(F.col("raw_text")))
     rows = items.select("document_id", "pos", kind.alias("kind"), "level", text.alias("title"), text.alias("text"), "page_number", F.lit("\n\n").alias("joint"))
     return _chunked(rows.filter("text <> ''"), "mineru", max_tokens)

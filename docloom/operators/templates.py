@@ -236,15 +236,20 @@ def chunk(blocks: DataFrame, template: str, config: ChunkConfig = ChunkConfig())
 def chunk_typed(blocks: DataFrame, config: ChunkConfig = ChunkConfig(), names: tuple[str, ...] = TEMPLATES) -> tuple[DataFrame, DataFrame]:
     """(parents, children) of settled blocks with the ``template`` that each document goes by."""
     groups = planned(blocks, names, config)
-    key = ids.stable_hash("template-section", F.col("document_id"), F.col("parent_title"))
-    groups = groups.withColumn("parent_id", ids.parent_id(F.col("document_id"), key)).withColumn("section_key", key)
     all_of = lambda name: F.transform("units", lambda x: x[name])
-    front = F.element_at(F.filter(all_of("front"), lambda x: x.isNotNull()), -1)
-    groups = groups.withColumn("title", F.when(F.size(F.filter(all_of("front"), lambda x: x.isNotNull())) > 0, front).otherwise(F.col("parent_title")))
+    fronts = F.filter(all_of("front"), lambda x: x.isNotNull())
+    title = F.when(F.size(fronts) > 0, F.get(fronts, F.size(fronts) - 1)).otherwise(F.col("parent_title"))
+    # a generic parent is a section of the document; those of other templates have keys of their own
+    generic, depth = F.col("template") == "generic_structured", 1 if config.parent_granularity == "chapter" else 2
+    section = F.slice(F.col("units")[0]["heading_path"], 1, depth)
+    groups = groups.withColumn("parent_path", F.when(generic & (F.size(section) > 0), section).otherwise(F.array(title)))
+    own = ids.stable_hash("template-section", F.col("document_id"), F.col("parent_title"))
+    groups = groups.withColumn("section_key", F.when(generic, ids.section_id(F.col("document_id"), F.col("parent_path"))).otherwise(own))
+    groups = groups.withColumn("parent_id", ids.parent_id(F.col("document_id"), F.col("section_key"))).withColumn("title", F.element_at("parent_path", -1))
     groups = groups.withColumn("parent_order", F.struct(F.col("units")[0]["page_number"].alias("page_number"), F.col("units")[0]["reading_order"].alias("reading_order")))
     text = F.when(F.col("template") == "generic_structured", F.array_join(all_of("text"), "\n\n")).otherwise(F.array_join(all_of("body"), "\n\n"))
     parents = groups.select(
-        "document_id", "parent_id", F.col("section_key").alias("section_id"), "title", F.array("title").alias("heading_path"), text.alias("text"),
+        "document_id", "parent_id", F.col("section_key").alias("section_id"), "title", F.col("parent_path").alias("heading_path"), text.alias("text"),
         F.array_min(all_of("page_number")).alias("page_start"), F.array_max(all_of("page_number")).alias("page_end"), all_of("block_id").alias("source_block_ids"), "parent_order",
     )
     each = groups.select("document_id", "template", "parent_id", "title", "parent_order", F.posexplode(F.arrays_zip("listed", "numbers")).alias("pos", "x")).select("document_id", "template", "parent_id", "title", "parent_order", "pos", F.col("x.numbers").alias("child_no"), "x.listed.*")

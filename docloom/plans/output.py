@@ -45,7 +45,7 @@ def write_json(package: Package, folder: str, **options) -> None:
 
 #: Fields that a child's metadata has, by template.
 _METADATA = {
-    "contract_terms": ("article", "template_rule"), "laws": ("article", "template_rule"), "qa": ("answer", "question", "template_rule"), "table_data": ("columns", "row_end", "row_start", "sheet_name", "template_rule"),
+    "contract_terms": ("article", "template_rule"), "laws": ("article", "template_rule"), "paper": ("section", "template_rule"), "qa": ("answer", "question", "template_rule"), "table_data": ("columns", "row_end", "row_start", "sheet_name", "template_rule"),
 }
 
 

@@ -22,7 +22,7 @@ TYPES = {
 }
 HEADINGS, FIGURES = ("title", "heading", "section_header"), ("image", "figure", "picture")
 
-_SHAPED = f"document_id string, pos int, page_number int, block_type string, raw_text string, markdown string, html string, caption string, level int, given array<string>, bbox {boxes.BOX}, confidence double, width double, height double, kind string"
+_SHAPED = f"document_id string, pos int, page_number int, block_type string, raw_text string, markdown string, html string, caption string, level int, given array<string>, bbox {boxes.BOX}, confidence double, width double, height double, kind string, footnote string"
 _NAMES = [x.split()[0] for x in _SHAPED.replace(boxes.BOX, "box").split(", ")]
 
 
@@ -93,7 +93,7 @@ def _content_item(item: dict) -> dict:
     width, height = boxes.page_size_of(item.get("page_size") or item.get("page_info") or item)
     return {
         "page_number": _page(item), "block_type": kind, "raw_text": markdown or _text_of(item, ("text", "content", "md", "markdown")), "markdown": markdown, "html": html, "caption": " ".join(x for x in (_words(item.get(n), " ") for n in captions) if x) or None,
-        "level": _level(item, "text_level", "level"), "given": [], "bbox": boxes.coerce(item), "confidence": next((x for x in (boxes.number(item.get(n)) for n in ("confidence", "score", "prob")) if x is not None), None), "width": width, "height": height, "kind": name.lower(),
+        "level": _level(item, "text_level", "level"), "given": [], "bbox": boxes.coerce(item), "confidence": next((x for x in (boxes.number(item.get(n)) for n in ("confidence", "score", "prob")) if x is not None), None), "width": width, "height": height, "kind": name.lower(), "footnote": next((x for x in (_words(item.get(n), " ") for n in ("table_footnote", "footnote")) if x), None),
     }
 
 
@@ -109,7 +109,7 @@ def _exported_item(item: dict) -> dict:
     return {
         "page_number": next((p for p in (_whole(x, "page_no", "page", "page_number") for x in places) if p is not None), 1), "block_type": kind, "raw_text": text, "markdown": markdown if kind == "table" or markdown != text else None, "html": html if kind == "table" else None,
         "caption": " ".join(x for x in (_words(item.get(n), " ") for n in ("caption", "captions")) if x) or None, "level": _level(item, "level", "text_level"), "given": [str(x).strip() for x in meta.get("headings") or [] if str(x).strip()],
-        "bbox": next((b for b in map(boxes.coerce, places) if b), None), "confidence": None, "width": None, "height": None, "kind": name.lower(),
+        "bbox": next((b for b in map(boxes.coerce, places) if b), None), "confidence": None, "width": None, "height": None, "kind": name.lower(), "footnote": None,
     }
 
 

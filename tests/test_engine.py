@@ -357,6 +357,19 @@ def test_questions_and_answers(spark):
     assert [(c.question, c.answer) for c in got] == [(None, None), ("what is it?", "a thing of note.\n\nmore of it"), ("为何", "因为")]
 
 
+def test_sections_as_parents(spark):
+    found = [block(0, "heading", "1 Part"), block(1, "paragraph", "text."), block(2, "heading", "1.1 Sub"), block(3, "paragraph", "more.")]
+    for granularity, want in (("chapter", [("1 Part", ["1 Part"], 4)]), ("section", [("1 Part", ["1 Part"], 2), ("1.1 Sub", ["1 Part", "1.1 Sub"], 2)])):
+        got = package_of(spark, *found, config=ChunkConfig(template="generic_structured", parent_granularity=granularity, child_min_tokens=0))
+        assert sorted((p.title, p.heading_path, len(p.source_block_ids)) for p in got.parents.collect()) == want
+        assert got.parents.join(got.sections, ["document_id", "section_id"], "left_anti").count() == 0
+
+
+def test_prefix_of_a_chunk(spark):
+    text = lambda body, prefix: spark.createDataFrame([(body, ["A", "B"])], "b string, p array<string>").select(t.with_heading(F.col("b"), F.col("p"), prefix).alias("x")).first().x
+    assert text("body", "Note") == "A > B\n\nNote\n\nbody" and text("B body Note", "Note") == "A\n\nB body Note" and text("A > B body", "") == "A > B body"
+
+
 def test_requested_and_declared_types(spark):
     found = made(spark, block(0, "paragraph", "Abstract"), block(1, "table", "t"), block(2, "table", "u"))
     one_ = lambda df: (df.first().document_type, round(df.first().confidence, 2), df.first().signals)
@@ -406,10 +419,12 @@ def test_warning_groups_are_ordered(spark):
 
 
 def test_requests_are_checked():
-    from docloom.config import FlatConfig, check_request, priority_from
+    from docloom.config import FlatConfig, check_request, priority_from, setting_from
 
     assert check_request("a.MD", template="qa").template == "qa"
     for bad in (lambda: check_request("a.exe"), lambda: check_request(""), lambda: check_request("a.md", colour="red"), lambda: check_request("a.md", parser="x"), lambda: FlatConfig(chunk_size_tokens=100, overlap_tokens=100), lambda: FlatConfig(min_chunk_tokens=501)):
         with pytest.raises(ValueError):
             bad()
+    env = {"A": "Yes", "B": "0", "C": "7", "D": "x", "E": "0.5"}
+    assert [setting_from(env, k, d) for k, d in (("A", False), ("B", True), ("C", 1), ("D", 3), ("E", 1.0), ("F", True))] == [True, False, 7, 3, 0.5, True]
     assert priority_from({}) == ("docling", "mineru", "pypdf") and priority_from({"DOCLOOM_PARSER_PRIORITY": "PyPDF, x,mineru"}) == ("pypdf", "mineru")

@@ -46,7 +46,7 @@ CONTENT_LIST = [
     {"type": "section_header", "text": "Part\nmore", "level": 2, "page_idx": 0},
     {"type": "text", "content": ["one", "", "two"], "page_idx": 1, "confidence": "0.5"},
     {"type": "table", "table_caption": ["Table 1", "x"], "table_body": "<table><tr><th>K</th><th>V &eacute;</th></tr><tr><td>a|b</td><td> 1 <b>2</b></td></tr></table>", "page_idx": 1},
-    {"type": "table", "table_body": [["h", 1], ["x"]], "page_no": 3},
+    {"type": "table", "table_body": [["h", 1], ["x"]], "page_no": 3, "table_footnote": ["note", "here"]},
     {"type": "image", "img_caption": "Fig", "page_idx": 1},
     {"type": "picture", "page_idx": 4},
     {"type": "list", "text": "- a", "page_idx": 1},
@@ -73,7 +73,7 @@ def test_content_list_chunks(spark):
     got = rows(flat.content_list_chunks(layout.content_list(files), 50).orderBy("chunk_index"), "chunk_index", "content_type", "page_number", "section")
     assert got == [(0, "title", 1, "Chapter 1"), (1, "text", 1, "Chapter 1"), (2, "table", 2, "Chapter 1"), (3, "table", 3, "Chapter 1"), (4, "text", 2, "Chapter 1"), (5, "text", 1, "Chapter 1"), (6, "formula", 1, "Chapter 1")]
     tables = [r.text for r in flat.content_list_chunks(layout.content_list(files), 50).filter("content_type = 'table'").orderBy("chunk_index").collect()]
-    assert tables[0].startswith("Table 1 x\n\n| K |") and tables[1].startswith("| h |")
+    assert tables[0].startswith("Table 1 x\n\n| K |") and tables[1] == "| h | 1 |\n| --- | --- |\n| x |  |\n\nnote here"
 
 
 def test_exported_document(spark):
