@@ -588,3 +588,35 @@ def package_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     """Whole packages, without ids."""
     package = chunking.chunk_package(text_blocks(_decorated(spark, sf, _manual_line))).materialize()
     return output.snapshot(package).select("document_id", F.to_json("snapshot").alias("snapshot"))
+
+
+_OFFSETS_SQL = r"""p AS (SELECT CAST(conv_id AS VARCHAR) AS document_id, CAST(turn + 1 AS INTEGER) AS page_number, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS body FROM conversations),
+g AS (SELECT *, CASE WHEN body <> '' AND last_value(CASE WHEN body <> '' THEN regexp_matches(body, '[。！？；.!?;）)」』"]$') END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 2 ELSE 0 END AS gap FROM p),
+e AS (SELECT *, sum(gap + length(body)) OVER (PARTITION BY document_id ORDER BY page_number) AS stop FROM g)"""
+
+
+@query(f"WITH {_OFFSETS_SQL} SELECT document_id, sha256(string_agg(repeat(chr(10), gap) || body, '' ORDER BY page_number)) AS digest FROM g GROUP BY 1")
+def joined_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return legacy.joined_pages(_pages(spark, sf)).select("document_id", F.sha2("text", 256).alias("digest"))
+
+
+@query(f"""WITH {_OFFSETS_SQL}, d AS (SELECT document_id, max(stop) AS size, max(page_number) AS last FROM e GROUP BY 1), x AS (SELECT document_id, last, unnest(range(0, CAST(size AS BIGINT) + 60, 30)) AS at FROM d)
+SELECT x.document_id, x.at, coalesce(min(e.page_number), any_value(x.last)) AS page_number FROM x LEFT JOIN e ON e.document_id = x.document_id AND x.at >= e.stop - length(e.body) AND x.at < e.stop GROUP BY x.document_id, x.at""")
+def page_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The page of every thirtieth character, and of some beyond the end."""
+    offsets = legacy.page_offsets(_pages(spark, sf))
+    points = offsets.groupBy("document_id").agg(F.max("end").alias("size")).select("document_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") + 59) / 30) * 30, F.lit(30).cast("long"))).alias("at"))
+    return legacy.page_of(points, offsets).select("document_id", "at", "page_number")
+
+
+@query()
+def paged_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as pages, their paragraphs packed."""
+    return legacy.paged_chunks(_pages(spark, sf), 100)
+
+
+@query("""WITH n AS (SELECT CAST(conv_id AS VARCHAR) AS document_id, turn, count(*) OVER (PARTITION BY conv_id) AS pages FROM conversations), b AS (SELECT document_id, turn + 1 AS page, pages, unnest([0, 2, 3]) AS i FROM n),
+k AS (SELECT document_id, page, i, CASE i WHEN 0 THEN 'Report CONFIDENTIAL' WHEN 2 THEN 'See you on page ' || page || ' ....... 7' ELSE CAST(page AS VARCHAR) END AS text FROM b WHERE i > 0 OR pages >= 2), r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page, i) AS rn FROM k)
+SELECT document_id, count(*) AS removed, string_agg(text, ',' ORDER BY rn) FILTER (rn <= 5) AS examples FROM r GROUP BY 1""")
+def noise_examples(spark: SparkSession, sf: str) -> DataFrame:
+    return noise.removed(noise.mark_noise(_page_blocks(spark, sf))).select("document_id", "removed", F.array_join("examples", ",").alias("examples"))

@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from docloom.functions import text as t
+from docloom.functions import paths, text as t
+
+
+def _placed(pages: DataFrame) -> DataFrame:
+    """pages with body (the stripped text), gap (line ends before it), and where it ends in the joined text."""
+    order = Window.partitionBy("document_id").orderBy("page_number")
+    body = pages.withColumn("body", t.strip(F.coalesce("text", F.lit(""))))
+    ended = t.matches(F.col("body"), r"[。！？；.!?;）)」』\"]\z")
+    last = F.last(F.when(F.col("body") != "", ended), True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    sized = body.withColumn("gap", F.when((F.col("body") != "") & last, 2).otherwise(0))
+    return sized.withColumn("end", F.sum(F.col("gap") + F.length("body")).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
 
 
 def page_offsets(pages: DataFrame) -> DataFrame:
@@ -12,14 +22,13 @@ def page_offsets(pages: DataFrame) -> DataFrame:
 
     A page that ends a sentence is followed by a blank line, another runs on; a blank page is an empty range.
     """
-    order = Window.partitionBy("document_id").orderBy("page_number")
-    body = pages.withColumn("body", t.strip(F.coalesce("text", F.lit(""))))
-    ended = t.matches(F.col("body"), r"[。！？；.!?;）)」』\"]\z")
-    last = F.last(F.when(F.col("body") != "", ended), True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    gap = F.when((F.col("body") != "") & last, 2).otherwise(0)
-    sized = body.withColumn("gap", gap).withColumn("size", F.length("body").cast("long"))
-    end = F.sum(F.col("gap") + F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return sized.select("document_id", "page_number", (end - F.col("size")).alias("start"), end.alias("end"))
+    return _placed(pages).select("document_id", "page_number", (F.col("end") - F.length("body")).alias("start"), "end")
+
+
+def joined_pages(pages: DataFrame) -> DataFrame:
+    """(document_id, text): pages' texts as page_offsets() places them."""
+    parts = F.sort_array(F.collect_list(F.struct("page_number", "gap", "body")))
+    return _placed(pages).groupBy("document_id").agg(F.array_join(F.transform(parts, lambda x: F.concat(F.repeat(F.lit("\n"), x["gap"]), x["body"])), "").alias("text"))
 
 
 def page_of(points: DataFrame, offsets: DataFrame) -> DataFrame:
@@ -44,14 +53,14 @@ def sliding_windows(docs: DataFrame, size: int = 400, overlap: int = 100) -> Dat
 
 def paragraph_numbers(units, budget: int):
     """Chunk number of each paragraph's token count by greedy packing (counts are summed as they are)."""
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<int>").alias("out"))
+    start = F.struct(F.lit(-1).alias("n"), F.lit(0).cast("long").alias("sum"), paths.no_values("int").alias("out"))
 
     def step(s, u):
-        over = (F.size(s["out"]) > 0) & (s["sum"] + u > budget)
+        over = (s["n"] < 0) | (s["sum"] + u > budget)
         n = s["n"] + F.when(over, 1).otherwise(0)
-        return F.struct(n.alias("n"), F.when(over, u).otherwise(s["sum"] + u).alias("sum"), F.concat(s["out"], F.array(n)).alias("out"))
+        return F.struct(n.alias("n"), F.when(over, u).otherwise(s["sum"] + u).alias("sum"), paths.appended(s["out"], n).alias("out"))
 
-    return F.aggregate(units, start, step, lambda s: s["out"])
+    return F.aggregate(units, start, step, lambda s: paths.all_values(s["out"]))
 
 
 def paragraph_chunks(blocks: DataFrame, budget: int = 400) -> DataFrame:
@@ -59,3 +68,24 @@ def paragraph_chunks(blocks: DataFrame, budget: int = 400) -> DataFrame:
     each = blocks.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("page_number", "reading_order", t.estimate_tokens(F.col("text")).alias("tokens")))).alias("u"))
     tokens = F.transform("u", lambda x: x["tokens"])
     return each.select("document_id", F.explode(F.arrays_zip(tokens.alias("tokens"), paragraph_numbers(tokens, budget).alias("n"))).alias("x")).groupBy("document_id", F.col("x.n").alias("chunk_index")).agg(F.count("*").alias("n_blocks"), F.sum("x.tokens").alias("tokens"))
+
+
+def paged_chunks(pages: DataFrame, budget: int = 400) -> DataFrame:
+    """Flat chunks of pages(document_id, page_number, text): paragraphs of the joined text packed under a budget.
+
+    (document_id, chunk_index, page_number, text, chapter, section, domain_hint): the page is the one where the chunk begins, and the rest is
+    what that page says of itself.  A paragraph is two characters longer in the count of places than it is, a blank one is two.
+    """
+    order = Window.partitionBy("document_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    each = joined_pages(pages).select("document_id", F.posexplode(F.transform(F.split("text", rf"(?dU)\n{t.SPACE}*\n"), t.strip)).alias("pos", "body"))
+    each = each.withColumn("at", F.coalesce(F.sum(F.length("body") + 2).over(order), F.lit(0)).cast("long")).filter("body <> ''")
+    docs = each.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("pos", "at", "body", t.estimate_tokens(F.col("body")).alias("tokens")))).alias("u"))
+    rows = docs.select("document_id", F.explode(F.arrays_zip(F.col("u"), paragraph_numbers(F.transform("u", lambda x: x["tokens"]), budget).alias("n"))).alias("x"))
+    chunks = rows.groupBy("document_id", F.col("x.n").alias("n")).agg(F.min("x.u.at").alias("at"), F.sort_array(F.collect_list(F.struct("x.u.pos", "x.u.body"))).alias("m"))
+    text = t.clean_chunk_text(F.array_join(F.transform("m", lambda x: x["body"]), "\n\n"))
+    kept = chunks.select("document_id", "n", "at", text.alias("text")).filter("text <> ''")
+    index = (F.row_number().over(Window.partitionBy("document_id").orderBy("n")) - 1).cast("int")
+    found = page_of(kept.select("document_id", "at").distinct(), page_offsets(pages))
+    said = pages.select("document_id", "page_number", t.page_metadata(F.coalesce("text", F.lit(""))).alias("meta"))
+    full = kept.withColumn("chunk_index", index).join(found, ["document_id", "at"]).join(said, ["document_id", "page_number"], "left")
+    return full.select("document_id", "chunk_index", "page_number", "text", "meta.chapter", "meta.section", "meta.domain_hint")

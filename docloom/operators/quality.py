@@ -145,7 +145,7 @@ def validate_blocks(blocks: DataFrame, pages: DataFrame | None = None, sections:
     return _union(found)
 
 
-#: What a fault's code says to a reader, with the subject's place.
+# What a fault's code says to a reader, with the subject's place.
 MESSAGES = {
     "duplicate_chunk": "Duplicate chunk_id: %s", "missing_parent": "Child %s references missing parent.", "missing_child": "Missing child %s is listed by its parent.", "not_listed_in_parent": "Child %s not listed in its parent.",
     "no_source": "Child %s has no source_block_ids.", "invalid_page_span": "Child %s has invalid page_span.", "media_in_text_child": "Media block %s is referenced by a non-media child.",
@@ -209,6 +209,7 @@ def search(children: DataFrame, query: str) -> DataFrame:
 
 def health_checks(summary: DataFrame) -> DataFrame:
     """(document_id, name, status, detail) of summary(document_id, parser_used, block_count, section_count, and the metrics)."""
+    # fixed values: what the checks say
     said = lambda n, words: F.concat(F.col(n).cast("string"), F.lit(words))
     checks = [
         ("parser", F.col("parser_used").isNotNull(), F.concat(F.lit("Used "), F.col("parser_used")), F.lit("No parser result was recorded.")),
@@ -233,6 +234,7 @@ def execution_chain(summary: DataFrame) -> DataFrame:
 
 def suggestions(summary: DataFrame) -> DataFrame:
     """(document_id, suggestions): what to look at, in order."""
+    # fixed values: what is suggested
     tests = [
         (F.col("block_count") == 0, "Parser produced no blocks; try a different parser or inspect parser availability."),
         ((F.col("inferred_heading_count") == 0) & ~F.col("document_type").isin("table_data", "qa"), "Few or no inferred headings; add heading patterns for this document style if chunks look too broad."),

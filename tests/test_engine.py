@@ -428,3 +428,17 @@ def test_requests_are_checked():
     env = {"A": "Yes", "B": "0", "C": "7", "D": "x", "E": "0.5"}
     assert [setting_from(env, k, d) for k, d in (("A", False), ("B", True), ("C", 1), ("D", 3), ("E", 1.0), ("F", True))] == [True, False, 7, 3, 0.5, True]
     assert priority_from({}) == ("docling", "mineru", "pypdf") and priority_from({"DOCLOOM_PARSER_PRIORITY": "PyPDF, x,mineru"}) == ("pypdf", "mineru")
+
+
+def test_stream_is_the_batch(spark):
+    names = "document_id", "chunk_type", "text", "token_count"
+    batch = chunk_blocks(text_blocks(catalog._docs(spark, SF)), ChunkConfig(template="generic_structured"))[1]
+    assert sorted(rows(catalog.QUERIES["stream_chunks"](spark, SF), *names)) == sorted(rows(batch, *names))
+
+
+def test_paged_chunks(spark):
+    from docloom.operators import legacy
+
+    pages_ = [("d", 1, "Chapter 7 begins\n\n" + "one " * 30 + "."), ("d", 2, ""), ("d", 3, "two " * 30 + "\n\nPage 4"), ("d", 4, "three.")]
+    got = rows(legacy.paged_chunks(spark.createDataFrame(pages_, "document_id string, page_number int, text string"), 45).orderBy("chunk_index"), "chunk_index", "page_number", "text", "chapter")
+    assert got == [(0, 1, "Chapter 7 begins\n\n" + "one " * 30 + ".", "7"), (1, 3, ("two " * 30).strip() + "\n\nthree.", None)]
