@@ -415,7 +415,7 @@ SELECT 'missing_child' AS code, count(*) AS n FROM c WHERE child_no = 1 HAVING c
 def package_faults(spark: SparkSession, sf: str) -> DataFrame:
     """Faults that are put into packages: children without a parent, and children that a parent lists but that aren't there."""
     blocks = text_blocks(_decorated(spark, sf, _book_line))
-    parents, children = templates.chunk(blocks, "generic_structured", ChunkConfig(child_max_tokens=60))
+    parents, children = (chunking.kept_table(x) for x in templates.chunk(blocks, "generic_structured", ChunkConfig(child_max_tokens=60)))
     lists = children.groupBy("parent_id").agg(F.sort_array(F.collect_list("chunk_id")).alias("child_chunk_ids"))
     kept = children.filter("child_index <> 1").withColumn("parent_id", F.when(F.col("child_index") == 2, F.concat("parent_id", F.lit("?"))).otherwise(F.col("parent_id")))
     return quality.validate(parents.join(lists, "parent_id"), kept, blocks).groupBy("code").agg(F.count("*").alias("n"))
@@ -555,7 +555,8 @@ def health(spark: SparkSession, sf: str) -> DataFrame:
     """What the monitor says of packages before any pass: counts, and whether children keep to the budget."""
     config = ChunkConfig(template="generic_structured", child_max_tokens=60)
     blocks = sections.heading_paths(text_blocks(_decorated(spark, sf, _book_line)))
-    parents, children = templates.chunk(blocks, "generic_structured", config)
+    blocks = chunking.kept_table(blocks)
+    parents, children = (chunking.kept_table(x) for x in templates.chunk(blocks, "generic_structured", config))
     found = quality.metrics(parents, children, config, blocks).join(quality.block_counts(blocks), "document_id").join(sections.section_table(blocks).groupBy("document_id").agg(F.count("*").alias("section_count")), "document_id")
     checks = quality.health_checks(found.withColumn("parser_used", F.lit("text_file"))).filter("name = 'tokens'").select("document_id", F.col("status").alias("tokens"))
     return found.select("document_id", "block_count", "section_count").join(checks, "document_id")
