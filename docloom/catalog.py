@@ -399,7 +399,19 @@ def chunk_packages(spark: SparkSession, sf: str) -> DataFrame:
     return children.select("document_id", "chunk_id", "chunk_type", "template", "text", "token_count", "part_index", "part_count")
 
 
-@query()
+@query(rf"""WITH h AS (SELECT CAST(conv_id AS VARCHAR) AS document_id, CAST(turn + 1 AS INTEGER) AS page, coalesce(text, '') AS x, length(coalesce(text, '')) // 2 AS half FROM conversations),
+b AS (SELECT document_id, page, left(x, half) || 'xx' || substr(x, half + 1) AS body FROM h),
+t AS (SELECT *, regexp_replace(body, '\s+$', '') AS ends, regexp_replace(body, '^\s+', '') AS starts FROM b),
+f AS (SELECT *, '^\s*([-*•·]|\d+[.)。]|[①-⑩]|[（(]\d+[）)])\s+' AS item, list_filter(list_transform(string_split(ends, chr(10)), lambda y: regexp_extract(trim(y), '^(\d+)[.)、]\s+', 1)), lambda y: y <> '') AS numbers, regexp_extract(starts, '^(\d+)[.)、]\s+', 1) AS number FROM t),
+w AS (SELECT *, lag(ends) OVER p AS was, lag(numbers) OVER p AS had FROM f WINDOW p AS (PARTITION BY document_id ORDER BY page)),
+j AS (SELECT *, was IS NOT NULL AND ((regexp_matches(was, '-$') AND regexp_matches(starts, '^\p{{Ll}}')) OR (NOT regexp_matches(was, '[.!?"»」』。！？…—]$') AND (regexp_matches(starts, '^\p{{Ll}}') OR (regexp_matches(starts, '^[一-鿿]') AND NOT regexp_matches(starts, item)) OR regexp_matches(was, '[,，、;；:：]$')))
+  OR (regexp_matches(starts, item) AND (regexp_matches(trim(string_split(was, chr(10))[-1]), item) OR (number <> '' AND len(had) > 0 AND TRY_CAST(number AS BIGINT) = TRY_CAST(had[-1] AS BIGINT) + 1)))) AS joins FROM w),
+g AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY document_id ORDER BY page) AS grp FROM j),
+m AS (SELECT *, lead(joins) OVER p AS goes_on, lead(starts) OVER p AS will FROM g WINDOW p AS (PARTITION BY document_id ORDER BY page)),
+k AS (SELECT *, CASE WHEN joins THEN starts ELSE body END AS piece, CASE WHEN NOT coalesce(goes_on, false) THEN '' WHEN regexp_matches(ends, '[\x00-\x7f]$') AND NOT regexp_matches(ends, '[.!?]$') AND NOT (regexp_matches(ends, '-$') AND regexp_matches(will, '^\p{{Ll}}')) THEN ' ' ELSE '' END AS gap FROM m),
+l AS (SELECT *, CASE WHEN coalesce(goes_on, false) THEN CASE WHEN regexp_matches(ends, '-$') AND regexp_matches(will, '^\p{{Ll}}') THEN regexp_replace(piece, '\s*-\s*$', '') ELSE regexp_replace(piece, '\s+$', '') END ELSE piece END AS part FROM k),
+a AS (SELECT document_id, grp, min(page) AS first, max(page) AS last, count(*) AS n, string_agg(part || gap, '' ORDER BY page) AS text FROM l GROUP BY ALL)
+SELECT document_id, document_id || ':' || first || ':0' AS chunk_id, text, CAST(2 * first AS INTEGER) AS page_start, CAST(2 * last + 1 AS INTEGER) AS page_end, CAST({_LATIN_OF.format("text")} * 13 // 10 AS BIGINT) AS token_count, CAST(2 * n - 1 AS INTEGER) AS repairs FROM a""")
 def boundary_repair(spark: SparkSession, sf: str) -> DataFrame:
     """Turns as pages, cut in two by a hyphen, and joined again.  An empty or null turn is a page of the two marks alone."""
     half = F.floor(F.length("text") / 2).cast("int")
