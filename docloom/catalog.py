@@ -633,3 +633,29 @@ k AS (SELECT document_id, page, i, CASE i WHEN 0 THEN 'Report CONFIDENTIAL' WHEN
 SELECT document_id, count(*) AS removed, string_agg(text, ',' ORDER BY rn) FILTER (rn <= 5) AS examples FROM r GROUP BY 1""")
 def noise_examples(spark: SparkSession, sf: str) -> DataFrame:
     return noise.removed(noise.mark_noise(_page_blocks(spark, sf))).select("document_id", "removed", F.array_join("examples", ",").alias("examples"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(range(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')))) AS i FROM documents), r AS (SELECT doc_id, count(*) FILTER (i % 3 <> 1) / count(*) AS ratio FROM l GROUP BY 1)
+SELECT CAST(doc_id AS VARCHAR) AS document_id, CASE WHEN doc_id % 2 = 0 THEN 'table_data' ELSE 'picture_pdf' END AS document_type, CAST(floor(least(0.95, ratio) * 1000) AS INTEGER) AS permille FROM r""")
+def types_by_share(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents most of whose blocks are tables, or figures."""
+    kind = F.when(F.col("document_id").cast("long") % 2 == 0, "table").otherwise("figure")
+    blocks = text_blocks(_docs(spark, sf)).withColumn("block_type", F.when(F.col("reading_order") % 3 != 1, kind).otherwise("paragraph"))
+    return doctype.detect(blocks).select("document_id", "document_type", F.floor(F.col("confidence") * 1000).cast("int").alias("permille"))
+
+
+_HEADING_DOMAINS = " ".join(f"WHEN {' OR '.join(f'contains(low, {chr(39)}{w}{chr(39)})' for w in words)} THEN '{name}'" for name, words in t.HEADING_DOMAINS)
+
+
+@query(f"""WITH d AS (SELECT doc_id, lower(CASE doc_id % 4 WHEN 0 THEN 'Removal' WHEN 1 THEN 'Wiring plan' WHEN 2 THEN '免责' ELSE '' END || ' Part ' || left(text, 1200)) AS low FROM documents) SELECT doc_id, CASE {_HEADING_DOMAINS} END AS domain FROM d""")
+def heading_domain(spark: SparkSession, sf: str) -> DataFrame:
+    first = F.create_map(*[F.lit(x) for pair in {0: "Removal", 1: "Wiring plan", 2: "免责", 3: ""}.items() for x in pair])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    return docs.select("doc_id", t.heading_domain(F.array(first[(F.col("doc_id") % 4).cast("int")], F.lit("Part")), F.col("text")).alias("domain"))
+
+
+@query(_PACKED + """ SELECT left(sha256('parent:' || document_id || ':' || left(sha256('section:' || document_id || ':' || heading), 32)), 32) AS parent_id, count(*) AS children FROM children GROUP BY document_id, heading""")
+def parent_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """How many children each parent lists."""
+    parents, children = templates.chunk(text_blocks(_decorated(spark, sf, _book_line)), "generic_structured", ChunkConfig(child_max_tokens=60))
+    return output.edges(chunking.with_children(parents, children)).groupBy("parent_id").agg(F.count("*").alias("children"))
