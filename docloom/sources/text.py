@@ -10,15 +10,29 @@ from docloom.functions import ids, text as t
 _ALONE = ("abstract", "references", "contents", "faq")
 _OPENERS = ("chapter ", "section ", "part ", "appendix ")
 MD_HEADING = r"\A\s{0,3}#{1,6}\s+(.+)\z"
+#: Bytes of text that a task has.
+PART_BYTES = 4 << 20
 LIST_MARK = r"\A\s*([-*+]\s+|\d+[.)]\s+|[①-⑩])"
 
 
-def parts(c: Column) -> Column:
-    """Paragraphs between blank lines; where there is only one, its lines."""
-    body = F.regexp_replace(c, "\r\n?", "\n")
+def parted(docs: DataFrame) -> DataFrame:
+    """(document_id, reading_order, part) of docs(document_id, text): paragraphs between blank lines; where there is only one, its lines.
+
+    Documents are dealt out before they are cut, in parts of about PART_BYTES however many there are: all that follows works on a document
+    at a time, in the task that has it.
+    """
     kept = lambda x: F.filter(F.transform(x, t.strip), lambda p: p != "")
-    paragraphs = kept(F.split(body, rf"(?dU)\n{t.SPACE}*\n"))
-    return F.when(F.size(paragraphs) > 1, paragraphs).otherwise(kept(F.split(body, "\n")))
+    if not docs.isStreaming:
+        docs = docs.repartition(-(-volume(docs) // PART_BYTES) or 1, "document_id")
+    # columns of their own: found once
+    body = docs.select("document_id", F.regexp_replace("text", "\r\n?", "\n").alias("body")).withColumn("paragraphs", kept(F.split("body", rf"(?dU)\n{t.SPACE}*\n")))
+    found = F.when(F.size("paragraphs") > 1, F.col("paragraphs")).otherwise(kept(F.split("body", "\n")))
+    return body.select("document_id", F.posexplode(found).alias("reading_order", "part"))
+
+
+def volume(docs: DataFrame) -> int:
+    """Bytes of docs(text)."""
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
 def is_heading(part: Column) -> Column:
@@ -32,7 +46,7 @@ def is_heading(part: Column) -> Column:
 
 def text_blocks(docs: DataFrame, document: str = "document_id", content: str = "text") -> DataFrame:
     """Blocks of docs(document_id, text): headings, list items and paragraphs, with the heading path that they stand under."""
-    part = docs.select(F.col(document).cast("string").alias("document_id"), F.posexplode(parts(F.col(content))).alias("reading_order", "part"))
+    part = parted(docs.select(F.col(document).cast("string").alias("document_id"), F.col(content).alias("text")))
     title = F.when(t.matches(F.col("part"), MD_HEADING), t.strip(F.regexp_extract("part", "(?dU)" + MD_HEADING, 1))).otherwise(F.col("part"))
     kind = F.when(is_heading(F.col("part")), "heading").when(t.matches(F.col("part"), LIST_MARK), "list_item").otherwise("paragraph")
     typed = part.select("document_id", F.lit(1).alias("page_number"), "reading_order", kind.alias("block_type"), title.alias("text"))

@@ -1,6 +1,7 @@
 """The chunking engine on small examples."""
 
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -15,7 +16,7 @@ from docloom.operators import noise, post, quality, templates
 from docloom.operators import doctype, markers, sections
 from docloom.plans import output
 from docloom.plans.chunking import chunk_blocks, chunk_package
-from docloom.sources import table
+from docloom.sources import table, text as text_source
 from docloom.sources.text import text_blocks
 
 SF = "/root/testdata/sf0.001"
@@ -442,3 +443,20 @@ def test_paged_chunks(spark):
     pages_ = [("d", 1, "Chapter 7 begins\n\n" + "one " * 30 + "."), ("d", 2, ""), ("d", 3, "two " * 30 + "\n\nPage 4"), ("d", 4, "three.")]
     got = rows(legacy.paged_chunks(spark.createDataFrame(pages_, "document_id string, page_number int, text string"), 45).orderBy("chunk_index"), "chunk_index", "page_number", "text", "chapter")
     assert got == [(0, 1, "Chapter 7 begins\n\n" + "one " * 30 + ".", "7"), (1, 3, ("two " * 30).strip() + "\n\nthree.", None)]
+
+
+def test_strip_and_first_line_are_linear(spark):
+    """A run of blanks inside a text isn't gone through from each of its places."""
+    began = time.monotonic()
+    text = F.concat(F.lit("\x1c　a"), F.repeat(F.lit(" "), F.lit(400_000)), F.lit("b\n\nc  "))
+    found = spark.range(1).select(F.length(t.strip(text)), F.length(t.first_line(text)), t.first_line(F.lit(" \n\x0b\n  d e \nf"))).first()
+    assert tuple(found) == (400_005, 400_002, "d e") and time.monotonic() - began < 20
+
+
+def test_documents_are_dealt_out_by_size(spark, monkeypatch):
+    """The more text, the more parts, so that a task's memory doesn't grow with the table."""
+    monkeypatch.setattr(text_source, "PART_BYTES", 1000)
+    docs = spark.range(40).select(F.col("id").cast("string").alias("document_id"), F.concat(F.lit("Chapter 1\n"), F.repeat(F.lit("some words. "), F.lit(80))).alias("text"))
+    blocks = text_blocks(docs)
+    assert blocks.rdd.getNumPartitions() == 39 and blocks.count() == 80
+    assert templates.chunk(blocks, "generic_structured")[1].rdd.getNumPartitions() == 39
