@@ -15,17 +15,27 @@ from pyspark.sql import Column, functions as F, types as T
 CJK = r"[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{f900}-\x{faff}\x{20000}-\x{2a6df}]"
 LATIN = r"[a-zA-Z0-9]+(?:[-'][a-zA-Z0-9]+)*"
 SPACE = r"[\s\x1c-\x1f]"
+#: The characters that SPACE stands for.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _UNI = "(?dU)"
 
 
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, rf"{_UNI}\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(c, F.lit(BLANKS))
+
+
+def lstrip(c: Column) -> Column:
+    return F.ltrim(c, F.lit(BLANKS))
+
+
+def rstrip(c: Column) -> Column:
+    return F.rtrim(c, F.lit(BLANKS))
 
 
 def first_line(c: Column) -> Column:
     """The first line with something on it, stripped."""
-    return strip(F.regexp_extract(c, rf"{_UNI}\A(?:{SPACE}*\n)*([^\n]*)", 1))
+    return rstrip(F.substring_index(lstrip(c), "\n", 1))
 
 
 def matches(c: Column, pattern: str, ignore_case: bool = False) -> Column:
@@ -34,7 +44,8 @@ def matches(c: Column, pattern: str, ignore_case: bool = False) -> Column:
 
 
 def cjk_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(CJK)).cast("long")
+    """ASCII text, told by its bytes, has none and isn't searched."""
+    return F.when(F.octet_length(c) == F.length(c), F.lit(0)).otherwise(F.regexp_count(c, F.lit(CJK))).cast("long")
 
 
 def latin_count(c: Column) -> Column:

@@ -37,11 +37,12 @@ def _marks(blocks: DataFrame) -> DataFrame:
     """Blocks with the bits of the keywords that they have, if they are in the sample.  No keyword has a line end, so none spans two blocks."""
     order = Window.partitionBy("document_id").orderBy("page_number", "reading_order")
     before = F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    low = F.lower("text")
+    low = F.col("_low")  # a column of its own: in lower case once, not for each keyword
     bits = F.lit(0).cast("long")
     for (_, word), bit in _BITS.items():
         bits = bits.bitwiseOR(F.when(low.contains(word), F.lit(bit)).otherwise(F.lit(0)).cast("long"))
-    return blocks.withColumn("_bits", F.when(before < SAMPLE_CHARS, bits).otherwise(F.lit(0).cast("long")))
+    early = blocks.withColumn("_before", before).withColumn("_low", F.when(F.col("_before") < SAMPLE_CHARS, F.lower("text")))
+    return early.withColumn("_bits", F.when(F.col("_before") < SAMPLE_CHARS, bits).otherwise(F.lit(0).cast("long"))).drop("_before", "_low")
 
 
 def _measures(blocks: DataFrame) -> dict[str, Column]:

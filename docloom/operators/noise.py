@@ -36,15 +36,15 @@ def mark_noise(blocks: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     marked = blocks.withColumn("_norm", t.normalized_text(text))
     looks = page_edge(F.col("bbox")) | t.matches(text, HEADER_HINT, True) | running_header(text, F.col("page_number"), F.col("bbox"))
-    page = F.when(looks & (F.col("_norm") != "") & (F.length("_norm") <= 120), F.col("page_number"))
+    page = F.when((F.col("_norm") != "") & (F.length("_norm") <= 120) & looks, F.col("page_number"))
     same = Window.partitionBy("document_id", "_norm")
     marked = marked.withColumn("_again", F.min(page).over(same) < F.max(page).over(same))
     body = t.strip(text)
     reason = (
         F.when(body == "", "blank")
         .when(F.col("block_type").isin("header", "footer", "page_number"), "block_type")
-        .when(t.matches(body, PAGE_NUMBER, True) & (F.length(body) <= 20), "page_number")
-        .when(t.matches(body, DOT_LEADER) & (F.length(body) <= 160), "toc_dot_leader")
+        .when((F.length(body) <= 20) & t.matches(body, PAGE_NUMBER, True), "page_number")
+        .when((F.length(body) <= 160) & t.matches(body, DOT_LEADER), "toc_dot_leader")
         .when(running_header(text, F.col("page_number"), F.col("bbox")), "running_header_pattern")
         .when(F.col("_again"), "repeated_page_edge")
     )

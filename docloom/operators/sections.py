@@ -17,8 +17,8 @@ NUMBERED, CN_MARK, DATE = r"\A\s*(\d+(\.\d+){0,5})\s+\S+", rf"\A\s*第{_N}([章
 def heading_reason(kind: Column, text: Column) -> Column:
     """Why a block is a heading: parser_heading, legal_article_pattern or structured_heading_pattern; null if it isn't."""
     line = t.first_line(text)
-    n, ends, shaped = F.length(line), t.matches(line, SENTENCE_END), t.matches(line, STRUCTURED, True)
-    bad = (line == "") | t.matches(line, ORPHAN) | t.matches(line, DATE) | (n > 80)
+    n, ends, shaped = F.length(line), t.matches(F.substring(line, -1, 1), SENTENCE_END), t.matches(line, STRUCTURED, True)
+    bad = (line == "") | (n > 80) | t.matches(line, ORPHAN) | t.matches(line, DATE)
     given = F.when(~bad & (shaped | (~ends & (n <= 30))), "parser_heading")
     inferred = F.when(bad | ends, F.lit(None)).when((n <= 40) & t.matches(line, LEGAL_ARTICLE), "legal_article_pattern").when(shaped, "structured_heading_pattern")
     return F.when(kind.isin("heading", "title"), given).when(kind.isin("paragraph", "text"), inferred)
@@ -50,18 +50,19 @@ def heading_paths(blocks: DataFrame) -> DataFrame:
     """
     path = paths.cleaned(F.col("heading_path"))
     own = F.coalesce(F.size("heading_path"), F.lit(0)) > 0
-    reason = F.when(own, "parser_heading_path").otherwise(heading_reason(F.col("block_type"), F.col("text")))
-    marked = blocks.withColumn("heading_reason", reason)
+    line = F.col("_line")  # a column of its own: found once
+    reason = F.when(own, "parser_heading_path").otherwise(heading_reason(F.col("block_type"), line))
+    marked = blocks.withColumn("_line", t.first_line(F.col("text"))).withColumn("heading_reason", reason)
     rank = None
     if "font_size" in blocks.columns:  # few sizes for each document
         found = font_ranks(blocks).groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct("font_size", "rank"))).alias("font_ranks"))
         marked, rank = marked.join(found, "document_id", "left"), F.try_element_at("font_ranks", F.col("font_size"))
     hint = F.col("level_hint") if "level_hint" in blocks.columns else None
     # a given path's blocks keep the level that the parser gave them
-    level = F.when(own, F.coalesce(hint, F.size(path)) if hint is not None else F.size(path)).when(F.col("heading_reason").isNotNull(), heading_level(F.col("text"), rank, hint))
+    level = F.when(own, F.coalesce(hint, F.size(path)) if hint is not None else F.size(path)).when(F.col("heading_reason").isNotNull(), heading_level(line, rank, hint))
     marked = marked.withColumn("heading_level", level.cast("int")).drop("font_ranks")
     heads = ~F.col("heading_reason").eqNullSafe("parser_heading_path") & F.col("heading_reason").isNotNull()
-    found = paths.running_path(marked, "document_id", ["page_number", "reading_order"], F.when(heads, F.col("heading_level")), t.first_line(F.col("text")), F.when(own, path))
+    found = paths.running_path(marked, "document_id", ["page_number", "reading_order"], F.when(heads, F.col("heading_level")), line, F.when(own, path))
     full = F.when(F.size("path") > 0, F.col("path")).otherwise(F.array(F.lit("Document")))
     promoted = F.when(F.col("heading_reason").endswith("_pattern"), "heading").otherwise(F.col("block_type"))
     return found.withColumn("block_type", promoted).withColumn("heading_path", full).withColumn("section_id", ids.section_id(F.col("document_id"), F.col("heading_path"))).drop("path")

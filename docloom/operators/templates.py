@@ -224,7 +224,8 @@ def planned(blocks: DataFrame, names: tuple[str, ...], config: ChunkConfig) -> D
         t.cjk_count(F.col("body")).alias("cjk"), t.latin_count(F.col("body")).alias("latin"), chosen(lambda p: p.breaks, _no()).alias("breaks"), chosen(lambda p: p.free, _no()).alias("free"), chosen(lambda p: p.solo, _no()).alias("solo"),
         t.matches(F.col("line"), QUESTION, True).alias("asks"), t.matches(F.col("line"), ANSWER, True).alias("answers"), F.col("line").alias("line"),
     )
-    grouped = body.groupBy("document_id", "template", "parent_title").agg(F.sort_array(F.collect_list(unit)).alias("units"))
+    # a column of its own: in an aggregate it would be interpreted, not compiled
+    grouped = body.withColumn("unit", unit).groupBy("document_id", "template", "parent_title").agg(F.sort_array(F.collect_list("unit")).alias("units"))
     return grouped.withColumn("listed", F.filter("units", lambda u: u["listed"])).withColumn("numbers", pack(F.transform("listed", lambda u: F.struct(u["cjk"], u["latin"], u["breaks"], u["free"], u["solo"])), config.child_max_tokens))
 
 
