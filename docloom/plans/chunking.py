@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -26,19 +27,27 @@ class Package:
     pages: DataFrame
     config: ChunkConfig = field(default_factory=ChunkConfig)
     parsed: DataFrame | None = None
+    #: The same package with each of its tables handed to a function as soon as it is planned.
+    again: Callable[[Callable[[DataFrame], DataFrame]], Package] | None = None
+    kept_parents: DataFrame | None = None
+    kept_sections: DataFrame | None = None
 
     def materialize(self) -> Package:
-        """The same with its tables behind reliable checkpoints in the folder that the session names."""
-        kept = [kept_table(x) for x in (self.blocks, self.planned_parents, self.children, self.removed, self.pages)]
-        return Package(*kept, self.config, self.parsed)
+        """The same with its tables behind reliable checkpoints in the folder that the session names, each made from those before it."""
+        made = self.again(kept_table) if self.again else self
+        own = {"removed": kept_table(made.removed), "pages": kept_table(made.pages)}
+        if not self.again:
+            own |= {name: kept_table(getattr(made, name)) for name in ("blocks", "planned_parents", "children")}
+        made = replace(made, **own, again=None)
+        return replace(made, kept_parents=kept_table(made.parents), kept_sections=kept_table(made.sections))
 
     @property
     def parents(self) -> DataFrame:
-        return with_children(self.planned_parents, self.children)
+        return with_children(self.planned_parents, self.children) if self.kept_parents is None else self.kept_parents
 
     @property
     def sections(self) -> DataFrame:
-        return sections.section_table(self.blocks)
+        return sections.section_table(self.blocks) if self.kept_sections is None else self.kept_sections
 
     @property
     def types(self) -> DataFrame:
@@ -105,16 +114,22 @@ def chunk_package(blocks: DataFrame, config: ChunkConfig = ChunkConfig(), parsed
     page_sizes: (document_id, page_number, width, height).
     """
     full = blocks if "bbox" in blocks.columns else blocks.withColumn("bbox", F.lit(None).cast(BOX))
-    marked = noise.mark_noise(full)
+    return _package(full, "bbox" in blocks.columns, config, parsed, page_sizes, lambda table: table)
+
+
+def _package(full: DataFrame, boxed: bool, config: ChunkConfig, parsed: DataFrame | None, page_sizes: DataFrame | None, keep: Callable[[DataFrame], DataFrame]) -> Package:
+    marked = keep(noise.mark_noise(full))
     ready = sections.heading_paths(marked.filter("noise_reason is null").drop("noise_reason"))
     names = TEMPLATES if config.template == "auto" else (config.template if config.template in TEMPLATES else "generic_structured",)
-    typed = doctype.typed(post.with_context(ready, config.table_context_blocks, config.image_context_blocks), config.template).withColumnRenamed("document_type", "template")
-    if "contract_terms" in names and "bbox" in blocks.columns:
+    typed = keep(doctype.typed(post.with_context(ready, config.table_context_blocks, config.image_context_blocks), config.template).withColumnRenamed("document_type", "template"))
+    settled_blocks = typed.select(*ready.columns)
+    if "contract_terms" in names and boxed:
         contract = markers.join_markers(typed.filter("template = 'contract_terms'"))
         typed = typed.filter("template <> 'contract_terms'").unionByName(contract, allowMissingColumns=True)
     parents, children = templates.chunk_typed(typed, config, names)
-    final = post.split_overlong(post.merge_small(post.repair_boundaries(templates.article_parts(children)), config), config)
-    return Package(ready, parents, final, noise.removed(marked), noise.kept_on_pages(quality.page_table(full, page_sizes), marked), config, parsed)
+    final = keep(post.split_overlong(post.merge_small(post.repair_boundaries(templates.article_parts(children)), config), config))
+    pages = noise.kept_on_pages(quality.page_table(marked.select(*full.columns), page_sizes), marked)
+    return Package(settled_blocks, parents, final, noise.removed(marked), pages, config, parsed, lambda put: _package(full, boxed, config, parsed, page_sizes, put))
 
 
 def with_children(parents: DataFrame, children: DataFrame) -> DataFrame:

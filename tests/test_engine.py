@@ -460,3 +460,17 @@ def test_documents_are_dealt_out_by_size(spark, monkeypatch):
     blocks = text_blocks(docs)
     assert blocks.rdd.getNumPartitions() == 39 and blocks.count() == 80
     assert templates.chunk(blocks, "generic_structured")[1].rdd.getNumPartitions() == 39
+
+
+def test_materialized_tables_are_made_from_each_other(spark):
+    """Kept children, parents and pages come from the tables kept before them, not from the texts again."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    docs = spark.range(1).select(F.lit("d").alias("document_id"), F.udf(seen)(F.lit("Chapter 1\nwords of it.\nmore of them.")).alias("text"))
+    package = chunk_package(text_blocks(docs)).materialize()
+    assert package.children.count() == 1 and package.parents.count() == 1 and package.pages.count() == 1
+    assert read.value <= 2  # once for the volume, once for the blocks
