@@ -480,6 +480,19 @@ def test_language_model_of_frequent_words(docs, monkeypatch):
     assert all((r.n_tokens, r.n_known) == want[r.doc_id][2:4] and r.score < 0 for r in got)
 
 
+@pytest.mark.parametrize("tasks", [1 << 15, 3])
+def test_language_model_has_one_restaurant_for_a_frequent_word(docs, monkeypatch, tasks):
+    """Whether a word's tokens go to one bucket or to several, scores are those of the model that splits nothing."""
+    for name, value in (("PART", 20), ("SAMPLED", 1), ("BUCKET_BYTES", 10_000), ("FLUSH", 2000)):
+        monkeypatch.setattr(language_model, name, value)
+    monkeypatch.setattr(common, "MOST_TASKS", tasks)
+    words_, parts = language_model._frequent(common.documents(docs))
+    assert len(words_) > 3 and parts.max() > 5
+    got = {r.doc_id: r.score for r in language_model.score(docs).collect()}
+    want = brute_model(ROWS)
+    assert got.keys() == want.keys() and all(got[d] == pytest.approx(want[d], abs=1e-5) for d in want)
+
+
 def test_probabilities_add_up_to_1():
     rng = np.random.default_rng(2)
     words_ = np.unique(rng.integers(1, 2**63, 40).astype(np.uint64))
